@@ -13,9 +13,15 @@ from pyspark.sql import functions as F
 
 from factsheet import thresholds as T
 
-# (?U) makes \s match every Unicode space (NBSP included), as Python's str does.
-_TRIM_RE = r"(?U)^\s+|\s+$"
-_CLEAN_RE = "(?U)[" + re.escape(T.NUMBER_CLEAN_CHARS).replace("\\%", "%") + r"\s]"
+# Every character Python's str.isspace() accepts (what str.strip() removes):
+# ASCII whitespace, the four information separators, NEL, NBSP and the
+# Unicode space separators. Listed so plain Java regex classes and btrim can
+# be used instead of the slower Unicode-aware regex mode.
+WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004"
+              "\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+_WS_CLASS = "\\t\\n\\x0B\\f\\r\\x1C-\\x1F \\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
+_TRIM_RE = f"^[{_WS_CLASS}]+|[{_WS_CLASS}]+$"
+_CLEAN_RE = "[" + re.escape(T.NUMBER_CLEAN_CHARS).replace("\\%", "%") + _WS_CLASS + "]"
 
 # A decimal literal with optional sign and exponent, or an infinity word.
 # Anything else (hex, '1d', '1f', '1_000', '(5)') is not a number.
@@ -74,9 +80,14 @@ def col_(c: str | Column) -> Column:
     return F.col(f"`{c}`") if isinstance(c, str) else c
 
 
+def strip(c: str | Column) -> Column:
+    """Remove leading and trailing whitespace (Python's definition of it)."""
+    return F.btrim(col_(c).cast("string"), F.lit(WHITESPACE))
+
+
 def strip_fold(c: str | Column) -> Column:
     """G1: Unicode strip then lower-case (casefold for the vocabularies used)."""
-    return F.lower(F.regexp_replace(col_(c).cast("string"), _TRIM_RE, ""))
+    return F.lower(strip(c))
 
 
 def clean_number_text(c: str | Column) -> Column:
@@ -96,16 +107,27 @@ def parse_number(c: str | Column) -> Column:
 
 
 def parse_datetime(c: str | Column) -> Column:
-    """Text -> timestamp with the first pattern that fits, else null."""
-    s = F.regexp_replace(col_(c).cast("string"), _TRIM_RE, "")
-    tries = [F.when(s.rlike(shape), F.try_to_timestamp(s, F.lit(p))) for p, shape in DATETIME_PATTERNS]
+    """Text -> timestamp with the first pattern that fits, else null.
+
+    The pattern is chosen by the text's shape (one CASE over cheap regex
+    tests) and parsed once; a slash date that fails month-first is retried
+    day-first. Keeping one parse call keeps the generated code small.
+    """
+    s = strip(c)
+    first = F.lit(None).cast("string")
+    for p, shape in reversed(DATETIME_PATTERNS):
+        if p == "d/M/yyyy":
+            continue
+        first = F.when(s.rlike(shape), F.lit(p)).otherwise(first)
+    second = F.when(s.rlike(dict(DATETIME_PATTERNS)["d/M/yyyy"]), F.lit("d/M/yyyy"))
     year = F.when(
         s.rlike(r"^[0-9]{4}$")
         & s.cast("int").between(BARE_YEAR_MIN, BARE_YEAR_MAX),
         F.make_timestamp(s.cast("int"), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)),
     )
+    parsed = F.coalesce(F.try_to_timestamp(s, first), F.try_to_timestamp(s, second), year)
     # every pattern holds a four-digit year (or eight digits), a cheap first test
-    return F.when(s.rlike("[0-9]{4}"), F.coalesce(*tries, year))
+    return F.when(s.rlike("[0-9]{4}"), parsed)
 
 
 def truncate_text(c: str | Column, n: int = T.SAMPLE_VALUE_MAX_CHARS) -> Column:

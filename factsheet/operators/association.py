@@ -106,7 +106,7 @@ def spearman_from_pairs(pairs: DataFrame) -> DataFrame:
     ranks = average_ranks(ff.unionByName(tt), ["ordinal", "side"])
     # centre ranks on their mean (N + 1) / 2 for a well-conditioned correlation
     ranks = ranks.select("ordinal", "side", "v",
-                         (F.col("rank") - (F.col("total") + 1) / 2.0).alias("rc"))
+                         (F.col("rank") - (F.col("total") + 1) / 2.0).alias("rc")).persist()
     rf = ranks.where("side = 0").select("ordinal", F.col("v").alias("f"), F.col("rc").alias("rf"))
     rt = ranks.where("side = 1").select("ordinal", F.col("v").alias("t"), F.col("rc").alias("rt"))
     distinct = ranks.groupBy("ordinal").agg(

@@ -10,9 +10,11 @@ number of values of its key strictly below it. From that:
 * E1 average rank = before + (n + 1) / 2 (ties share the mean of their ranks);
 * D5 exact median = the value(s) covering positions (N-1)//2 and N//2.
 
-The range-partitioned table is checkpointed (reliably, in the shared
-checkpoint folder) so partition ids and contents are fixed between the totals
-pass and the offsets pass even if an executor is lost in between.
+The range-partitioned table is persisted once and both passes read that
+cached plan: its range bounds are computed once, and a lost block is rebuilt
+from the same cached RDD lineage (same partitioner), so partition ids and
+contents agree between the totals pass and the offsets pass. ``reliable=True``
+writes a checkpoint to the shared checkpoint folder instead.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ def _target_partitions(spark) -> int:
 
 
 def prefix_counts(freq: DataFrame, keys: list[str], value: str | list[str] = "v", count: str = "n",
-                  partitions: int | None = None) -> DataFrame:
+                  partitions: int | None = None, reliable: bool = False) -> DataFrame:
     """Add ``before`` (rows of the same key with a smaller value) and ``total``.
 
     ``freq`` must hold one row per distinct ``(keys, value)``; ``value`` must be
@@ -45,8 +47,13 @@ def prefix_counts(freq: DataFrame, keys: list[str], value: str | list[str] = "v"
     order = [*keys, *values]
     ranged = (freq.select(*order, count)
               .repartitionByRange(p, *[F.col(k) for k in order])
-              .sortWithinPartitions(*order)
-              .checkpoint(eager=True))
+              .sortWithinPartitions(*order))
+    if reliable:
+        ranged = ranged.checkpoint(eager=True)
+    else:
+        from pyspark import StorageLevel
+
+        ranged = ranged.persist(StorageLevel.MEMORY_AND_DISK)
     totals = (ranged.groupBy(F.spark_partition_id().alias("_pid"), *keys)
               .agg(F.sum(count).alias("_t")).collect())
     # offsets: rows of the same key held by earlier partitions
@@ -68,6 +75,7 @@ def prefix_counts(freq: DataFrame, keys: list[str], value: str | list[str] = "v"
     ])
 
     def add_before(batches):
+        import numpy as np
         from pyspark import TaskContext
 
         pid = TaskContext.get().partitionId()
@@ -75,16 +83,29 @@ def prefix_counts(freq: DataFrame, keys: list[str], value: str | list[str] = "v"
         for pdf in batches:
             if pdf.empty:
                 continue
-            key_tuples = list(zip(*[pdf[k] for k in keys])) if keys else [()] * len(pdf)
-            key_series = pd.Series(key_tuples, index=pdf.index)
-            local = pdf.groupby(key_series, sort=False)[count].cumsum() - pdf[count]
-            base = [offsets.get((pid, *k), 0) + carried.get(k, 0) for k in key_tuples]
-            pdf = pdf.assign(before=(local.to_numpy() + pd.Series(base).to_numpy()).astype("int64"),
-                             total=[grand.get(k, 0) for k in key_tuples])
-            last = pdf.groupby(key_series, sort=False)[count].sum()
-            for k, s in last.items():
-                carried[k] = carried.get(k, 0) + int(s)
-            yield pdf
+            cnt = pdf[count].to_numpy(dtype="int64")
+            # rows arrive sorted by (keys, value): a key run starts where any key changes
+            if keys:
+                change = np.zeros(len(pdf), dtype=bool)
+                change[0] = True
+                for k in keys:
+                    col = pdf[k].to_numpy()
+                    change[1:] |= col[1:] != col[:-1]
+                starts = np.flatnonzero(change)
+            else:
+                starts = np.array([0])
+            run_id = np.cumsum(np.r_[True, np.zeros(len(pdf) - 1, dtype=bool)] if not keys else change) - 1
+            excl = np.cumsum(cnt) - cnt                       # rows before, within this batch
+            local = excl - excl[starts][run_id]                # rows before, within the key run
+            base = np.zeros(len(starts), dtype="int64")
+            tot = np.zeros(len(starts), dtype="int64")
+            ends = np.r_[starts[1:], len(pdf)]
+            for j, st in enumerate(starts):
+                key = tuple(pdf[k].iat[st] for k in keys)
+                base[j] = offsets.get((pid, *key), 0) + carried.get(key, 0)
+                tot[j] = grand.get(key, 0)
+                carried[key] = carried.get(key, 0) + int(cnt[st:ends[j]].sum())
+            yield pdf.assign(before=local + base[run_id], total=tot[run_id])
 
     return ranged.mapInPandas(add_before, schema)
 

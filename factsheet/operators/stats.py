@@ -19,29 +19,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factsheet import thresholds as T
-from factsheet.functions.scalar import parse_datetime, parse_number, strip_fold
+from factsheet.functions.scalar import parse_datetime, parse_number, strip, strip_fold
 from factsheet.operators.columns import (
-    BOOLEAN, DATETIME, NUMERIC_STORAGE, STRING, ColumnSpec, effective_key, key_is_null, key_struct,
+    BOOLEAN, DATETIME, NUMERIC_STORAGE, STRING, ColumnSpec, effective_key, key_is_null, key_number, key_struct,
 )
 
-WIDE_BATCH = 100
+WIDE_BATCH = 100          # at most this many columns per aggregate
+WIDE_BUDGET = 60          # and at most this much expression weight (generated code stays < 64 KB)
+_WEIGHT = {STRING: 15}    # text columns carry the parse expressions; others weigh 1
 _MAX_DATE_TEXT = 40  # no accepted datetime pattern is longer than this once trimmed
 
 
 def _vocab_id(c: Column) -> Column:
-    """Which boolean vocabulary a value falls in (1-based), 0 for none."""
-    norm = strip_fold(c)
-    expr = F.lit(0)
-    for i, (a, b) in reversed(list(enumerate(T.BOOLEAN_VOCABULARIES, start=1))):
-        expr = F.when(norm.isin(a, b), F.lit(i)).otherwise(expr)
-    return F.when(c.isNotNull(), expr)
+    """Which boolean vocabulary a value falls in (1-based), 0 for none.
+
+    The vocabularies are disjoint pairs, so the position of the normalised
+    value in their concatenation identifies the pair: (position + 1) div 2.
+    """
+    words = F.array(*[F.lit(w) for pair in T.BOOLEAN_VOCABULARIES for w in pair])
+    pos = F.array_position(words, strip_fold(c))
+    return F.when(c.isNotNull(), F.floor((pos + 1) / 2).cast("int"))
 
 
 def _projections(spec: ColumnSpec) -> list[Column]:
     i, c = spec.ordinal, spec.ref
     out = [c.isNotNull().alias(f"p{i}_nn")]
     if spec.storage == STRING:
-        trimmed_len = F.length(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
+        trimmed_len = F.length(strip(c))
         out += [
             _vocab_id(c).alias(f"p{i}_vid"),
             F.when(trimmed_len <= _MAX_DATE_TEXT, parse_datetime(c).isNotNull())
@@ -87,7 +91,15 @@ def wide_facts(df: DataFrame, specs: list[ColumnSpec]) -> tuple[int, dict[int, d
     """
     n_rows = None
     facts: dict[int, dict] = {}
-    batches = [specs[k:k + WIDE_BATCH] for k in range(0, len(specs), WIDE_BATCH)] or [[]]
+    batches: list[list[ColumnSpec]] = [[]]
+    weight = 0
+    for s in specs:
+        w = _WEIGHT.get(s.storage, 1)
+        if batches[-1] and (len(batches[-1]) >= WIDE_BATCH or weight + w > WIDE_BUDGET):
+            batches.append([])
+            weight = 0
+        batches[-1].append(s)
+        weight += w
     for batch in batches:
         proj = [p for s in batch for p in _projections(s)]
         aggs = [F.count(F.lit(1)).alias("n_rows")] + [a for s in batch for a in _aggregates(s)]
@@ -111,6 +123,88 @@ def value_frequencies(df: DataFrame, specs: list[ColumnSpec], coerced: set[int])
     return long.groupBy("ordinal", "kl", "kd", "ks").agg(F.count(F.lit(1)).alias("n"))
 
 
+def raw_frequencies(df: DataFrame, specs: list[ColumnSpec]) -> DataFrame:
+    """Every column's raw values counted in one shuffle, nulls included.
+
+    ``(ordinal, kl, kd, ks, n)``; the all-null key row of an ordinal counts its
+    missing values, so per ordinal ``sum(n)`` is the row count.
+    """
+    if not specs:
+        return df.sparkSession.createDataFrame([], "ordinal int, kl bigint, kd double, ks string, n bigint")
+    structs = [key_struct(s.ordinal, effective_key(s, False)) for s in specs]
+    return (df.select(F.inline(F.array(*structs)))
+            .groupBy("ordinal", "kl", "kd", "ks").agg(F.count(F.lit(1)).alias("n")))
+
+
+def facts_from_frequencies(freq_all: DataFrame, specs: list[ColumnSpec]) -> tuple[int, dict[int, dict]]:
+    """The wide facts computed on distinct values weighted by their counts.
+
+    Parse tests, the boolean vocabulary test and the numeric sums run once
+    per distinct value instead of once per row. Returns (rows, facts by ordinal).
+    """
+    strings = [s.ordinal for s in specs if s.storage == STRING]
+    numerics = [s.ordinal for s in specs if s.storage in NUMERIC_STORAGE]
+    o = F.col("ordinal")
+    n = F.col("n")
+    present = ~key_is_null()
+    ks = F.col("ks")
+    is_str, is_num = o.isin(strings) if strings else F.lit(False), o.isin(numerics) if numerics else F.lit(False)
+    x = F.when(is_str, parse_number(ks)).when(is_num, key_number())
+    dt = F.when(is_str & present, parse_datetime(ks).isNotNull())
+    base = freq_all.select("ordinal", "n", present.alias("present"), x.alias("x"), dt.alias("dt"),
+                           F.when(is_str & present, _vocab_id(ks)).alias("vid"),
+                           F.when(is_num & present, key_number().isin(0, 1)).alias("b01"))
+    agg = base.groupBy("ordinal").agg(
+        F.sum("n").alias("n_rows"),
+        F.sum(F.when(F.col("present"), n)).alias("nn"),
+        F.min("vid").alias("vmin"), F.max("vid").alias("vmax"),
+        F.bool_and("b01").alias("b01"),
+        F.sum(F.when(F.col("dt"), n).otherwise(F.when(F.col("dt").isNotNull(), 0))).alias("dt"),
+        F.sum(F.when(F.col("x").isNotNull(), n)).alias("num"),
+        F.min("x").alias("min"), F.max("x").alias("max"),
+        (F.sum(n * F.col("x")) / F.sum(F.when(F.col("x").isNotNull(), n))).alias("mean"))
+    rows = {r["ordinal"]: r.asDict() for r in agg.collect()}
+    # sample std from the distinct values: sum n (x - mean)^2 / (N - 1)
+    means = [(k, r["mean"]) for k, r in rows.items() if r["mean"] is not None and r["num"]]
+    if means:
+        mean_map = F.create_map(*[v for k, m in means for v in (F.lit(k), F.lit(float(m)))])
+        dev = base.where(F.col("x").isNotNull() & o.isin([k for k, _ in means])).groupBy("ordinal").agg(
+            F.sum(n * F.pow(F.col("x") - F.element_at(mean_map, o), 2)).alias("ss"))
+        for r in dev.collect():
+            cnt = rows[r["ordinal"]]["num"]
+            rows[r["ordinal"]]["std"] = (r["ss"] / (cnt - 1)) ** 0.5 if cnt and cnt > 1 else None
+    n_rows = 0
+    facts: dict[int, dict] = {}
+    for s in specs:
+        r = rows.get(s.ordinal, {})
+        n_rows = max(n_rows, int(r.get("n_rows") or 0))
+        f = {"nn": int(r.get("nn") or 0)}
+        if s.storage == STRING:
+            f.update(vmin=r.get("vmin"), vmax=r.get("vmax"), dt=int(r.get("dt") or 0))
+        if s.storage in NUMERIC_STORAGE:
+            f.update(b01=r.get("b01"))
+        if s.storage == STRING or s.storage in NUMERIC_STORAGE:
+            f.update(num=int(r.get("num") or 0), min=r.get("min"), max=r.get("max"), mean=r.get("mean"),
+                     std=r.get("std"))
+        facts[s.ordinal] = f
+    return n_rows, facts
+
+
+def effective_frequencies(freq_all: DataFrame, coerced: set[int]) -> DataFrame:
+    """D3 from the raw counts: non-null values, text-coerced columns re-keyed by their number."""
+    present = freq_all.where(~key_is_null())
+    if not coerced:
+        return present
+    o = F.col("ordinal")
+    keep = present.where(~o.isin(list(coerced)))
+    num = (present.where(o.isin(list(coerced)))
+           .select("ordinal", F.lit(None).cast("bigint").alias("kl"), parse_number(F.col("ks")).alias("kd"),
+                   F.lit(None).cast("string").alias("ks"), "n")
+           .where(F.col("kd").isNotNull())
+           .groupBy("ordinal", "kl", "kd", "ks").agg(F.sum("n").alias("n")))
+    return keep.unionByName(num)
+
+
 def frequency_summary(freq: DataFrame) -> DataFrame:
     """D2/D4 per ordinal: distinct count, largest count, effective non-null count."""
     return freq.groupBy("ordinal").agg(

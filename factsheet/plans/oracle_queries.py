@@ -170,3 +170,13 @@ ORACLE["class_shares"] = _union([_shares(t, c) for t, c in
                                   ("events_flagged", "big_error")]])
 
 _ = q
+
+_PROFILE_SELECT = (
+    "column_name, inferred_type, missing_count, round(missing_pct, 6) AS missing_pct, "
+    "CAST(unique_count AS BIGINT) AS unique_count, round(unique_pct, 6) AS unique_pct, "
+    "round(top_value_pct, 6) AS top_value_pct, sample_values, round(min_v, 4) AS min, round(max_v, 4) AS max, "
+    "round(mean_v, 4) AS mean, round(std_v, 4) AS std, round(median_v, 4) AS median, "
+    "round(parse_rate, 6) AS parse_rate, round(target_association, 6) AS target_association, "
+    "association_method, flags")
+for _k, (_t, _c) in Q.PROFILES.items():
+    ORACLE[_k] = _from_profile(_t, _PROFILE_SELECT, target=_c)

@@ -27,10 +27,12 @@ from factsheet.functions.scalar import parse_number, truncate_text
 from factsheet.operators import rules as R
 from factsheet.operators.association import association_sample, associations
 from factsheet.operators.columns import (
-    NUMERIC_STORAGE, STRING, column_specs, effective_key, key_number, key_text, normalised, raw_key,
+    NUMERIC_STORAGE, STRING, column_specs, effective_key, key_number, key_text, normalised, raw_key, spread,
 )
 from factsheet.operators.ranking import exact_medians
-from factsheet.operators.stats import duplicate_row_count, frequency_summary, value_frequencies, wide_facts
+from factsheet.operators.stats import (
+    duplicate_row_count, effective_frequencies, facts_from_frequencies, frequency_summary, raw_frequencies,
+)
 
 STATS_SCHEMA = ST.StructType([
     ST.StructField("ordinal", ST.IntegerType()),
@@ -111,17 +113,20 @@ def with_derived(stats: DataFrame, th: T.Thresholds = T.DEFAULTS) -> DataFrame:
 
 
 def column_facts(df: DataFrame, target: str | None = None, th: T.Thresholds = T.DEFAULTS) -> ColumnFacts:
-    """Jobs 1-3: wide pass, stage of the ladder, frequency pass, final types."""
+    """Jobs 1-3: raw value counts (one scan, one shuffle), facts and ladder on
+    the distinct values, effective frequencies, final types."""
     spark = df.sparkSession
     specs = column_specs(df)
-    ndf = normalised(df, specs)
-    n_rows, facts = wide_facts(ndf, specs)
+    ndf = spread(normalised(df, specs))
+    freq_all = raw_frequencies(ndf, specs).persist()
+    n_rows, facts = facts_from_frequencies(freq_all, specs)
     rows = [_spec_row(s, n_rows, facts[s.ordinal], s.name == target) for s in specs]
     stage_df = spark.createDataFrame(rows, STATS_SCHEMA).withColumn("stage", R.ladder_stage(th))
     stage = {r["ordinal"]: r["stage"] for r in stage_df.select("ordinal", "stage").collect()}
     coerced = {o for o, s in stage.items() if s == "coerced"}
-    live = [s for s in specs if stage[s.ordinal] != "unknown" or facts[s.ordinal].get("nn", 0) > 0]
-    freq = value_frequencies(ndf, live, coerced).persist()
+    freq = effective_frequencies(freq_all, coerced)
+    if coerced:
+        freq = freq.persist()
     summary = {r["ordinal"]: r for r in frequency_summary(freq).collect()}
     for row in rows:
         o = row["ordinal"]

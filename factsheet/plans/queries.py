@@ -393,3 +393,36 @@ def class_shares(spark, sf):
 
 
 QUERIES_DOC = {k: (v.__doc__ or "").strip() for k, v in QUERIES.items()}
+
+
+# --- H20: the whole profile -----------------------------------------------------
+
+def profile_rows(p) -> DataFrame:
+    """The column profile with floats rounded and arrays as text (oracle-comparable)."""
+    cols = p.columns
+    return cols.select(
+        c("name").alias("column_name"), "inferred_type", "missing_count", r("missing_pct").alias("missing_pct"),
+        "unique_count", r("unique_pct").alias("unique_pct"), r("top_value_pct").alias("top_value_pct"),
+        F.array_join("sample_values", "|").alias("sample_values"),
+        r("min", 4).alias("min"), r("max", 4).alias("max"), r("mean", 4).alias("mean"),
+        r("std", 4).alias("std"), r("median", 4).alias("median"), r("parse_rate").alias("parse_rate"),
+        r("target_association").alias("target_association"), "association_method",
+        F.array_join("flags", ",").alias("flags"))
+
+
+PROFILES = {"profile_orders": ("orders", "o_orderstatus"),
+            "profile_lineitem": ("lineitem_nulls", "l_linestatus"),
+            "profile_documents": ("documents_labelled", "quality"),
+            "profile_events": ("events_flagged", "big_error"),
+            "profile_part": ("part", "p_retailprice")}
+
+
+def _profile_query(tname: str, target: str):
+    def run(spark, sf):
+        return profile_rows(profile_table(_load(spark, sf, tname), target, dataset_id=tname, duplicates=False))
+    run.__doc__ = f"H20 the whole column profile of {tname} for the target {target}."
+    return run
+
+
+for _k, (_t, _c) in PROFILES.items():
+    QUERIES[_k] = _profile_query(_t, _c)

@@ -41,6 +41,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "16g")
         .config("spark.sql.ansi.enabled", "false")
+        .config("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
     )
     for key, value in REQUIRED_CONF.items():
         builder = builder.config(key, value)
