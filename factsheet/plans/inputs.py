@@ -63,3 +63,19 @@ def events_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events with the rare-outcome flag ``big_error`` (error events with value > 100)."""
     e = table(spark, sf_dir, "events")
     return e.withColumn("big_error", ((F.col("event_type") == "error") & (F.col("value") > 100)).cast("int"))
+
+
+def attempt_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events read as a log of generation attempts: one row per attempt of a dataset.
+
+    dataset_id = user_id, attempt_id = event_id, created_at = ts; error events
+    carry no input tokens, only purchases carry output tokens.
+    """
+    e = table(spark, sf_dir, "events")
+    v = F.col("value")
+    return e.select(
+        F.col("user_id").alias("dataset_id"), F.col("event_id").alias("attempt_id"),
+        F.col("ts").alias("created_at"),
+        F.when(F.col("event_type") != "error", F.floor(v)).cast("bigint").alias("input_tokens"),
+        F.when(F.col("event_type") == "purchase", F.floor(v / 2)).cast("bigint").alias("output_tokens"),
+        F.floor(v * 100).cast("bigint").alias("latency_ms"))
