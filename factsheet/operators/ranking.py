@@ -34,7 +34,7 @@ def _target_partitions(spark) -> int:
 
 
 def prefix_counts(freq: DataFrame, keys: list[str], value: str | list[str] = "v", count: str = "n",
-                  partitions: int | None = None, reliable: bool = False) -> DataFrame:
+                  partitions: int | None = None, reliable: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Add ``before`` (rows of the same key with a smaller value) and ``total``.
 
     ``freq`` must hold one row per distinct ``(keys, value)``; ``value`` must be
@@ -45,7 +45,7 @@ def prefix_counts(freq: DataFrame, keys: list[str], value: str | list[str] = "v"
     p = partitions or _target_partitions(spark)
     values = [value] if isinstance(value, str) else list(value)
     order = [*keys, *values]
-    ranged = (freq.select(*order, count)
+    ranged = (freq.select(*order, count, *carry)
               .repartitionByRange(p, *[F.col(k) for k in order])
               .sortWithinPartitions(*order))
     if reliable:
