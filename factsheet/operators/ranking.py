@@ -10,6 +10,9 @@ number of values of its key strictly below it. From that:
 * E1 average rank = before + (n + 1) / 2 (ties share the mean of their ranks);
 * D5 exact median = the value(s) covering positions (N-1)//2 and N//2.
 
+Groups small enough for one task (at most WINDOW_LIMIT distinct values, checked
+with one aggregate first) use a plain running-sum window instead.
+
 The range-partitioned table is persisted once and both passes read that
 cached plan: its range bounds are computed once, and a lost block is rebuilt
 from the same cached RDD lineage (same partitioner), so partition ids and
@@ -29,6 +32,21 @@ from pyspark.sql import types as ST
 from factsheet.session import ensure_checkpoint_dir
 
 
+WINDOW_LIMIT = 100_000
+
+
+def _window_prefix(freq: DataFrame, keys: list[str], values: list[str], count: str,
+                   carry: tuple[str, ...]) -> DataFrame:
+    """The bounded case: a running sum per key, each key's rows in one task (checked <= WINDOW_LIMIT)."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*keys).orderBy(*values)
+    before = F.coalesce(F.sum(count).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = F.sum(count).over(Window.partitionBy(*keys))
+    return freq.select(*keys, *values, count, *carry, before.cast("long").alias("before"),
+                       total.cast("long").alias("total"))
+
+
 def _target_partitions(spark) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -41,10 +59,15 @@ def prefix_counts(freq: DataFrame, keys: list[str], value: str | list[str] = "v"
     non-null and orderable.
     """
     spark = freq.sparkSession
-    ensure_checkpoint_dir(spark)
-    p = partitions or _target_partitions(spark)
     values = [value] if isinstance(value, str) else list(value)
     order = [*keys, *values]
+    # size check: groups of at most WINDOW_LIMIT distinct values may be ordered
+    # by a window inside one task each; larger ones take the range-partitioned path
+    sizes = freq.groupBy(*keys).agg(F.count(F.lit(1)).alias("_g")).agg(F.max("_g")).collect()[0][0]
+    if sizes is None or sizes <= WINDOW_LIMIT:
+        return _window_prefix(freq, keys, values, count, carry)
+    ensure_checkpoint_dir(spark)
+    p = partitions or _target_partitions(spark)
     ranged = (freq.select(*order, count, *carry)
               .repartitionByRange(p, *[F.col(k) for k in order])
               .sortWithinPartitions(*order))

@@ -210,6 +210,7 @@ def frequency_summary(freq: DataFrame) -> DataFrame:
     return freq.groupBy("ordinal").agg(
         F.count(F.lit(1)).alias("unique_count"),
         F.max("n").alias("top_n"),
+        F.min("n").alias("min_n"),
         F.sum("n").alias("eff_non_null"),
     )
 

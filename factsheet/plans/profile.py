@@ -80,6 +80,7 @@ class ColumnFacts:
     stage: dict[int, str]
     specs: list
     df: DataFrame             # normalised input
+    summary: dict | None = None  # ordinal -> frequency summary row
 
 
 @dataclass
@@ -127,7 +128,7 @@ def column_facts(df: DataFrame, target: str | None = None, th: T.Thresholds = T.
     freq = effective_frequencies(freq_all, coerced)
     if coerced:
         freq = freq.persist()
-    summary = {r["ordinal"]: r for r in frequency_summary(freq).collect()}
+    summary = {r["ordinal"]: r.asDict() for r in frequency_summary(freq).collect()}
     for row in rows:
         o = row["ordinal"]
         row["stage"] = stage[o]
@@ -137,7 +138,7 @@ def column_facts(df: DataFrame, target: str | None = None, th: T.Thresholds = T.
         row["eff_non_null"] = int(s["eff_non_null"]) if s else 0
     stats = with_derived(spark.createDataFrame(rows, STATS_SCHEMA), th)
     types = {r["ordinal"]: r["inferred_type"] for r in stats.select("ordinal", "inferred_type").collect()}
-    return ColumnFacts(stats, freq, n_rows, types, stage, specs, ndf)
+    return ColumnFacts(stats, freq, n_rows, types, stage, specs, ndf, summary)
 
 
 def numeric_medians(cf: ColumnFacts) -> DataFrame:
@@ -178,7 +179,9 @@ def target_outcome(cf: ColumnFacts, target: str, override: str | None) -> dict:
     trow = cf.stats.where(F.col("ordinal") == spec.ordinal)
     req = F.lit(override).cast("string")
     task, conf, refusal = R.override_outcome(req)
-    first = trow.select("non_null", "inferred_type", "unique_count", "stage").collect()[0]
+    first = trow.select("non_null", "inferred_type", "unique_count", "stage", task.alias("task"),
+                        conf.alias("conf"), refusal.alias("refusal"), R.inferred_task().alias("inferred")
+                        ).collect()[0]
     if first["non_null"] == 0:
         raise ProfileRefused("TARGET_ALL_NULL", f"'{target}' has no non-null values.", {"target_column": target})
     raw_distinct = first["unique_count"]
@@ -193,12 +196,14 @@ def target_outcome(cf: ColumnFacts, target: str, override: str | None) -> dict:
         raise ProfileRefused("TARGET_TYPE_UNSUPPORTED",
                              f"'{target}' looks like {first['inferred_type']} data.",
                              {"target_column": target, "inferred_type": first["inferred_type"]})
-    cls = (cf.freq.where(F.col("ordinal") == spec.ordinal)
-           .agg(F.max("n").alias("cmax"), F.min("n").alias("cmin"), F.count(F.lit(1)).alias("classes"))
-           .collect()[0])
-    t = trow.select(task.alias("task"), conf.alias("conf"), refusal.alias("refusal"),
-                    R.inferred_task().alias("inferred"), F.lit(cls["cmax"]).cast("bigint").alias("cmax"),
-                    F.lit(cls["cmin"]).cast("bigint").alias("cmin"), F.lit(cls["classes"]).alias("classes"))
+    cls = cf.summary.get(spec.ordinal) or {"top_n": None, "min_n": None, "unique_count": 0}
+    cls = {"cmax": cls["top_n"], "cmin": cls["min_n"], "classes": cls["unique_count"]}
+    # the metric rules run on the one-row outcome (literals), evaluated by Spark's constant folding
+    one = cf.stats.sparkSession.range(1)
+    t = one.select(F.lit(first["task"]).alias("task"), F.lit(first["conf"]).alias("conf"),
+                   F.lit(first["refusal"]).alias("refusal"), F.lit(first["inferred"]).alias("inferred"),
+                   F.lit(cls["cmax"]).cast("bigint").alias("cmax"), F.lit(cls["cmin"]).cast("bigint").alias("cmin"),
+                   F.lit(cls["classes"]).alias("classes"))
     t = t.withColumn("ratio", R.class_balance(F.col("task"), F.col("cmax"), F.col("cmin"), F.col("classes")))
     t = t.withColumn("primary", R.primary_metric(F.col("task"), F.col("ratio")))
     t = t.withColumn("secondary", R.secondary_metrics(F.col("task"), F.col("primary")))
