@@ -1 +1,7 @@
+"""No streaming operators.
 
+The reference profiles whole tables only: it has no watermarks, windows,
+stateful operators or late data (chunked or streaming profiling is ruled out
+there). Nothing is built here on purpose; profiles of a growing table are
+recomputed with ``profile_table`` and stored with ``operators.catalog``.
+"""
