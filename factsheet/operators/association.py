@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factsheet import thresholds as T
-from factsheet.operators.ranking import average_ranks
+from factsheet.operators.ranking import attach_average_rank
 
 def _null(t: str) -> Column:
     return F.lit(None).cast(t)
@@ -96,30 +96,25 @@ def purity_from_counts(c: DataFrame) -> DataFrame:
 
 
 def spearman_from_pairs(pairs: DataFrame) -> DataFrame:
-    """``pairs(ordinal, f, t)`` (both non-null doubles) -> ``(ordinal, association)``."""
+    """``pairs(ordinal, f, t)`` (both non-null doubles) -> ``(ordinal, association)``.
+
+    Pairs are counted once; each counted pair then gets the average rank of
+    its f and of its t within its column, attached where the rows sit (two
+    range shuffles, no rank tables joined back).
+    """
     pc = pairs.groupBy("ordinal", "f", "t").agg(F.count(F.lit(1)).alias("n"))
-    pc = pc.persist()
-    ff = pc.groupBy("ordinal", "f").agg(F.sum("n").alias("n")).select(
-        "ordinal", F.lit(0).alias("side"), F.col("f").alias("v"), "n")
-    tt = pc.groupBy("ordinal", "t").agg(F.sum("n").alias("n")).select(
-        "ordinal", F.lit(1).alias("side"), F.col("t").alias("v"), "n")
-    ranks = average_ranks(ff.unionByName(tt), ["ordinal", "side"])
-    # centre ranks on their mean (N + 1) / 2 for a well-conditioned correlation
-    ranks = ranks.select("ordinal", "side", "v",
-                         (F.col("rank") - (F.col("total") + 1) / 2.0).alias("rc")).persist()
-    rf = ranks.where("side = 0").select("ordinal", F.col("v").alias("f"), F.col("rc").alias("rf"))
-    rt = ranks.where("side = 1").select("ordinal", F.col("v").alias("t"), F.col("rc").alias("rt"))
-    distinct = ranks.groupBy("ordinal").agg(
-        F.sum(F.when(F.col("side") == 0, 1).otherwise(0)).alias("df"),
-        F.sum(F.when(F.col("side") == 1, 1).otherwise(0)).alias("dt"))
-    j = pc.join(rf, ["ordinal", "f"]).join(rt, ["ordinal", "t"])
-    s = j.groupBy("ordinal").agg(
+    r = attach_average_rank(pc, ["ordinal"], "f", "n", "rf")
+    r = attach_average_rank(r, ["ordinal"], "t", "n", "rt")
+    mid = (F.col("rf_total") + 1) / 2.0
+    rf, rt = F.col("rf") - mid, F.col("rt") - mid
+    s = r.groupBy("ordinal").agg(
         F.sum("n").alias("N"),
-        F.sum(F.col("n") * F.col("rf") * F.col("rt")).alias("sft"),
-        F.sum(F.col("n") * F.col("rf") * F.col("rf")).alias("sff"),
-        F.sum(F.col("n") * F.col("rt") * F.col("rt")).alias("stt")).join(distinct, "ordinal")
+        F.sum(F.col("n") * rf * rt).alias("sft"),
+        F.sum(F.col("n") * rf * rf).alias("sff"),
+        F.sum(F.col("n") * rt * rt).alias("stt"))
     rho = F.col("sft") / F.sqrt(F.col("sff") * F.col("stt"))
-    ok = (F.col("N") >= 2) & (F.col("df") >= 2) & (F.col("dt") >= 2)
+    # a constant side has every centred rank equal to 0
+    ok = (F.col("N") >= 2) & (F.col("sff") > 0) & (F.col("stt") > 0)
     return s.select("ordinal", F.when(ok, F.abs(rho)).alias("association"))
 
 

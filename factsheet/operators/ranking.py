@@ -152,3 +152,107 @@ def exact_medians(freq: DataFrame, keys: list[str], value: str = "v", count: str
             .groupBy(*keys)
             .agg(((F.max(F.when(covers_lo, F.col(value))) + F.max(F.when(covers_hi, F.col(value))))
                   / 2.0).alias("median")))
+
+
+def attach_average_rank(df: DataFrame, keys: list[str], value: str, count: str, out: str) -> DataFrame:
+    """Add ``out``: the average rank of each row's ``value`` among the rows of its key,
+    every row weighing ``count`` (rows may repeat a value), plus ``{out}_total``.
+
+    No join: the rank is computed where the rows sit. Keys of at most
+    WINDOW_LIMIT rows use a range-framed window; larger ones are
+    range-partitioned on ``(keys, value)`` — equal values always land in the
+    same partition, so tie groups are complete there — and partition offsets
+    come from one small totals table as in ``prefix_counts``.
+    """
+    from pyspark.sql import Window
+
+    spark = df.sparkSession
+    biggest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_g")).agg(F.max("_g")).collect()[0][0]
+    if biggest is None or biggest <= WINDOW_LIMIT:
+        w = Window.partitionBy(*keys).orderBy(value)
+        incl = F.sum(count).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        tie = F.sum(count).over(Window.partitionBy(*keys, value))
+        total = F.sum(count).over(Window.partitionBy(*keys))
+        return df.select("*", (incl - tie + (tie + 1) / 2.0).alias(out), total.cast("long").alias(f"{out}_total"))
+
+    from pyspark import StorageLevel
+
+    p = _target_partitions(spark)
+    ranged = (df.repartitionByRange(p, *[F.col(k) for k in [*keys, value]])
+              .sortWithinPartitions(*keys, value).persist(StorageLevel.MEMORY_AND_DISK))
+    totals = (ranged.groupBy(F.spark_partition_id().alias("_pid"), *keys)
+              .agg(F.sum(count).alias("_t")).collect())
+    by_key: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
+    for r in totals:
+        by_key[tuple(r[k] for k in keys)].append((r["_pid"], int(r["_t"])))
+    offsets: dict[tuple, int] = {}
+    grand: dict[tuple, int] = {}
+    for k, parts in by_key.items():
+        run = 0
+        for pid, t in sorted(parts):
+            offsets[(pid, *k)] = run
+            run += t
+        grand[k] = run
+    schema = ST.StructType(list(ranged.schema.fields) + [
+        ST.StructField(out, ST.DoubleType(), False), ST.StructField(f"{out}_total", ST.LongType(), False)])
+    names = list(ranged.columns)
+
+    def add_rank(batches):
+        import numpy as np
+        from pyspark import TaskContext
+
+        pid = TaskContext.get().partitionId()
+        # a tie group may straddle Arrow batches: hold the tail group back until it is complete
+        pending = None
+        carried: dict[tuple, int] = {}
+
+        def emit(pdf, final):
+            cnt = pdf[count].to_numpy(dtype="int64")
+            kcols = [pdf[k].to_numpy() for k in keys]
+            v = pdf[value].to_numpy()
+            n = len(pdf)
+            key_change = np.zeros(n, dtype=bool)
+            key_change[0] = True
+            for col in kcols:
+                key_change[1:] |= col[1:] != col[:-1]
+            tie_change = key_change.copy()
+            tie_change[1:] |= v[1:] != v[:-1]
+            tie_id = np.cumsum(tie_change) - 1
+            tie_starts = np.flatnonzero(tie_change)
+            tie_tot = np.add.reduceat(cnt, tie_starts)
+            excl = np.cumsum(cnt) - cnt
+            key_id = np.cumsum(key_change) - 1
+            key_starts = np.flatnonzero(key_change)
+            base = np.zeros(len(key_starts), dtype="int64")
+            tot = np.zeros(len(key_starts), dtype="int64")
+            ends = np.r_[key_starts[1:], n]
+            for j, st in enumerate(key_starts):
+                key = tuple(c[st] for c in kcols)
+                base[j] = offsets.get((pid, *key), 0) + carried.get(key, 0) - excl[st]
+                tot[j] = grand.get(key, 0)
+                carried[key] = carried.get(key, 0) + int(cnt[st:ends[j]].sum())
+            before = excl[tie_starts][tie_id] + base[key_id]
+            rank = before + (tie_tot[tie_id] + 1) / 2.0
+            return pdf.assign(**{out: rank, f"{out}_total": tot[key_id]})
+
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            if pending is not None:
+                pdf = pd.concat([pending, pdf], ignore_index=True)
+                pending = None
+            last = pdf.iloc[-1]
+            same = np.ones(len(pdf), dtype=bool)
+            for k in [*keys, value]:
+                same &= (pdf[k] == last[k]).to_numpy()
+            cut = len(pdf) - int(np.argmin(same[::-1])) if not same.all() else 0
+            if cut == 0:
+                pending = pdf
+                continue
+            pending = pdf.iloc[cut:].reset_index(drop=True)
+            yield emit(pdf.iloc[:cut].reset_index(drop=True), False)
+        if pending is not None and len(pending):
+            yield emit(pending, True)
+
+    _ = names
+    return ranged.mapInPandas(add_rank, schema)
