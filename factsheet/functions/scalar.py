@@ -136,8 +136,8 @@ def truncate_text(c: str | Column, n: int = T.SAMPLE_VALUE_MAX_CHARS) -> Column:
 
 
 def percent_text(x: str | Column) -> Column:
-    """Share as percent text with one decimal, e.g. 0.5734 -> '57.3%'."""
-    return F.concat(F.format_number(col_(x) * 100.0, 1), F.lit("%"))
+    """Share as percent text with one decimal (half up), e.g. 0.5734 -> '57.3%'."""
+    return F.format_string("%.1f%%", F.round(col_(x) * 100.0, 1))
 
 
 def nan_to_null(c: str | Column) -> Column:
@@ -152,12 +152,13 @@ def cutoff(as_of: str | Column, hours: int = T.DATASET_TTL_HOURS) -> Column:
     return ts - F.make_dt_interval(F.lit(0), F.lit(hours), F.lit(0), F.lit(0))
 
 
-# --- display labels (G10, G11) -----------------------------------------------
-# FIXED VALUES: display text for metrics, tasks and flag tone.
+# --- display text (G9, G10, G11) ---------------------------------------------
+# FIXED VALUES: display labels for metrics, tasks, flags and flag tones, the
+# association method phrases, and the metric rationale sentences.
 METRIC_LABELS = {
     "accuracy": "Accuracy",
-    "f1": "F1",
-    "f1_macro": "F1 (macro)",
+    "f1": "F1 Score",
+    "f1_macro": "F1 Macro",
     "pr_auc": "PR-AUC",
     "roc_auc": "ROC-AUC",
     "rmse": "RMSE",
@@ -169,6 +170,42 @@ TASK_LABELS = {
     "multiclass_classification": "Multiclass classification",
     "regression": "Regression",
 }
+FLAG_TONES = {
+    "potential_leakage": "error",
+    "all_missing": "error",
+    "high_missing": "warning",
+    "quasi_constant": "warning",
+    "constant": "warning",
+    "numeric_as_string": "warning",
+    "id_like": "neutral",
+    "high_cardinality": "neutral",
+}
+FLAG_LABELS = {
+    "potential_leakage": "possible leakage",
+    "all_missing": "all missing",
+    "high_missing": "high missing",
+    "quasi_constant": "quasi-constant",
+    "constant": "constant",
+    "numeric_as_string": "numeric as string",
+    "id_like": "id-like",
+    "high_cardinality": "high cardinality",
+}
+METHOD_PHRASES = {
+    "spearman": "rank association",
+    "eta": "eta association",
+    "purity": "purity association",
+    "none": "association",
+}
+RATIONALE_REGRESSION = ("This target is continuous, so the primary metric reports prediction error in the "
+                        "target's own units.")
+RATIONALE_MULTICLASS = ("This target has more than two classes, so the primary metric averages performance "
+                        "across every class equally rather than using a measure defined only for two.")
+RATIONALE_ACCURACY = ("The classes are close to balanced ({ratio}), so accuracy reflects real performance "
+                      "without a majority-class shortcut inflating it.")
+RATIONALE_F1 = ("The classes are imbalanced ({ratio}). F1 balances precision and recall, rather than rewarding "
+                "a model that mostly predicts the majority class.")
+RATIONALE_PR_AUC = ("The classes are heavily imbalanced ({ratio}). PR-AUC stays informative across decision "
+                    "thresholds, where accuracy or F1 would be dominated by the majority class.")
 
 
 def map_lookup(mapping: dict[str, str], key: Column) -> Column:
@@ -177,3 +214,19 @@ def map_lookup(mapping: dict[str, str], key: Column) -> Column:
     for k, v in mapping.items():
         pairs += [F.lit(k), F.lit(v)]
     return F.element_at(F.create_map(*pairs), key)
+
+
+def metric_rationale(task: Column, metric: Column, ratio: Column) -> Column:
+    """Why the primary metric was chosen, with the class ratio to two decimals."""
+    ratio_text = F.when(ratio.isNull(), F.lit("an unknown ratio")).otherwise(
+        F.concat(F.lit("about "), F.format_string("%.2f", F.round(ratio, 2)), F.lit(":1")))
+
+    def fill(template: str) -> Column:
+        head, tail = template.split("{ratio}")
+        return F.concat(F.lit(head), ratio_text, F.lit(tail))
+
+    return (F.when(task == "regression", F.lit(RATIONALE_REGRESSION))
+            .when(task == "multiclass_classification", F.lit(RATIONALE_MULTICLASS))
+            .when(metric == "accuracy", fill(RATIONALE_ACCURACY))
+            .when(metric == "f1", fill(RATIONALE_F1))
+            .otherwise(fill(RATIONALE_PR_AUC)))

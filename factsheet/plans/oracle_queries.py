@@ -180,3 +180,30 @@ _PROFILE_SELECT = (
     "association_method, flags")
 for _k, (_t, _c) in Q.PROFILES.items():
     ORACLE[_k] = _from_profile(_t, _PROFILE_SELECT, target=_c)
+
+from factsheet.functions import scalar as _S  # noqa: E402
+
+
+def _case(mapping: dict, col: str) -> str:
+    return "CASE " + " ".join(f"WHEN {col} = {lit(k)} THEN {lit(v)}" for k, v in mapping.items()) + " END"
+
+
+def _fill(template: str) -> str:
+    head, tail = template.split("{ratio}")
+    ratio = ("CASE WHEN class_balance_ratio IS NULL THEN 'an unknown ratio' ELSE "
+             "'about ' || printf('%.2f', round(class_balance_ratio, 2)) || ':1' END")
+    return f"{lit(head)} || {ratio} || {lit(tail)}"
+
+
+ORACLE["metric_rationale"] = _targets(
+    f"table_name, target_column, {_case(_S.TASK_LABELS, 'problem_type')} AS task_label, "
+    f"{_case(_S.METRIC_LABELS, 'primary_metric')} AS metric_label, "
+    f"CASE WHEN problem_type = 'regression' THEN {lit(_S.RATIONALE_REGRESSION)} "
+    f"WHEN problem_type = 'multiclass_classification' THEN {lit(_S.RATIONALE_MULTICLASS)} "
+    f"WHEN primary_metric = 'accuracy' THEN {_fill(_S.RATIONALE_ACCURACY)} "
+    f"WHEN primary_metric = 'f1' THEN {_fill(_S.RATIONALE_F1)} ELSE {_fill(_S.RATIONALE_PR_AUC)} END AS rationale")
+ORACLE["flag_labels"] = _profiles(
+    f"column_name, flag, {_case(_S.FLAG_LABELS, 'flag')} AS label, {_case(_S.FLAG_TONES, 'flag')} AS tone, "
+    f"printf('%.1f%%', round(missing_pct * 100, 1)) AS missing_text",
+    "flags <> ''").replace("FROM prof WHERE flags <> ''",
+                           "FROM (SELECT *, unnest(string_split(flags, ',')) AS flag FROM prof) WHERE flags <> ''")

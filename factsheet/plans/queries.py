@@ -426,3 +426,32 @@ def _profile_query(tname: str, target: str):
 
 for _k, (_t, _c) in PROFILES.items():
     QUERIES[_k] = _profile_query(_t, _c)
+
+
+# --- G9, G10, G11: display text ---------------------------------------------------
+
+@query("metric_rationale")
+def metric_rationale(spark, sf):
+    """G10/G11 metric and task labels and the rationale sentence for each target's primary metric."""
+    from factsheet.functions.scalar import METRIC_LABELS, TASK_LABELS, map_lookup
+    from factsheet.functions.scalar import metric_rationale as rationale
+
+    rows = _target_rows(spark, sf)
+    return rows.select("table_name", "target_column",
+                       map_lookup(TASK_LABELS, c("problem_type")).alias("task_label"),
+                       map_lookup(METRIC_LABELS, c("primary_metric")).alias("metric_label"),
+                       rationale(c("problem_type"), c("primary_metric"), c("class_balance_ratio")).alias("rationale"))
+
+
+@query("flag_labels")
+def flag_labels(spark, sf):
+    """G9/G11 every flag of every profiled column with its label and tone, and the missing share as text."""
+    from factsheet.functions.scalar import FLAG_LABELS, FLAG_TONES, map_lookup, percent_text
+
+    return _union([p.columns.select(F.lit(t).alias("table_name"), c("name").alias("column_name"),
+                                    F.explode("flags").alias("flag"), "missing_pct")
+                   .select("table_name", "column_name", "flag",
+                           map_lookup(FLAG_LABELS, c("flag")).alias("label"),
+                           map_lookup(FLAG_TONES, c("flag")).alias("tone"),
+                           percent_text("missing_pct").alias("missing_text"))
+                   for t, p in _profiles(spark, sf)])
