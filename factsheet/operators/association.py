@@ -54,7 +54,9 @@ def association_sample(df: DataFrame, threshold: int | None, seed: int = T.SAMPL
     if n <= threshold:
         return df, False
     h = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in df.columns])
-    return df.withColumn("_h", h).orderBy("_h").limit(threshold).drop("_h"), True
+    picked = df.withColumn("_h", h).orderBy("_h").limit(threshold).drop("_h")
+    # the top-k ends in one partition (at most `threshold` rows); spread it for the passes
+    return picked.repartition(df.sparkSession.sparkContext.defaultParallelism), True
 
 
 def group_stats_eta(pairs: DataFrame) -> DataFrame:
