@@ -57,6 +57,8 @@ STATS_SCHEMA = ST.StructType([
     ST.StructField("eff_non_null", ST.LongType()),
 ])
 
+MEDIAN_AGG_LIMIT = 1_000_000  # distinct values per column for the one-buffer exact median
+
 COLUMN_PROFILE_COLUMNS = [
     "dataset_id", "ordinal", "name", "inferred_type", "storage_type", "missing_count", "missing_pct",
     "unique_count", "unique_pct", "top_value_pct", "sample_values", "min", "max", "mean", "std",
@@ -147,6 +149,11 @@ def numeric_medians(cf: ColumnFacts) -> DataFrame:
     if not numeric:
         return cf.df.sparkSession.createDataFrame([], "ordinal int, median double")
     f = cf.freq.where(F.col("ordinal").isin(numeric)).select("ordinal", key_number().alias("v"), "n")
+    widest = max((cf.summary or {}).get(o, {}).get("unique_count", 0) or 0 for o in numeric)
+    if widest <= MEDIAN_AGG_LIMIT:
+        # size-checked: every column's distinct values (at most MEDIAN_AGG_LIMIT) fit one
+        # aggregation buffer; Spark's exact percentile with frequencies interpolates like pandas
+        return f.groupBy("ordinal").agg(F.percentile("v", 0.5, F.col("n")).alias("median"))
     return exact_medians(f, ["ordinal"])
 
 

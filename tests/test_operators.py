@@ -54,3 +54,30 @@ def test_metrics_brute_force(spark):
         at = d[d.s >= sc]
         ap += grp.y.sum() / P_ * at.y.sum() / len(at)
     assert r["pr_auc"] == pytest.approx(ap)
+
+
+@pytest.mark.parametrize("limit", [10, 10_000_000])
+def test_prefix_paths_agree_with_pandas(spark, monkeypatch, limit):
+    """Both the window path and the range-partitioned path give pandas' average ranks."""
+    from factsheet.operators import ranking as RK
+
+    monkeypatch.setattr(RK, "WINDOW_LIMIT", limit)
+    rng = np.random.default_rng(11)
+    pdf = pd.DataFrame({"g": rng.integers(0, 2, 3000), "v": rng.integers(0, 500, 3000).astype(float),
+                        "w": rng.integers(0, 50, 3000).astype(float)})
+    sdf = spark.createDataFrame(pdf).repartition(5)
+    freq = sdf.groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
+    got = {(r["g"], r["v"]): r["rank"] for r in RK.average_ranks(freq, ["g"]).collect()}
+    med = {r["g"]: r["median"] for r in RK.exact_medians(freq, ["g"]).collect()}
+    pc = sdf.groupBy("g", "v", "w").agg(F.count(F.lit(1)).alias("n"))
+    att = RK.attach_average_rank(pc, ["g"], "w", "n", "rw").collect()
+    for g, sub in pdf.groupby("g"):
+        exp = dict(zip(sub["v"], sub["v"].rank()))
+        for v, rk in exp.items():
+            assert got[(g, v)] == pytest.approx(rk)
+        assert med[g] == pytest.approx(sub["v"].median())
+        expw = dict(zip(sub["w"], sub["w"].rank()))
+        for r in att:
+            if r["g"] == g:
+                assert r["rw"] == pytest.approx(expw[r["w"]])
+                assert r["rw_total"] == len(sub)
