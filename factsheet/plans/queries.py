@@ -119,12 +119,17 @@ def _target_rows(spark, sf, targets=TARGETS) -> DataFrame:
     Only the target column is read (column pruning reaches the scan).
     """
     rows = []
+    by_table: dict[str, list[str]] = {}
     for tname, target in targets:
-        cf = column_facts(_load(spark, sf, tname).select(target), target)
-        t = target_outcome(cf, target, None)
-        rows.append((tname, target, cf.types[0], t["task"], float(t["conf"]),
-                     None if t["ratio"] is None else float(t["ratio"]), t["primary"], list(t["secondary"]),
-                     bool(t["overridden"])))
+        by_table.setdefault(tname, []).append(target)
+    for tname, cols in by_table.items():
+        # one pass over all targets of a table (only those columns are read)
+        cf = column_facts(_load(spark, sf, tname).select(*cols))
+        for target in cols:
+            t = target_outcome(cf, target, None)
+            rows.append((tname, target, cf.types[t["ordinal"]], t["task"], float(t["conf"]),
+                         None if t["ratio"] is None else float(t["ratio"]), t["primary"],
+                         list(t["secondary"]), bool(t["overridden"])))
     return spark.createDataFrame(rows, "table_name string, target_column string, inferred_type string, "
                                        "problem_type string, task_confidence double, class_balance_ratio double, "
                                        "primary_metric string, secondary_metrics array<string>, "
