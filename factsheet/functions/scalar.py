@@ -126,8 +126,9 @@ def parse_datetime(c: str | Column) -> Column:
         F.make_timestamp(s.cast("int"), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)),
     )
     parsed = F.coalesce(F.try_to_timestamp(s, first), F.try_to_timestamp(s, second), year)
-    # every pattern holds a four-digit year (or eight digits), a cheap first test
-    return F.when(s.rlike("[0-9]{4}"), parsed)
+    # cheap first tests: no accepted pattern is longer than 40 characters, and
+    # every one holds a four-digit year (or eight digits)
+    return F.when((F.length(s) <= 40) & s.rlike("[0-9]{4}"), parsed)
 
 
 def truncate_text(c: str | Column, n: int = T.SAMPLE_VALUE_MAX_CHARS) -> Column:

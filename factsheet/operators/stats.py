@@ -1,14 +1,13 @@
 """The two data passes every profile is built from.
 
-1. ``wide_facts``: one aggregate over the scan (batched by columns to stay
-   under codegen limits) giving, per column, the non-null count, the boolean
-   vocabulary test, the datetime and number parse counts, and min / max / mean
-   / sample std of the numbers. Parsed values are projected once before the
-   aggregate so each parse runs once per value.
-2. ``value_frequencies``: the effective values of all columns unpivoted into
-   long form and counted by ``(ordinal, value)`` in one shuffle. Map-side
-   partial aggregation collapses hot values before the shuffle, so a value
-   holding a third of the rows costs one row per map task.
+1. ``raw_frequencies``: the raw values of all columns unpivoted into long
+   form and counted by ``(ordinal, value)`` in one shuffle, nulls included.
+   Map-side partial aggregation collapses hot values before the shuffle, so a
+   value holding a third of the rows costs one row per map task.
+2. ``facts_from_frequencies``: per column, the non-null count, the boolean
+   vocabulary test, the datetime and number parse counts and min / max / mean
+   / sample std of the numbers, computed on the distinct values weighted by
+   their counts (each parse runs once per distinct value, not once per row).
 
 D1 missing, D2 distinct, D3 frequency table, D4 top share, D6 duplicates.
 """
@@ -24,12 +23,6 @@ from factsheet.operators.columns import (
     BOOLEAN, DATETIME, NUMERIC_STORAGE, STRING, ColumnSpec, effective_key, key_is_null, key_number, key_struct,
 )
 
-WIDE_BATCH = 100          # at most this many columns per aggregate
-WIDE_BUDGET = 60          # and at most this much expression weight (generated code stays < 64 KB)
-_WEIGHT = {STRING: 15}    # text columns carry the parse expressions; others weigh 1
-_MAX_DATE_TEXT = 40  # no accepted datetime pattern is longer than this once trimmed
-
-
 def _vocab_id(c: Column) -> Column:
     """Which boolean vocabulary a value falls in (1-based), 0 for none.
 
@@ -41,88 +34,6 @@ def _vocab_id(c: Column) -> Column:
     return F.when(c.isNotNull(), F.floor((pos + 1) / 2).cast("int"))
 
 
-def _projections(spec: ColumnSpec) -> list[Column]:
-    i, c = spec.ordinal, spec.ref
-    out = [c.isNotNull().alias(f"p{i}_nn")]
-    if spec.storage == STRING:
-        trimmed_len = F.length(strip(c))
-        out += [
-            _vocab_id(c).alias(f"p{i}_vid"),
-            F.when(trimmed_len <= _MAX_DATE_TEXT, parse_datetime(c).isNotNull())
-            .otherwise(F.when(c.isNotNull(), F.lit(False))).alias(f"p{i}_dt"),
-            parse_number(c).alias(f"p{i}_num"),
-        ]
-    elif spec.storage in NUMERIC_STORAGE:
-        out += [
-            F.when(c.isNotNull(), c.isin(0, 1)).alias(f"p{i}_b01"),
-            c.cast("double").alias(f"p{i}_num"),
-        ]
-    return out
-
-
-def _aggregates(spec: ColumnSpec) -> list[Column]:
-    i = spec.ordinal
-    out = [F.count_if(F.col(f"p{i}_nn")).alias(f"a{i}_nn")]
-    if spec.storage == STRING:
-        out += [
-            F.min(f"p{i}_vid").alias(f"a{i}_vmin"),
-            F.max(f"p{i}_vid").alias(f"a{i}_vmax"),
-            F.count_if(F.col(f"p{i}_dt")).alias(f"a{i}_dt"),
-        ]
-    elif spec.storage in NUMERIC_STORAGE:
-        out += [F.bool_and(f"p{i}_b01").alias(f"a{i}_b01")]
-    if spec.storage == STRING or spec.storage in NUMERIC_STORAGE:
-        v = F.col(f"p{i}_num")
-        out += [
-            F.count(v).alias(f"a{i}_num"),
-            F.min(v).alias(f"a{i}_min"),
-            F.max(v).alias(f"a{i}_max"),
-            F.avg(v).alias(f"a{i}_mean"),
-            F.stddev_samp(v).alias(f"a{i}_std"),
-        ]
-    return out
-
-
-def wide_facts(df: DataFrame, specs: list[ColumnSpec]) -> tuple[int, dict[int, dict]]:
-    """Run the wide pass; return (row count, per-ordinal facts).
-
-    The collected result is one row per batch of at most WIDE_BATCH columns,
-    so what reaches the driver grows with the column count only.
-    """
-    n_rows = None
-    facts: dict[int, dict] = {}
-    batches: list[list[ColumnSpec]] = [[]]
-    weight = 0
-    for s in specs:
-        w = _WEIGHT.get(s.storage, 1)
-        if batches[-1] and (len(batches[-1]) >= WIDE_BATCH or weight + w > WIDE_BUDGET):
-            batches.append([])
-            weight = 0
-        batches[-1].append(s)
-        weight += w
-    for batch in batches:
-        proj = [p for s in batch for p in _projections(s)]
-        aggs = [F.count(F.lit(1)).alias("n_rows")] + [a for s in batch for a in _aggregates(s)]
-        row = (df.select(*proj) if proj else df.select(F.lit(1).alias("one"))).agg(*aggs).collect()[0]
-        d = row.asDict()
-        n_rows = d["n_rows"]
-        for s in batch:
-            i = s.ordinal
-            f = {k[len(f"a{i}_"):]: v for k, v in d.items() if k.startswith(f"a{i}_")}
-            facts[i] = f
-    return int(n_rows or 0), facts
-
-
-def value_frequencies(df: DataFrame, specs: list[ColumnSpec], coerced: set[int]) -> DataFrame:
-    """D3: ``(ordinal, kl, kd, ks, n)`` — one row per distinct non-null effective value."""
-    if not specs:
-        return df.sparkSession.createDataFrame(
-            [], "ordinal int, kl bigint, kd double, ks string, n bigint")
-    structs = [key_struct(s.ordinal, effective_key(s, s.ordinal in coerced)) for s in specs]
-    long = df.select(F.inline(F.array(*structs))).where(~key_is_null())
-    return long.groupBy("ordinal", "kl", "kd", "ks").agg(F.count(F.lit(1)).alias("n"))
-
-
 def raw_frequencies(df: DataFrame, specs: list[ColumnSpec]) -> DataFrame:
     """Every column's raw values counted in one shuffle, nulls included.
 
@@ -249,6 +160,7 @@ def _has_map(dt) -> bool:
 
 
 __all__ = [
-    "wide_facts", "value_frequencies", "frequency_summary", "duplicate_row_count",
+    "raw_frequencies", "facts_from_frequencies", "effective_frequencies", "frequency_summary",
+    "duplicate_row_count",
     "BOOLEAN", "DATETIME",
 ]

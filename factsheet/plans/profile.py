@@ -165,13 +165,11 @@ def level_names(freq: DataFrame, ordinals: list[int], top: int = T.SAMPLE_VALUES
     """
     if not ordinals:
         return freq.sparkSession.createDataFrame([], "ordinal int, sample_values array<string>")
-    w = Window.partitionBy("ordinal").orderBy(F.col("n").desc(), key_text().asc())
     ranked = (freq.where(F.col("ordinal").isin(ordinals))
               .select("ordinal", "n", key_text().alias("v"))
               .withColumn("rn", F.row_number().over(Window.partitionBy("ordinal")
                                                      .orderBy(F.col("n").desc(), F.col("v").asc())))
               .where(F.col("rn") <= top))
-    _ = w
     return ranked.groupBy("ordinal").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rn", "v"))),
                     lambda s: F.substring(s["v"], 1, T.SAMPLE_VALUE_MAX_CHARS)).alias("sample_values"))
