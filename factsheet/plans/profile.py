@@ -83,6 +83,7 @@ class ColumnFacts:
     specs: list
     df: DataFrame             # normalised input
     summary: dict | None = None  # ordinal -> frequency summary row
+    cached: list = None          # DataFrames persisted for the passes (released by Profile.release)
 
 
 @dataclass
@@ -91,6 +92,24 @@ class Profile:
     columns: DataFrame
     facts: ColumnFacts
 
+    def materialize(self, path: str | None = None) -> "Profile":
+        """Compute both tables once (optionally written to ``path``) and free the intermediates."""
+        if path is not None:
+            from factsheet.operators.catalog import read_profile, write_profile
+
+            write_profile(self.dataset, self.columns, path)
+            ds_id = self.dataset.select("dataset_id").first()[0]
+            ds, cols = read_profile(self.dataset.sparkSession, path, ds_id)
+        else:
+            ds, cols = self.dataset.checkpoint(), self.columns.checkpoint()
+        self.release()
+        return Profile(ds, cols, self.facts)
+
+    def release(self) -> None:
+        """Unpersist every cached intermediate of this profile (input spread, value counts)."""
+        for df in self.facts.cached:
+            df.unpersist()
+
 
 def _spec_row(spec, n_rows: int, f: dict, is_target: bool) -> dict:
     return {
@@ -140,7 +159,8 @@ def column_facts(df: DataFrame, target: str | None = None, th: T.Thresholds = T.
         row["eff_non_null"] = int(s["eff_non_null"]) if s else 0
     stats = with_derived(spark.createDataFrame(rows, STATS_SCHEMA), th)
     types = {r["ordinal"]: r["inferred_type"] for r in stats.select("ordinal", "inferred_type").collect()}
-    return ColumnFacts(stats, freq, n_rows, types, stage, specs, ndf, summary)
+    cached = [freq_all] + ([freq] if coerced else []) + ([ndf] if ndf.is_cached else [])
+    return ColumnFacts(stats, freq, n_rows, types, stage, specs, ndf, summary, cached)
 
 
 def numeric_medians(cf: ColumnFacts) -> DataFrame:
