@@ -57,7 +57,7 @@ STATS_SCHEMA = ST.StructType([
     ST.StructField("eff_non_null", ST.LongType()),
 ])
 
-MEDIAN_AGG_LIMIT = 1_000_000  # distinct values per column for the one-buffer exact median
+MEDIAN_AGG_LIMIT = 200_000  # distinct values per column for the one-buffer exact median
 
 COLUMN_PROFILE_COLUMNS = [
     "dataset_id", "ordinal", "name", "inferred_type", "storage_type", "missing_count", "missing_pct",
@@ -168,13 +168,19 @@ def numeric_medians(cf: ColumnFacts) -> DataFrame:
     numeric = [o for o, t in cf.types.items() if t in ("numeric_discrete", "numeric_continuous")]
     if not numeric:
         return cf.df.sparkSession.createDataFrame([], "ordinal int, median double")
-    f = cf.freq.where(F.col("ordinal").isin(numeric)).select("ordinal", key_number().alias("v"), "n")
-    widest = max((cf.summary or {}).get(o, {}).get("unique_count", 0) or 0 for o in numeric)
-    if widest <= MEDIAN_AGG_LIMIT:
-        # size-checked: every column's distinct values (at most MEDIAN_AGG_LIMIT) fit one
+    distinct = {o: (cf.summary or {}).get(o, {}).get("unique_count", 0) or 0 for o in numeric}
+    narrow = [o for o in numeric if distinct[o] <= MEDIAN_AGG_LIMIT]
+    wide = [o for o in numeric if distinct[o] > MEDIAN_AGG_LIMIT]
+    parts = []
+    if narrow:
+        # size-checked: each such column's distinct values (at most MEDIAN_AGG_LIMIT) fit one
         # aggregation buffer; Spark's exact percentile with frequencies interpolates like pandas
-        return f.groupBy("ordinal").agg(F.percentile("v", 0.5, F.col("n")).alias("median"))
-    return exact_medians(f, ["ordinal"])
+        f = cf.freq.where(F.col("ordinal").isin(narrow)).select("ordinal", key_number().alias("v"), "n")
+        parts.append(f.groupBy("ordinal").agg(F.percentile("v", 0.5, F.col("n")).alias("median")))
+    if wide:
+        f = cf.freq.where(F.col("ordinal").isin(wide)).select("ordinal", key_number().alias("v"), "n")
+        parts.append(exact_medians(f, ["ordinal"]))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def level_names(freq: DataFrame, ordinals: list[int], top: int = T.SAMPLE_VALUES_TOP) -> DataFrame:
