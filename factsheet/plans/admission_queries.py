@@ -94,3 +94,7 @@ def input_bytes(spark, sf):
               "embeddings", "pages", "benchmark", "labels", "conversations"]:
         rows.append((t, C.input_bytes(spark, f"{sf.rstrip('/')}/{t}.parquet")))
     return spark.createDataFrame(rows, "table_name string, input_bytes bigint")
+
+
+ORACLE["csv_scan"] = ("SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus, "
+                      "CAST(o_totalprice AS VARCHAR) AS o_totalprice FROM orders")
