@@ -207,3 +207,11 @@ ORACLE["flag_labels"] = _profiles(
     f"printf('%.1f%%', round(missing_pct * 100, 1)) AS missing_text",
     "flags <> ''").replace("FROM prof WHERE flags <> ''",
                            "FROM (SELECT *, unnest(string_split(flags, ',')) AS flag FROM prof) WHERE flags <> ''")
+
+# B5 below its threshold: every row is used, so the result is the full-data association
+ORACLE["association_sample"] = profile_sql("lineitem", "l_linestatus") + (
+    "SELECT 'dataset' AS dataset_id, column_name, association_method, "
+    "round(target_association, 6) AS target_association, "
+    "(SELECT MAX(n_rows) FROM prof) > 200000 AS profiled_on_sample, "
+    "CAST(CASE WHEN (SELECT MAX(n_rows) FROM prof) > 200000 THEN 200000 END AS BIGINT) AS sample_rows, "
+    "n_rows FROM prof")
