@@ -149,5 +149,10 @@ def profile_roundtrip(spark, sf):
     ds, cols = K.read_profile(spark, path, "orders")
     docs = S.profile_json(ds.drop("state"), cols)
     parsed = S.parse_profile_json(docs, "struct<n_rows:bigint,columns:array<struct<name:string,flags:array<string>>>>")
-    return parsed.select("dataset_id", F.col("profile.n_rows").alias("n_rows"),
-                         F.inline("profile.columns"))
+    return (parsed.select("dataset_id", F.col("profile.n_rows").alias("n_rows"), F.inline("profile.columns"))
+            .select("dataset_id", "n_rows", F.col("name").alias("column_name"),
+                    F.array_join("flags", ",").alias("flags")))
+
+
+ORACLE["profile_roundtrip"] = profile_sql("orders", "o_orderstatus") + (
+    "SELECT 'orders' AS dataset_id, n_rows, column_name, flags FROM prof")
