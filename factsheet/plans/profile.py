@@ -2,11 +2,13 @@
 
 Plan shape (constant number of jobs whatever the column count):
 
-1. wide pass: one aggregate over the scan (per 100 columns)
-2. frequency pass: one shuffle counting ``(ordinal, effective value)``
+1. raw value counts: one scan, one shuffle counting ``(ordinal, value)`` for every column
+2. facts (parse tests, numeric sums) on those distinct values; text-coerced
+   columns re-keyed by their number from the same table
 3. driver settles types and task from one small row per column
 4. association: at most two long-form shuffles keyed by ordinal
-5. medians and Spearman ranks from range-partitioned prefix counts
+5. medians: a bounded exact percentile per narrow column, prefix counts for
+   wide ones; Spearman ranks attached in range-partitioned, sorted streams
 6. duplicates: one whole-row aggregate
 7. small per-column results joined by ordinal
 
