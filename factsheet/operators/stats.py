@@ -73,7 +73,11 @@ def facts_from_frequencies(freq_all: DataFrame, specs: list[ColumnSpec]) -> tupl
         F.sum(F.when(F.col("dt"), n).otherwise(F.when(F.col("dt").isNotNull(), 0))).alias("dt"),
         F.sum(F.when(F.col("x").isNotNull(), n)).alias("num"),
         F.min("x").alias("min"), F.max("x").alias("max"),
-        (F.sum(n * F.col("x")) / F.sum(F.when(F.col("x").isNotNull(), n))).alias("mean"))
+        (F.sum(n * F.col("x")) / F.sum(F.when(F.col("x").isNotNull(), n))).alias("mean"),
+        # the raw-value frequency summary, valid as is for every column not re-keyed by coercion
+        F.count(F.when(F.col("present"), 1)).alias("raw_unique"),
+        F.max(F.when(F.col("present"), n)).alias("raw_top"),
+        F.min(F.when(F.col("present"), n)).alias("raw_min"))
     rows = {r["ordinal"]: r.asDict() for r in agg.collect()}
     # sample std from the distinct values: sum n (x - mean)^2 / (N - 1)
     means = [(k, r["mean"]) for k, r in rows.items() if r["mean"] is not None and r["num"]]
@@ -89,7 +93,9 @@ def facts_from_frequencies(freq_all: DataFrame, specs: list[ColumnSpec]) -> tupl
     for s in specs:
         r = rows.get(s.ordinal, {})
         n_rows = max(n_rows, int(r.get("n_rows") or 0))
-        f = {"nn": int(r.get("nn") or 0)}
+        f = {"nn": int(r.get("nn") or 0), "raw_summary": {
+            "ordinal": s.ordinal, "unique_count": int(r.get("raw_unique") or 0), "top_n": r.get("raw_top"),
+            "min_n": r.get("raw_min"), "eff_non_null": int(r.get("nn") or 0)}}
         if s.storage == STRING:
             f.update(vmin=r.get("vmin"), vmax=r.get("vmax"), dt=int(r.get("dt") or 0))
         if s.storage in NUMERIC_STORAGE:

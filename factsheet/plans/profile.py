@@ -151,7 +151,10 @@ def column_facts(df: DataFrame, target: str | None = None, th: T.Thresholds = T.
     freq = effective_frequencies(freq_all, coerced)
     if coerced:
         freq = freq.persist()
-    summary = {r["ordinal"]: r.asDict() for r in frequency_summary(freq).collect()}
+    if coerced:
+        summary = {r["ordinal"]: r.asDict() for r in frequency_summary(freq).collect()}
+    else:  # effective values are the raw values: the facts pass already summarised them
+        summary = {o: f["raw_summary"] for o, f in facts.items() if f["raw_summary"]["unique_count"] > 0}
     for row in rows:
         o = row["ordinal"]
         row["stage"] = stage[o]
