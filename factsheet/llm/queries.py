@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .embeddings import embedding_groups
 from .exact_dedup import exact_duplicates
 from .mixing import mix_sources
 from .packing import pack_documents
+from .simhash import simhash_groups
 from .tokens import count_tokens
 
 
@@ -39,12 +41,23 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(common.table(spark, sf_dir, "documents")).drop("_row")
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings of equal label at cosine 0.93 or more."""
+    return embedding_groups(common.table(spark, sf_dir, "embeddings"))
+
+
+def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints of all documents and the components within three bits."""
+    return simhash_groups(common.table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every whole text by the whole-token shortcut."""
     return count_tokens(common.table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mix, op4_packing, op5_exact_dedup, op7_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_source_mix, op4_packing, op5_exact_dedup, op6_embedding_dedup, op7_token_counts,
+                                   op9_simhash_dedup)}
 
 ORACLE = {
     "op5_exact_dedup": r"""
