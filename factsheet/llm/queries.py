@@ -12,10 +12,14 @@ from pyspark.sql import functions as F
 from . import common
 from .embeddings import embedding_groups
 from .exact_dedup import exact_duplicates
+from .langid import label_languages
+from .langid import train as learn_languages
 from .mixing import mix_sources
 from .packing import pack_documents
 from .simhash import simhash_groups
 from .tokens import count_tokens
+from .toxicity import score_toxicity
+from .toxicity import train as learn_toxicity
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -24,6 +28,26 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def _remainder(column: str, by: int):
+    return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(by))
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from those whose remainder is not 2."""
+    docs = common.table(spark, sf_dir, "documents")
+    model = learn_languages(docs, learn_from=_remainder("doc_id", 4) != 2)
+    return label_languages(docs, model).select(
+        "doc_id", (_remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of every document, learnt from labels whose remainder is not 0."""
+    docs, labels = (common.table(spark, sf_dir, t) for t in ("documents", "labels"))
+    machine = learn_toxicity(docs, labels, learn_from=_remainder("doc_id", 5) != 0)
+    return score_toxicity(docs, machine).select(
+        "doc_id", (_remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted fair queueing over all documents: words taken from each."""
     return mix_sources(common.table(spark, sf_dir, "documents")).drop("_row")
@@ -56,7 +80,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(common.table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mix, op4_packing, op5_exact_dedup, op6_embedding_dedup, op7_token_counts,
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_source_mix, op3_toxicity, op4_packing, op5_exact_dedup, op6_embedding_dedup, op7_token_counts,
                                    op9_simhash_dedup)}
 
 ORACLE = {
