@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from . import common
 from .embeddings import embedding_groups
 from .exact_dedup import exact_duplicates
+from .html_text import extract_main_text
 from .langid import label_languages
 from .langid import train as learn_languages
 from .mixing import mix_sources
 from .packing import pack_documents
+from .pii import KINDS, find_personal_data, spans_text
 from .simhash import simhash_groups
 from .tokens import count_tokens
 from .toxicity import score_toxicity
@@ -70,6 +72,20 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_groups(common.table(spark, sf_dir, "embeddings"))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents: counts and digest of the fixed patterns' spans, and all spans."""
+    found = find_personal_data(common.table(spark, sf_dir, "documents"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [F.size(F.filter(kinds, lambda x: x == F.lit(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]  # noqa: B023
+    return found.select("doc_id", *counts, F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"),
+                        spans_text(F.sort_array(F.concat("base", "added"))).alias("spans"))
+
+
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages by composite text density."""
+    return extract_main_text(common.table(spark, sf_dir, "pages"))
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints of all documents and the components within three bits."""
     return simhash_groups(common.table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
@@ -81,7 +97,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_source_mix, op3_toxicity, op4_packing, op5_exact_dedup, op6_embedding_dedup, op7_token_counts,
-                                   op9_simhash_dedup)}
+                                   op8_personal_data, op9_simhash_dedup, op10_main_text)}
 
 ORACLE = {
     "op5_exact_dedup": r"""

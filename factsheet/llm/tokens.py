@@ -34,8 +34,8 @@ SAFE = re.compile("[\x21-\x7eÀ-ÖØ-öø-ÿ–—‘’“”…«»¿¡]*")
 #: Separators that Python splits at but the vocabulary's pattern doesn't.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 
-CHUNKS_KEPT = 300_000
-PIECES_KEPT = 400_000
+CHUNKS_KEPT = 400_000
+PIECES_KEPT = 1_000_000
 
 
 @lru_cache(maxsize=2)
