@@ -44,6 +44,21 @@ def drop_stored(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without_rows(docs: DataFrame, rows: DataFrame, row: str = "_row") -> DataFrame:
+    """The rows of a stored table whose number is not among ``rows``, with all columns."""
+    number = free_name(docs, "_number")
+    gone = stored(rows.select(F.col(row).alias(free_name(docs, "_gone"))), "gone")
+    return with_row(docs, number).join(gone, F.col(number) == F.col(gone.columns[0]), "left_anti").drop(number)
+
+
 def with_row(df: DataFrame, name: str = "_row") -> DataFrame:
     """Number the rows of a stored table; the same scan gives the same numbers again."""
     return df.withColumn(name, F.monotonically_increasing_id())

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, drop_stored, stored, with_row
+from .common import SPACE, stored, with_row, without_rows
 
 CHUNK_LEAST, CHUNK_MOST = 1024, 8192
 #: Marks after which a chunk may end: visible ASCII characters whose code is 1 modulo 4.
@@ -79,8 +79,7 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     that hands the group's result to its rows is an equi-join whose large partitions
     Spark may split.
     """
-    rows = stored(chunk_recipes(docs, id_col=id_col, text_col=text_col, **chunking), "recipe-rows") \
-        if "id_bits" in chunking else chunk_recipes(docs, id_col=id_col, text_col=text_col, **chunking)
+    rows = chunk_recipes(docs, id_col=id_col, text_col=text_col, **chunking)
     key = ["recipe", "variants"]
     # variants is null or a list; an equi-join needs it non-null
     rows = rows.withColumn("variants", F.coalesce("variants", F.array().cast(rows.schema["variants"].dataType)))
@@ -95,9 +94,4 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def drop_exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **chunking) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns (see ``exact_duplicates``)."""
     found = exact_duplicates(docs, id_col=id_col, text_col=text_col, **chunking)
-    gone = stored(found.where(~F.col("kept")).select(F.col("_row").alias("_exact_row")), "exact-gone")
-    numbered = with_row(docs, "_exact_number")
-    return numbered.join(gone, F.col("_exact_number") == F.col("_exact_row"), "left_anti").drop("_exact_number")
-
-
-__all__ = ["chunk_recipes", "exact_duplicates", "drop_exact_duplicates", "drop_stored"]
+    return without_rows(docs, found.where(~F.col("kept")))

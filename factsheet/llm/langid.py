@@ -91,6 +91,8 @@ def chunk_scores(model: Model, chunks: list[str]) -> tuple[np.ndarray, np.ndarra
     """Score per language and number of letters of each chunk."""
     k = len(model.langs)
     owner, bucket, letters, at, script = ngrams(chunks)
+    if not k:
+        return np.zeros((len(chunks), 0)), letters
     sums = np.stack([np.bincount(owner, model.logp[bucket, c], len(chunks)) for c in range(k)], axis=1)
     n = np.bincount(owner, minlength=len(chunks))
     # the mean n-gram, for each letter: long words say more than short ones, but not four times over

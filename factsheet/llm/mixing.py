@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, partition_offsets, stored, with_row
+from .common import WORD, free_name, partition_offsets, stored, with_row
 
 #: Sources are a dimension that people weigh by name; more than this is refused, not cut.
 MOST_SOURCES = 100_000
@@ -105,7 +105,7 @@ def mix_sources(docs: DataFrame, weights=cycled_weights, *, id_col: str = "doc_i
         F.broadcast(sources), F.col("source").eqNullSafe(F.col("of"))).drop("of")
 
     # the queue: each copy's finish time, sorted globally, with the words before it
-    finish = ((F.col("copy") * F.col("source_size") + F.col("up_to")) / F.col("target")).alias("finish")
+    finish = F.try_divide(F.col("copy") * F.col("source_size") + F.col("up_to"), F.col("target")).alias("finish")
     copies = queued.where("size > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).select(
         "_row", "doc_id", "size", "copy", finish)
     order = ["finish", F.col("doc_id").asc_nulls_last(), "_row", "copy"]
@@ -127,8 +127,9 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     The copy at the cut counts as whole when at least half of it is taken.
     """
     mix = mix_sources(docs, **options)
-    times = mix.where("taken > 0").select(
-        F.col("_row").alias("_mix_row"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_mix_times"))
-    numbered = with_row(docs, "_mix_number").join(times.where("_mix_times > 0"), F.col("_mix_number") == F.col("_mix_row"))
+    number, row, times = (free_name(docs, x) for x in ("_number", "_mix_row", "_mix_times"))
+    copies = mix.where("taken > 0").select(
+        F.col("_row").alias(row), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias(times)).where(F.col(times) > 0)
+    found = with_row(docs, number).join(copies, F.col(number) == F.col(row))
     names = [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
-    return numbered.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times")))).select(*names)
+    return found.select(*names, F.explode(F.sequence(F.lit(1), F.col(times))).alias(free_name(docs, "_copy"))).select(*names)

@@ -30,24 +30,24 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
-def _remainder(column: str, by: int):
+def remainder(column: str, by: int):
     return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(by))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learnt from those whose remainder is not 2."""
     docs = common.table(spark, sf_dir, "documents")
-    model = learn_languages(docs, learn_from=_remainder("doc_id", 4) != 2)
+    model = learn_languages(docs, learn_from=remainder("doc_id", 4) != 2)
     return label_languages(docs, model).select(
-        "doc_id", (_remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+        "doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity score of every document, learnt from labels whose remainder is not 0."""
     docs, labels = (common.table(spark, sf_dir, t) for t in ("documents", "labels"))
-    machine = learn_toxicity(docs, labels, learn_from=_remainder("doc_id", 5) != 0)
+    machine = learn_toxicity(docs, labels, learn_from=remainder("doc_id", 5) != 0)
     return score_toxicity(docs, machine).select(
-        "doc_id", (_remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+        "doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

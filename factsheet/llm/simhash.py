@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, stored, with_row
+from .common import small_batches, stored, with_row, without_rows
 from .components import components, roots
 from .pages import EMPTY, LINK, compare_groups
 
@@ -220,6 +220,4 @@ def simhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns (see ``simhash_groups``)."""
-    gone = stored(simhash_groups(docs, **options).where(~F.col("kept")).select(F.col("_row").alias("_near_row")), "near-gone")
-    numbered = with_row(docs, "_near_number")
-    return numbered.join(gone, F.col("_near_number") == F.col("_near_row"), "left_anti").drop("_near_number")
+    return without_rows(docs, simhash_groups(docs, **options).where(~F.col("kept")))

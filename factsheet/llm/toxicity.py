@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -188,20 +189,15 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
 def score_column(machine: Machine, spark, text: Column) -> Column:
     """The machine's score of a text column, for whole texts; null and empty texts get the score of no terms."""
-    from pyspark.sql.functions import pandas_udf
-
     small_batches(spark)
     sent = spark.sparkContext.broadcast(machine)
 
-    @pandas_udf(T.DoubleType())
-    def score(parts: Iterator) -> Iterator:
-        import pandas as pd
-
+    @F.pandas_udf(T.DoubleType())
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         buckets = Buckets(sent.value.wanted)
         for s in parts:
             yield pd.Series(sent.value.score([buckets.of(t) for t in s]), dtype="float64")
 
-    score.__annotations__ = {}
     return score(text)
 
 
