@@ -46,10 +46,6 @@ def main() -> None:
         "profile_4col": lambda: _profile(
             I.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_extendedprice", "l_returnflag",
                                                       "l_linestatus"), "l_linestatus"),
-        # the same shape in the reference's sampled association mode (exact 200,000-row sample)
-        "profile_4col_sampled": lambda: _profile(
-            I.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_extendedprice", "l_returnflag",
-                                                      "l_linestatus"), "l_linestatus", sample_threshold=200_000),
         "profile_lineitem": lambda: _profile(I.lineitem_nulls(spark, sf_dir), "l_linestatus"),
         "profile_lineitem_regression": lambda: _profile(I.lineitem_nulls(spark, sf_dir), "l_extendedprice"),
         "profile_orders_text": lambda: _profile(I.orders_text(spark, sf_dir), "o_orderstatus"),

@@ -77,7 +77,7 @@ BARE_YEAR_MIN, BARE_YEAR_MAX = 1678, 2261
 
 
 def col_(c: str | Column) -> Column:
-    return F.col(f"`{c}`") if isinstance(c, str) else c
+    return F.col("`" + c.replace("`", "``") + "`") if isinstance(c, str) else c
 
 
 def strip(c: str | Column) -> Column:
@@ -147,6 +147,12 @@ def nan_to_null(c: str | Column) -> Column:
     return F.when(~F.isnan(x), x)
 
 
+def md5_bucket(key: Column, buckets: int) -> Column:
+    """A stable bucket in [0, buckets) from the md5 of the key's text (same in any engine)."""
+    h = F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("bigint")
+    return (h % F.lit(buckets)).cast("int")
+
+
 def cutoff(as_of: str | Column, hours: int = T.DATASET_TTL_HOURS) -> Column:
     """as_of minus the TTL, in UTC."""
     ts = F.to_timestamp(F.lit(as_of)) if isinstance(as_of, str) else as_of

@@ -6,8 +6,8 @@ the scan; rows where the feature or the target is null are dropped first
 the ordinal, so the number of jobs does not depend on the number of columns:
 
 * eta (correlation ratio): groups ``(ordinal, group)`` -> count, mean, var_pop;
-  then per ordinal ``between = sum n (mean - grand)^2``,
-  ``total = sum n var + between``, ``eta = sqrt(clamp(between / total))``.
+  then per ordinal ``between`` and ``within`` sums of squares from one aggregate,
+  ``eta = sqrt(clamp(between / (between + within)))``.
 * purity: counts ``(ordinal, level, class)`` -> per level the majority count,
   per ordinal ``(sum majority / N - baseline) / (1 - baseline)`` clamped,
   baseline being the majority class share among the paired rows.
@@ -21,8 +21,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factsheet import thresholds as T
+from factsheet.functions.scalar import md5_bucket
 from factsheet.operators.ranking import attach_average_rank
+from factsheet.session import keep, store
+
 
 def _null(t: str) -> Column:
     return F.lit(None).cast(t)
@@ -42,21 +44,9 @@ def _not_null3(key: tuple) -> Column:
     return out
 
 
-def association_sample(df: DataFrame, threshold: int | None, seed: int = T.SAMPLE_SEED) -> tuple[DataFrame, bool]:
-    """Exactly ``threshold`` rows when the table is larger, chosen by a hash of row content.
-
-    A top-k by hash: each task keeps its best ``threshold`` rows, so at most
-    that many rows (a fixed bound) meet in the final merge. ``None`` keeps all rows.
-    """
-    if threshold is None:
-        return df, False
-    n = df.count()
-    if n <= threshold:
-        return df, False
-    h = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in df.columns])
-    picked = df.withColumn("_h", h).orderBy("_h").limit(threshold).drop("_h")
-    # the top-k ends in one partition (at most `threshold` rows); spread it for the passes
-    return picked.repartition(df.sparkSession.sparkContext.defaultParallelism), True
+def association_sample(df: DataFrame, key: Column, percent: int) -> DataFrame:
+    """The rows whose key falls in the first ``percent`` of 100 md5 buckets, at every size."""
+    return df.where(md5_bucket(key, 100) < percent)
 
 
 def group_stats_eta(pairs: DataFrame) -> DataFrame:
@@ -68,28 +58,32 @@ def group_stats_eta(pairs: DataFrame) -> DataFrame:
 
 
 def eta_from_groups(g: DataFrame) -> DataFrame:
-    per = g.groupBy("ordinal").agg(
-        F.sum("gn").alias("N"),
-        F.count(F.lit(1)).alias("groups"),
-        (F.sum(F.col("gn") * F.col("gmean")) / F.sum("gn")).alias("grand"),
+    """``between = sum n mean^2 - N grand^2`` and ``within = sum n var``, one aggregate per ordinal.
+
+    The callers shift ``x`` by its column's mean first, so ``grand`` is near zero and
+    the difference loses no digits; eta does not change under a shift.
+    """
+    n, m = F.col("gn"), F.col("gmean")
+    s = g.groupBy("ordinal").agg(
+        F.sum(n).alias("N"), F.count(F.lit(1)).alias("groups"), F.sum(n * m).alias("sum"),
+        F.sum(n * m * m).alias("squares"), F.sum(n * F.col("gvar")).alias("within"),
         F.min("gmin").alias("xmin"), F.max("gmax").alias("xmax"))
-    j = g.join(per, "ordinal")  # both sides keyed by ordinal; per is one row per column
-    ss = j.groupBy("ordinal", "N", "groups", "xmin", "xmax").agg(
-        F.sum(F.col("gn") * F.pow(F.col("gmean") - F.col("grand"), 2)).alias("between"),
-        F.sum(F.col("gn") * F.col("gvar")).alias("within"))
-    total = F.col("between") + F.col("within")
-    ratio = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("between") / total))
+    between = F.greatest(F.col("squares") - F.col("sum") * F.col("sum") / F.col("N"), F.lit(0.0))
+    total = between + F.col("within")
+    ratio = F.greatest(F.lit(0.0), F.least(F.lit(1.0), between / total))
     ok = (F.col("N") >= 2) & (F.col("groups") >= 2) & (F.col("xmin") < F.col("xmax")) & (total > 0)
-    return ss.select("ordinal", F.when(ok, F.sqrt(ratio)).alias("association"))
+    return s.select("ordinal", F.when(ok, F.sqrt(ratio)).alias("association"))
 
 
 def purity_from_counts(c: DataFrame) -> DataFrame:
     """``c(ordinal, fl, fd, fs, tl, td, ts, n)`` -> ``(ordinal, association)``."""
-    level = c.groupBy("ordinal", "fl", "fd", "fs").agg(F.max("n").alias("maj"), F.sum("n").alias("ln"))
-    cls = c.groupBy("ordinal", "tl", "td", "ts").agg(F.sum("n").alias("cn"))
-    lv = level.groupBy("ordinal").agg(F.sum("maj").alias("maj"), F.sum("ln").alias("N"))
-    cv = cls.groupBy("ordinal").agg(F.max("cn").alias("cmax"), F.count(F.lit(1)).alias("classes"))
-    j = lv.join(cv, "ordinal")
+    none = F.lit(None).cast("long")
+    level = c.groupBy("ordinal", "fl", "fd", "fs").agg(F.max("n").alias("maj"), F.sum("n").alias("ln")).select(
+        "ordinal", "maj", "ln", none.alias("cn"))
+    cls = c.groupBy("ordinal", "tl", "td", "ts").agg(F.sum("n").alias("cn")).select(
+        "ordinal", none.alias("maj"), none.alias("ln"), "cn")
+    j = level.unionByName(cls).groupBy("ordinal").agg(
+        F.sum("maj").alias("maj"), F.sum("ln").alias("N"), F.max("cn").alias("cmax"), F.count("cn").alias("classes"))
     base = F.col("cmax") / F.col("N")
     weighted = F.col("maj") / F.col("N")
     val = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (weighted - base) / (F.lit(1.0) - base)))
@@ -100,11 +94,10 @@ def purity_from_counts(c: DataFrame) -> DataFrame:
 def spearman_from_pairs(pairs: DataFrame) -> DataFrame:
     """``pairs(ordinal, f, t)`` (both non-null doubles) -> ``(ordinal, association)``.
 
-    Pairs are counted once; each counted pair then gets the average rank of
-    its f and of its t within its column, attached where the rows sit (two
-    range shuffles, no rank tables joined back).
+    Pairs are counted and stored once; each counted pair then gets the average
+    ranks of its f and of its t within its column, from the frequencies of either side.
     """
-    pc = pairs.groupBy("ordinal", "f", "t").agg(F.count(F.lit(1)).alias("n"))
+    pc = store(pairs.groupBy("ordinal", "f", "t").agg(F.count(F.lit(1)).alias("n")), "pairs")
     r = attach_average_rank(pc, ["ordinal"], "f", "n", "rf")
     r = attach_average_rank(r, ["ordinal"], "t", "n", "rt")
     mid = (F.col("rf_total") + 1) / 2.0
@@ -122,7 +115,7 @@ def spearman_from_pairs(pairs: DataFrame) -> DataFrame:
 
 def associations(df: DataFrame, routes: dict[int, str], feature_num: dict[int, Column],
                  feature_key: dict[int, tuple], target_num: Column | None,
-                 target_key: tuple | None, classification: bool) -> DataFrame:
+                 target_key: tuple | None, classification: bool, target_mean: Column | None = None) -> DataFrame:
     """D13 dispatch: ``(ordinal, association, association_method)`` for routed columns.
 
     ``routes`` maps ordinal -> 'eta_num' (numeric feature, class target),
@@ -155,7 +148,9 @@ def associations(df: DataFrame, routes: dict[int, str], feature_num: dict[int, C
                          tk[0].alias("tl"), tk[1].alias("td"), tk[2].alias("ts")).select("r.*", "tl", "td", "ts")
         g = long.groupBy("ordinal", "fl", "fd", "fs", "tl", "td", "ts").agg(
             F.count(F.lit(1)).alias("n"), F.avg("x").alias("gmean"), F.var_pop("x").alias("gvar"),
-            F.min("x").alias("gmin"), F.max("x").alias("gmax")).persist()
+            F.min("x").alias("gmin"), F.max("x").alias("gmax"))
+        if eta_num and pur:
+            g = keep(g)
         if eta_num:
             ge = g.where(F.col("ordinal").isin(eta_num)).select(
                 "ordinal", F.col("tl").alias("gl"), F.col("td").alias("gd"), F.col("ts").alias("gs"),
@@ -173,7 +168,7 @@ def associations(df: DataFrame, routes: dict[int, str], feature_num: dict[int, C
             structs.append(F.when(_not_null3(fk) & target_num.isNotNull(), F.struct(
                 F.lit(o).alias("ordinal"), k[0].alias("gl"), k[1].alias("gd"), k[2].alias("gs"))))
         long = df.select(F.explode(F.array_compact(F.array(*structs))).alias("r"),
-                         target_num.alias("x")).select("r.*", "x")
+                         (target_num - (F.lit(0.0) if target_mean is None else target_mean)).alias("x")).select("r.*", "x")
         parts.append(group_stats_eta(long).withColumn("association_method", F.lit("eta")))
 
     if not classification and spr:

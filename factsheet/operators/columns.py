@@ -83,23 +83,6 @@ def normalised(df: DataFrame, specs: list[ColumnSpec] | None = None) -> DataFram
     return df.select(*cols)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a small input enough partitions to use every core, and keep it for the passes.
-
-    Only taken when the scan yields fewer partitions than the cluster's default
-    parallelism, which bounds the input to a few splits' worth of data (one
-    row group per file, a handful of files). Large inputs already arrive in
-    many splits and are passed through untouched: no shuffle, no cache.
-    """
-    spark = df.sparkSession
-    parallelism = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= parallelism:
-        return df
-    from pyspark import StorageLevel
-
-    return df.repartition(parallelism).persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def raw_key(spec: ColumnSpec) -> tuple[Column | None, Column | None, Column | None]:
     """Value key of the raw (non-coerced) values of a column."""
     c = spec.ref

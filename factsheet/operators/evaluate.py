@@ -34,24 +34,21 @@ def ranking_metrics(df: DataFrame, label: str, score: str, positive=1) -> DataFr
     """roc_auc (rank formula, ties averaged) and pr_auc (average precision).
 
     Scores are counted per distinct value; ranks and the 'at or above'
-    counts come from range-partitioned prefix counts, never one task.
+    counts come from one pass of prefix counts that carries rows and positives.
     """
     d = (df.where(col_(label).isNotNull() & col_(score).isNotNull())
          .groupBy(col_(score).cast("double").alias("s"))
          .agg(F.count(F.lit(1)).alias("n"), F.sum((col_(label) == F.lit(positive)).cast("long")).alias("pn")))
-    up = prefix_counts(d, [], "s", "n", carry=("pn",))               # rows with a lower score
-    roc = up.agg(F.sum("pn").alias("P"), F.sum("n").alias("N"),
-                 F.sum(F.col("pn") * (F.col("before") + (F.col("n") + 1) / 2.0)).alias("rsum"))
-    desc = d.select((-F.col("s")).alias("ns"), "n", "pn")
-    above_n = prefix_counts(desc, [], "ns", "n").select("ns", (F.col("before") + F.col("n")).alias("at_n"))
-    above_p = prefix_counts(desc, [], "ns", "pn").select("ns", (F.col("before") + F.col("pn")).alias("at_p"), "pn")
-    pr = above_n.join(above_p, "ns").agg(
-        F.sum(F.when(F.col("at_n") > 0, F.col("pn") * F.col("at_p") / F.col("at_n"))).alias("ap_num"))
-    r = roc.collect()[0]
-    P, N = r["P"] or 0, (r["N"] or 0) - (r["P"] or 0)
-    auc = None if not P or not N else (r["rsum"] - P * (P + 1) / 2.0) / (P * N)
-    return pr.select(F.lit(auc).cast("double").alias("roc_auc"),
-                     (F.col("ap_num") / F.lit(P if P else None)).cast("double").alias("pr_auc"))
+    both = prefix_counts(d, [], "s", ("n", "pn"))
+    at_n, at_p = F.col("n_total") - F.col("n_before"), F.col("pn_total") - F.col("pn_before")  # rows at or above
+    sums = both.agg(
+        F.max("pn_total").alias("P"), (F.max("n_total") - F.max("pn_total")).alias("N"),
+        F.sum(F.col("pn") * (F.col("n_before") + (F.col("n") + 1) / 2.0)).alias("rsum"),
+        F.sum(F.col("pn") * at_p / at_n).alias("ap"))
+    P, N = F.col("P"), F.col("N")
+    return sums.select(
+        F.when((P > 0) & (N > 0), (F.col("rsum") - P * (P + 1) / 2.0) / (P * N)).cast("double").alias("roc_auc"),
+        F.when(P > 0, F.col("ap") / P).cast("double").alias("pr_auc"))
 
 
 def regression_metrics(df: DataFrame, label: str, pred: str) -> DataFrame:

@@ -10,18 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factsheet import thresholds as T
-from factsheet.functions.scalar import col_, parse_number
+from factsheet.functions.scalar import col_, md5_bucket, parse_number
 from factsheet.operators.ranking import exact_medians, prefix_counts
 
 RARE = "__rare__"
 
 
-def md5_bucket(key: Column, buckets: int) -> Column:
-    """A stable bucket in [0, buckets) from the md5 of the key's text (same in any engine)."""
-    h = F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("bigint")
-    return (h % F.lit(buckets)).cast("int")
-
-
 def split_holdout(df: DataFrame, key: Column, test_pct: int = 20) -> DataFrame:
     """K9: 'train' / 'test' by md5 bucket of the key (test_pct of 100 buckets)."""
     return df.withColumn("split", F.when(md5_bucket(key, 100) < 100 - test_pct, "train").otherwise("test"))

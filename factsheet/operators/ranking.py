@@ -1,140 +1,67 @@
-"""Order statistics over value-frequency tables without a single-task window.
+"""Order statistics over value-frequency tables, in two passes of prefix sums.
 
 A window ``partition by column order by value`` would put every distinct value
-of a column in one task. Instead a frequency table ``(key..., v, n)`` is
-range-partitioned on ``(key..., v)`` and sorted within partitions; its
-partition totals per key (at most partitions + keys rows) are collected, turned
-into offsets on the driver, and one ``mapInPandas`` pass adds, to each row, the
-number of values of its key strictly below it. From that:
+of a column in one task. Here a frequency table ``(key..., v, n)`` is range-sorted
+on ``(key..., v)`` and written with the number of its range. Pass one sums each key's
+counts per range; prefix sums over these totals (a key has at most one per range)
+give every range its offset. Pass two adds the running sum inside the range. So each
+row gets the number of values of its key strictly below it, and from that:
 
 * E1 average rank = before + (n + 1) / 2 (ties share the mean of their ranks);
 * D5 exact median = the value(s) covering positions (N-1)//2 and N//2.
 
-Groups small enough for one task (at most WINDOW_LIMIT distinct values, checked
-with one aggregate first) use a plain running-sum window instead.
-
-The range-partitioned table is persisted once and both passes read that
-cached plan: its range bounds are computed once, and a lost block is rebuilt
-from the same cached RDD lineage (same partitioner), so partition ids and
-contents agree between the totals pass and the offsets pass. ``reliable=True``
-writes a checkpoint to the shared checkpoint folder instead.
+Everything is a DataFrame plan: totals are joined, never collected, and keys are
+compared null-safe. The written table keeps the ranges fixed for both passes.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as ST
-
-from factsheet.session import ensure_checkpoint_dir
-
-
-WINDOW_LIMIT = 100_000
-
 
-def _window_prefix(freq: DataFrame, keys: list[str], values: list[str], count: str,
-                   carry: tuple[str, ...]) -> DataFrame:
-    """The bounded case: a running sum per key, each key's rows in one task (checked <= WINDOW_LIMIT)."""
-    from pyspark.sql import Window
+from factsheet.session import store
 
-    w = Window.partitionBy(*keys).orderBy(*values)
-    before = F.coalesce(F.sum(count).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum(count).over(Window.partitionBy(*keys))
-    return freq.select(*keys, *values, count, *carry, before.cast("long").alias("before"),
-                       total.cast("long").alias("total"))
+#: Rank tables are copied so often, and rows dealt over the copies, before they are joined:
+#: one value that many rows hold then spreads over as many tasks.
+SALTS = 8
+RANGE = "__range"
 
 
-def _target_partitions(spark) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
-def prefix_counts(freq: DataFrame, keys: list[str], value: str | list[str] = "v", count: str = "n",
-                  partitions: int | None = None, reliable: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def prefix_counts(freq: DataFrame, keys: list[str], value: str | list[str] = "v",
+                  count: str | tuple[str, ...] = "n", carry: tuple[str, ...] = ()) -> DataFrame:
     """Add ``before`` (rows of the same key with a smaller value) and ``total``.
 
-    ``freq`` must hold one row per distinct ``(keys, value)``; ``value`` must be
-    non-null and orderable.
+    ``freq`` must hold one row per distinct ``(keys, value)``; ties and nulls are
+    ordered as Spark sorts them. With several ``count`` columns, each gives a pair
+    ``{count}_before`` and ``{count}_total``.
     """
-    spark = freq.sparkSession
     values = [value] if isinstance(value, str) else list(value)
+    counts = (count,) if isinstance(count, str) else tuple(count)
     order = [*keys, *values]
-    # size check: groups of at most WINDOW_LIMIT distinct values may be ordered
-    # by a window inside one task each; larger ones take the range-partitioned path
-    sizes = freq.groupBy(*keys).agg(F.count(F.lit(1)).alias("_g")).agg(F.max("_g")).collect()[0][0]
-    if sizes is None or sizes <= WINDOW_LIMIT:
-        return _window_prefix(freq, keys, values, count, carry)
-    ensure_checkpoint_dir(spark)
-    p = partitions or _target_partitions(spark)
-    ranged = (freq.select(*order, count, *carry)
-              .repartitionByRange(p, *[F.col(k) for k in order])
-              .sortWithinPartitions(*order))
-    if reliable:
-        ranged = ranged.checkpoint(eager=True)
-    else:
-        from pyspark import StorageLevel
-
-        ranged = ranged.persist(StorageLevel.MEMORY_AND_DISK)
-    totals = (ranged.groupBy(F.spark_partition_id().alias("_pid"), *keys)
-              .agg(F.sum(count).alias("_t")).collect())
-    # offsets: rows of the same key held by earlier partitions
-    by_key: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
-    for r in totals:
-        by_key[tuple(r[k] for k in keys)].append((r["_pid"], int(r["_t"])))
-    offsets: dict[tuple, int] = {}
-    grand: dict[tuple, int] = {}
-    for k, parts in by_key.items():
-        run = 0
-        for pid, t in sorted(parts):
-            offsets[(pid, *k)] = run
-            run += t
-        grand[k] = run
-
-    schema = ST.StructType(list(ranged.schema.fields) + [
-        ST.StructField("before", ST.LongType(), False),
-        ST.StructField("total", ST.LongType(), False),
-    ])
-
-    def add_before(batches):
-        import numpy as np
-        from pyspark import TaskContext
-
-        pid = TaskContext.get().partitionId()
-        carried: dict[tuple, int] = {}
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            cnt = pdf[count].to_numpy(dtype="int64")
-            # rows arrive sorted by (keys, value): a key run starts where any key changes
-            if keys:
-                change = np.zeros(len(pdf), dtype=bool)
-                change[0] = True
-                for k in keys:
-                    col = pdf[k].to_numpy()
-                    change[1:] |= col[1:] != col[:-1]
-                starts = np.flatnonzero(change)
-            else:
-                starts = np.array([0])
-            run_id = np.cumsum(np.r_[True, np.zeros(len(pdf) - 1, dtype=bool)] if not keys else change) - 1
-            excl = np.cumsum(cnt) - cnt                       # rows before, within this batch
-            local = excl - excl[starts][run_id]                # rows before, within the key run
-            base = np.zeros(len(starts), dtype="int64")
-            tot = np.zeros(len(starts), dtype="int64")
-            ends = np.r_[starts[1:], len(pdf)]
-            for j, st in enumerate(starts):
-                key = tuple(pdf[k].iat[st] for k in keys)
-                base[j] = offsets.get((pid, *key), 0) + carried.get(key, 0)
-                tot[j] = grand.get(key, 0)
-                carried[key] = carried.get(key, 0) + int(cnt[st:ends[j]].sum())
-            yield pdf.assign(before=local + base[run_id], total=tot[run_id])
-
-    return ranged.mapInPandas(add_before, schema)
+    ranged = store(freq.select(*dict.fromkeys([*order, *counts, *carry]))
+                   .repartitionByRange(*order).withColumn(RANGE, F.spark_partition_id()), "ranges")
+    totals = ranged.groupBy(*keys, RANGE).agg(*(F.sum(c).alias(c) for c in counts))
+    earlier = Window.partitionBy(*keys).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
+    offsets = totals.select(
+        *(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col(RANGE).alias("__at"),
+        *(x for i, c in enumerate(counts) for x in (
+            F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"__b{i}"), F.sum(c).over(whole).alias(f"__t{i}"))))
+    inside = Window.partitionBy(*keys, RANGE).orderBy(*values).rowsBetween(Window.unboundedPreceding, -1)
+    local = ranged.select("*", *(F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"__l{i}") for i, c in enumerate(counts)))
+    same = reduce(lambda a, b: a & b, [F.col(RANGE) == F.col("__at"), *(
+        F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys))])
+    names = [("before", "total")] if isinstance(count, str) else [(f"{c}_before", f"{c}_total") for c in counts]
+    return local.join(offsets, same).select(
+        *dict.fromkeys([*order, *counts, *carry]),
+        *(x for i, (b, t) in enumerate(names) for x in (
+            (F.col(f"__b{i}") + F.col(f"__l{i}")).cast("long").alias(b), F.col(f"__t{i}").cast("long").alias(t))))
 
 
 def average_ranks(freq: DataFrame, keys: list[str], value: str = "v", count: str = "n") -> DataFrame:
-    """``(keys, v, n, rank)`` with tied values sharing their mean rank."""
+    """``(keys, v, n, total, rank)`` with tied values sharing their mean rank."""
     ranked = prefix_counts(freq, keys, value, count)
     return ranked.select(*keys, value, count, "total",
                          (F.col("before") + (F.col(count) + 1) / 2.0).alias("rank"))
@@ -158,101 +85,15 @@ def attach_average_rank(df: DataFrame, keys: list[str], value: str, count: str,
     """Add ``out``: the average rank of each row's ``value`` among the rows of its key,
     every row weighing ``count`` (rows may repeat a value), plus ``{out}_total``.
 
-    No join: the rank is computed where the rows sit. Keys of at most
-    WINDOW_LIMIT rows use a range-framed window; larger ones are
-    range-partitioned on ``(keys, value)`` — equal values always land in the
-    same partition, so tie groups are complete there — and partition offsets
-    come from one small totals table as in ``prefix_counts``.
+    Ranks come from the value frequencies, counted map-side first; they are joined
+    back by key and value, rows and rank table dealt over ``SALTS`` copies.
     """
-    from pyspark.sql import Window
-
-    spark = df.sparkSession
-    biggest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_g")).agg(F.max("_g")).collect()[0][0]
-    if biggest is None or biggest <= WINDOW_LIMIT:
-        w = Window.partitionBy(*keys).orderBy(value)
-        incl = F.sum(count).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-        tie = F.sum(count).over(Window.partitionBy(*keys, value))
-        total = F.sum(count).over(Window.partitionBy(*keys))
-        return df.select("*", (incl - tie + (tie + 1) / 2.0).alias(out), total.cast("long").alias(f"{out}_total"))
-
-    from pyspark import StorageLevel
-
-    p = _target_partitions(spark)
-    ranged = (df.repartitionByRange(p, *[F.col(k) for k in [*keys, value]])
-              .sortWithinPartitions(*keys, value).persist(StorageLevel.MEMORY_AND_DISK))
-    totals = (ranged.groupBy(F.spark_partition_id().alias("_pid"), *keys)
-              .agg(F.sum(count).alias("_t")).collect())
-    by_key: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
-    for r in totals:
-        by_key[tuple(r[k] for k in keys)].append((r["_pid"], int(r["_t"])))
-    offsets: dict[tuple, int] = {}
-    grand: dict[tuple, int] = {}
-    for k, parts in by_key.items():
-        run = 0
-        for pid, t in sorted(parts):
-            offsets[(pid, *k)] = run
-            run += t
-        grand[k] = run
-    schema = ST.StructType(list(ranged.schema.fields) + [
-        ST.StructField(out, ST.DoubleType(), False), ST.StructField(f"{out}_total", ST.LongType(), False)])
-    names = list(ranged.columns)
-
-    def add_rank(batches):
-        import numpy as np
-        from pyspark import TaskContext
-
-        pid = TaskContext.get().partitionId()
-        # a tie group may straddle Arrow batches: hold the tail group back until it is complete
-        pending = None
-        carried: dict[tuple, int] = {}
-
-        def emit(pdf, final):
-            cnt = pdf[count].to_numpy(dtype="int64")
-            kcols = [pdf[k].to_numpy() for k in keys]
-            v = pdf[value].to_numpy()
-            n = len(pdf)
-            key_change = np.zeros(n, dtype=bool)
-            key_change[0] = True
-            for col in kcols:
-                key_change[1:] |= col[1:] != col[:-1]
-            tie_change = key_change.copy()
-            tie_change[1:] |= v[1:] != v[:-1]
-            tie_id = np.cumsum(tie_change) - 1
-            tie_starts = np.flatnonzero(tie_change)
-            tie_tot = np.add.reduceat(cnt, tie_starts)
-            excl = np.cumsum(cnt) - cnt
-            key_id = np.cumsum(key_change) - 1
-            key_starts = np.flatnonzero(key_change)
-            base = np.zeros(len(key_starts), dtype="int64")
-            tot = np.zeros(len(key_starts), dtype="int64")
-            ends = np.r_[key_starts[1:], n]
-            for j, st in enumerate(key_starts):
-                key = tuple(c[st] for c in kcols)
-                base[j] = offsets.get((pid, *key), 0) + carried.get(key, 0) - excl[st]
-                tot[j] = grand.get(key, 0)
-                carried[key] = carried.get(key, 0) + int(cnt[st:ends[j]].sum())
-            before = excl[tie_starts][tie_id] + base[key_id]
-            rank = before + (tie_tot[tie_id] + 1) / 2.0
-            return pdf.assign(**{out: rank, f"{out}_total": tot[key_id]})
-
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            if pending is not None:
-                pdf = pd.concat([pending, pdf], ignore_index=True)
-                pending = None
-            last = pdf.iloc[-1]
-            same = np.ones(len(pdf), dtype=bool)
-            for k in [*keys, value]:
-                same &= (pdf[k] == last[k]).to_numpy()
-            cut = len(pdf) - int(np.argmin(same[::-1])) if not same.all() else 0
-            if cut == 0:
-                pending = pdf
-                continue
-            pending = pdf.iloc[cut:].reset_index(drop=True)
-            yield emit(pdf.iloc[:cut].reset_index(drop=True), False)
-        if pending is not None and len(pending):
-            yield emit(pending, True)
-
-    _ = names
-    return ranged.mapInPandas(add_rank, schema)
+    freq = df.groupBy(*keys, value).agg(F.sum(count).alias("__n"))
+    ranks = average_ranks(freq, keys, value, "__n").select(
+        *(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col(value).alias("__v"),
+        F.col("rank").alias(out), F.col("total").alias(f"{out}_total"),
+        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__s"))
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int"))
+    same = reduce(lambda a, b: a & b, [F.col(value) == F.col("__v"), F.col("__salt") == F.col("__s"), *(
+        F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys))])
+    return salted.join(ranks, same).select(*df.columns, out, f"{out}_total")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from factsheet import thresholds as T
 from factsheet.sources import csv as C
 from factsheet.plans import inputs as I
-from factsheet.plans.oracle import NUMBER_RE, SCHEMAS, lit
+from factsheet.plans.oracle import NUMBER_RE, SCHEMAS, lit, profile_sql
+from factsheet.plans.profile import profile_table
 from factsheet.session import scratch_path
 
 QUERIES: dict = {}
@@ -31,6 +33,42 @@ def csv_scan(spark, sf):
     return df.select("o_orderkey", "o_orderstatus", "o_totalprice")
 
 
+@q("csv_profile")
+def csv_profile(spark, sf):
+    """A1-A7, H20 orders with quoted text, written as CSV, admitted with native types and profiled."""
+    path = scratch_path(spark, "orders-quoted-csv")
+    (I.orders_text(spark, sf).write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path))
+    p = profile_table(C.load_csv(spark, f"{path}/*.csv"), "o_orderstatus", duplicates=False)
+    c = F.col
+    return p.columns.select(
+        c("name").alias("column_name"), "inferred_type", "missing_count", "unique_count",
+        F.round("top_value_pct", 6).alias("top_value_pct"), F.round("parse_rate", 6).alias("parse_rate"),
+        F.round("target_association", 6).alias("target_association"), "association_method")
+
+
+@q("malformed_rows")
+def malformed_rows(spark, sf):
+    """A5 orders written as lines in which urgent orders have a field too many: rows the scan finds malformed."""
+    path = scratch_path(spark, "orders-ragged-csv")
+    c = F.col
+    key, more = c("o_orderkey").cast("string"), F.when(c("o_orderpriority") == "1-URGENT", F.lit("more"))
+    I.table(spark, sf, "orders").select(F.concat_ws(",", key, "o_orderstatus", "o_orderpriority", more)).write.text(path)
+    df = C.scan(spark, path, ["o_orderkey", "o_orderstatus", "o_orderpriority"], header=False)
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.count(C.OVERFLOW).alias("malformed"))
+
+
+@q("duplicate_headers")
+def duplicate_headers(spark, sf):
+    """A3 a header of the nations' region names in the order of the nations: names that repeat, in order."""
+    path = scratch_path(spark, "header-csv")
+    n, r = I.table(spark, sf, "nation"), I.table(spark, sf, "region")
+    named = n.join(r, n["n_regionkey"] == r["r_regionkey"]).groupBy().agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "r_name"))), lambda x: x["r_name"]), ",").alias("h"))
+    named.coalesce(1).write.text(path)
+    names = C.read_header(spark, path)
+    return C.duplicate_header_table(spark, names).select(F.col("name").alias("column_name"), F.col("n").cast("int").alias("times"))
+
+
 @q("native_types")
 def native_types(spark, sf):
     """A2 CSV-reader types of every column of five tables written as text."""
@@ -68,7 +106,7 @@ def shape_check(spark, sf):
     cases.append(("lineitem_negative_qty", I.table(spark, sf, "lineitem").where(F.col("l_quantity") < 0)))
     out = None
     for name, df in cases:
-        r = C.shape_status(df).select(F.lit(name).alias("table_name"), "n_columns", "n_rows", "status")
+        r = C.shape_status(df, T.MAX_COLS).select(F.lit(name).alias("table_name"), "n_columns", "n_rows", "status")
         out = r if out is None else out.unionByName(r)
     return out
 
@@ -96,5 +134,12 @@ def input_bytes(spark, sf):
     return spark.createDataFrame(rows, "table_name string, input_bytes bigint")
 
 
-ORACLE["csv_scan"] = ("SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus, "
-                      "CAST(o_totalprice AS VARCHAR) AS o_totalprice FROM orders")
+ORACLE["csv_scan"] = "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders"
+ORACLE["csv_profile"] = profile_sql("orders_text", "o_orderstatus") + (
+    "SELECT column_name, inferred_type, missing_count, unique_count, round(top_value_pct, 6) AS top_value_pct, "
+    "round(parse_rate, 6) AS parse_rate, round(target_association, 6) AS target_association, association_method FROM prof")
+ORACLE["malformed_rows"] = (
+    "SELECT COUNT(*) AS n_rows, COUNT(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS malformed FROM orders")
+ORACLE["duplicate_headers"] = (
+    "SELECT r_name AS column_name, CAST(COUNT(*) AS INTEGER) AS times FROM nation JOIN region "
+    "ON n_regionkey = r_regionkey GROUP BY r_name HAVING COUNT(*) > 1")

@@ -32,6 +32,9 @@ VIEWS = {
         "CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS status_01, "
         "CASE WHEN o_orderpriority = '1-URGENT' AND o_custkey < 5 THEN 'F' ELSE o_orderstatus END AS leak "
         "FROM orders"),
+    "lineitem_half": (
+        "SELECT * FROM lineitem WHERE CAST(('0x' || substr(md5(l_orderkey || '-' || l_linenumber), 1, 8)) AS BIGINT)"
+        " % 100 < 50"),
     "events_flagged": (
         "SELECT event_id, ts, user_id, event_type, value, props, "
         "CAST(event_type = 'error' AND value > 100 AS INTEGER) AS big_error FROM events"),
@@ -53,7 +56,7 @@ SCHEMAS = {
     "embeddings": [("vec_id", I), ("embedding", C), ("label", I)],
     "conversations": [("conv_id", I), ("turn", I), ("role", S), ("text", S)],
 }
-SCHEMAS["lineitem_nulls"] = SCHEMAS["lineitem"]
+SCHEMAS["lineitem_nulls"] = SCHEMAS["lineitem_half"] = SCHEMAS["lineitem"]
 SCHEMAS["documents_labelled"] = [("doc_id", I), ("lang", S), ("source", S), ("n_chars", I), ("text", S),
                                  ("quality", I), ("toxic", I)]
 SCHEMAS["orders_text"] = [("o_orderkey", I), ("o_custkey", I), ("o_orderstatus", S), ("o_totalprice", Fl),

@@ -208,10 +208,8 @@ ORACLE["flag_labels"] = _profiles(
     "flags <> ''").replace("FROM prof WHERE flags <> ''",
                            "FROM (SELECT *, unnest(string_split(flags, ',')) AS flag FROM prof) WHERE flags <> ''")
 
-# B5 below its threshold: every row is used, so the result is the full-data association
-ORACLE["association_sample"] = profile_sql("lineitem", "l_linestatus") + (
+# Association over half of the md5 buckets of the row's key, the row count over all
+ORACLE["association_sample"] = profile_sql("lineitem_half", "l_linestatus") + (
     "SELECT 'dataset' AS dataset_id, column_name, association_method, "
-    "round(target_association, 6) AS target_association, "
-    "(SELECT MAX(n_rows) FROM prof) > 200000 AS profiled_on_sample, "
-    "CAST(CASE WHEN (SELECT MAX(n_rows) FROM prof) > 200000 THEN 200000 END AS BIGINT) AS sample_rows, "
-    "n_rows FROM prof")
+    "round(target_association, 6) AS target_association, TRUE AS profiled_on_sample, "
+    "50 AS sample_percent, (SELECT COUNT(*) FROM lineitem) AS n_rows FROM prof")

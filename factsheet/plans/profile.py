@@ -7,8 +7,7 @@ Plan shape (constant number of jobs whatever the column count):
    columns re-keyed by their number from the same table
 3. driver settles types and task from one small row per column
 4. association: at most two long-form shuffles keyed by ordinal
-5. medians: a bounded exact percentile per narrow column, prefix counts for
-   wide ones; Spearman ranks attached in range-partitioned, sorted streams
+5. medians and Spearman ranks from two-pass prefix counts over the value frequencies
 6. duplicates: one whole-row aggregate
 7. small per-column results joined by ordinal
 
@@ -25,13 +24,14 @@ from pyspark.sql import types as ST
 
 from factsheet import thresholds as T
 from factsheet.errors import ProfileRefused
-from factsheet.functions.scalar import parse_number, truncate_text
+from factsheet.functions.scalar import parse_number
 from factsheet.operators import rules as R
 from factsheet.operators.association import association_sample, associations
 from factsheet.operators.columns import (
-    NUMERIC_STORAGE, STRING, column_specs, effective_key, key_number, key_text, normalised, raw_key, spread,
+    NUMERIC_STORAGE, STRING, column_specs, effective_key, key_number, key_text, normalised, raw_key,
 )
 from factsheet.operators.ranking import exact_medians
+from factsheet.session import Scratch, keep, local_rows, scratch_scope
 from factsheet.operators.stats import (
     duplicate_row_count, effective_frequencies, facts_from_frequencies, frequency_summary, raw_frequencies,
 )
@@ -59,8 +59,6 @@ STATS_SCHEMA = ST.StructType([
     ST.StructField("eff_non_null", ST.LongType()),
 ])
 
-MEDIAN_AGG_LIMIT = 200_000  # distinct values per column for the one-buffer exact median
-
 COLUMN_PROFILE_COLUMNS = [
     "dataset_id", "ordinal", "name", "inferred_type", "storage_type", "missing_count", "missing_pct",
     "unique_count", "unique_pct", "top_value_pct", "sample_values", "min", "max", "mean", "std",
@@ -69,7 +67,7 @@ COLUMN_PROFILE_COLUMNS = [
 DATASET_PROFILE_COLUMNS = [
     "dataset_id", "source_name", "n_rows", "n_columns", "target_column", "problem_type",
     "task_confidence", "primary_metric", "secondary_metrics", "class_balance_ratio",
-    "duplicate_row_count", "profiled_on_sample", "sample_rows", "task_overridden",
+    "duplicate_row_count", "profiled_on_sample", "sample_percent", "task_overridden",
 ]
 
 
@@ -85,7 +83,7 @@ class ColumnFacts:
     specs: list
     df: DataFrame             # normalised input
     summary: dict | None = None  # ordinal -> frequency summary row
-    cached: list = None          # DataFrames persisted for the passes (released by Profile.release)
+    means: dict | None = None    # ordinal -> mean of its numbers
 
 
 @dataclass
@@ -93,6 +91,7 @@ class Profile:
     dataset: DataFrame
     columns: DataFrame
     facts: ColumnFacts
+    scratch: Scratch | None = None
 
     def materialize(self, path: str | None = None) -> "Profile":
         """Compute both tables once (optionally written to ``path``) and free the intermediates."""
@@ -108,9 +107,9 @@ class Profile:
         return Profile(ds, cols, self.facts)
 
     def release(self) -> None:
-        """Unpersist every cached intermediate of this profile (input spread, value counts)."""
-        for df in self.facts.cached:
-            df.unpersist()
+        """Free every cached and written intermediate of this profile."""
+        if self.scratch is not None:
+            self.scratch.release()
 
 
 def _spec_row(spec, n_rows: int, f: dict, is_target: bool) -> dict:
@@ -141,17 +140,16 @@ def column_facts(df: DataFrame, target: str | None = None, th: T.Thresholds = T.
     the distinct values, effective frequencies, final types."""
     spark = df.sparkSession
     specs = column_specs(df)
-    ndf = spread(normalised(df, specs))
-    freq_all = raw_frequencies(ndf, specs).persist()
+    ndf = normalised(df, specs)
+    freq_all = keep(raw_frequencies(ndf, specs))
     n_rows, facts = facts_from_frequencies(freq_all, specs)
     rows = [_spec_row(s, n_rows, facts[s.ordinal], s.name == target) for s in specs]
-    stage_df = spark.createDataFrame(rows, STATS_SCHEMA).withColumn("stage", R.ladder_stage(th))
+    stage_df = local_rows(spark, rows, STATS_SCHEMA).withColumn("stage", R.ladder_stage(th))
     stage = {r["ordinal"]: r["stage"] for r in stage_df.select("ordinal", "stage").collect()}
     coerced = {o for o, s in stage.items() if s == "coerced"}
     freq = effective_frequencies(freq_all, coerced)
     if coerced:
-        freq = freq.persist()
-    if coerced:
+        freq = keep(freq)
         summary = {r["ordinal"]: r.asDict() for r in frequency_summary(freq).collect()}
     else:  # effective values are the raw values: the facts pass already summarised them
         summary = {o: f["raw_summary"] for o, f in facts.items() if f["raw_summary"]["unique_count"] > 0}
@@ -162,10 +160,10 @@ def column_facts(df: DataFrame, target: str | None = None, th: T.Thresholds = T.
         row["unique_count"] = int(s["unique_count"]) if s else 0
         row["top_n"] = int(s["top_n"]) if s else None
         row["eff_non_null"] = int(s["eff_non_null"]) if s else 0
-    stats = with_derived(spark.createDataFrame(rows, STATS_SCHEMA), th)
+    stats = with_derived(local_rows(spark, rows, STATS_SCHEMA), th)
     types = {r["ordinal"]: r["inferred_type"] for r in stats.select("ordinal", "inferred_type").collect()}
-    cached = [freq_all] + ([freq] if coerced else []) + ([ndf] if ndf.is_cached else [])
-    return ColumnFacts(stats, freq, n_rows, types, stage, specs, ndf, summary, cached)
+    means = {r["ordinal"]: r["nmean"] for r in rows}
+    return ColumnFacts(stats, freq, n_rows, types, stage, specs, ndf, summary, means)
 
 
 def numeric_medians(cf: ColumnFacts) -> DataFrame:
@@ -173,19 +171,8 @@ def numeric_medians(cf: ColumnFacts) -> DataFrame:
     numeric = [o for o, t in cf.types.items() if t in ("numeric_discrete", "numeric_continuous")]
     if not numeric:
         return cf.df.sparkSession.createDataFrame([], "ordinal int, median double")
-    distinct = {o: (cf.summary or {}).get(o, {}).get("unique_count", 0) or 0 for o in numeric}
-    narrow = [o for o in numeric if distinct[o] <= MEDIAN_AGG_LIMIT]
-    wide = [o for o in numeric if distinct[o] > MEDIAN_AGG_LIMIT]
-    parts = []
-    if narrow:
-        # size-checked: each such column's distinct values (at most MEDIAN_AGG_LIMIT) fit one
-        # aggregation buffer; Spark's exact percentile with frequencies interpolates like pandas
-        f = cf.freq.where(F.col("ordinal").isin(narrow)).select("ordinal", key_number().alias("v"), "n")
-        parts.append(f.groupBy("ordinal").agg(F.percentile("v", 0.5, F.col("n")).alias("median")))
-    if wide:
-        f = cf.freq.where(F.col("ordinal").isin(wide)).select("ordinal", key_number().alias("v"), "n")
-        parts.append(exact_medians(f, ["ordinal"]))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    f = cf.freq.where(F.col("ordinal").isin(numeric)).select("ordinal", key_number().alias("v"), "n")
+    return exact_medians(f, ["ordinal"])
 
 
 def level_names(freq: DataFrame, ordinals: list[int], top: int = T.SAMPLE_VALUES_TOP) -> DataFrame:
@@ -235,8 +222,7 @@ def target_outcome(cf: ColumnFacts, target: str, override: str | None) -> dict:
     cls = cf.summary.get(spec.ordinal) or {"top_n": None, "min_n": None, "unique_count": 0}
     cls = {"cmax": cls["top_n"], "cmin": cls["min_n"], "classes": cls["unique_count"]}
     # the metric rules run on the one-row outcome (literals), evaluated by Spark's constant folding
-    one = cf.stats.sparkSession.range(1)
-    t = one.select(F.lit(first["task"]).alias("task"), F.lit(first["conf"]).alias("conf"),
+    t = cf.stats.limit(0).select(F.lit(1)).agg(F.lit(1)).select(F.lit(first["task"]).alias("task"), F.lit(first["conf"]).alias("conf"),
                    F.lit(first["refusal"]).alias("refusal"), F.lit(first["inferred"]).alias("inferred"),
                    F.lit(cls["cmax"]).cast("bigint").alias("cmax"), F.lit(cls["cmin"]).cast("bigint").alias("cmin"),
                    F.lit(cls["classes"]).alias("classes"))
@@ -274,20 +260,21 @@ def effective_number(spec, coerced: bool) -> Column:
     return spec.ref.cast("double")
 
 
-def target_associations(cf: ColumnFacts, t: dict, sample_threshold: int | None) -> tuple[DataFrame, bool, int | None]:
-    """D13 over the whole table (default) or the B5 sample."""
+def target_associations(cf: ColumnFacts, t: dict, sample_key: Column | None, sample_percent: int) -> DataFrame:
+    """D13 over the whole table, or over the B5 sample when a key to sample by is given."""
     routes = feature_routes(cf, t["ordinal"], t["task"])
     specs = {s.ordinal: s for s in cf.specs}
     tspec = specs[t["ordinal"]]
     coerced = {o for o, s in cf.stage.items() if s == "coerced"}
-    base, sampled = association_sample(cf.df, sample_threshold)
-    feature_num = {o: effective_number(specs[o], o in coerced) for o in routes}
+    base = cf.df if sample_key is None else association_sample(cf.df, sample_key, sample_percent)
+    shift = lambda o: F.lit(float(cf.means.get(o) or 0.0))  # noqa: E731  (see eta_from_groups)
+    feature_num = {o: effective_number(specs[o], o in coerced) - shift(o) if r == "eta_num"
+                   else effective_number(specs[o], o in coerced) for o, r in routes.items()}
     feature_key = {o: effective_key(specs[o], o in coerced) for o in routes}
     target_num = effective_number(tspec, t["ordinal"] in coerced)
     target_key = effective_key(tspec, t["ordinal"] in coerced)
-    assoc = associations(base, routes, feature_num, feature_key, target_num, target_key,
-                         classification=t["task"] != "regression")
-    return assoc, sampled, (sample_threshold if sampled else None)
+    return associations(base, routes, feature_num, feature_key, target_num, target_key,
+                        classification=t["task"] != "regression", target_mean=shift(t["ordinal"]))
 
 
 def assemble_columns(cf: ColumnFacts, assoc: DataFrame, medians: DataFrame, levels: DataFrame,
@@ -295,10 +282,12 @@ def assemble_columns(cf: ColumnFacts, assoc: DataFrame, medians: DataFrame, leve
     """Join the small per-column results (each at most one row per column) and apply H4-H12."""
     c = F.col
     numeric = c("inferred_type").isin("numeric_discrete", "numeric_continuous")
-    j = (cf.stats
-         .join(F.broadcast(assoc), "ordinal", "left")
-         .join(F.broadcast(medians), "ordinal", "left")
-         .join(F.broadcast(levels), "ordinal", "left"))
+    parts = [assoc.select("ordinal", "association", "association_method"), medians.select("ordinal", "median"),
+             levels.select("ordinal", "sample_values")]
+    found = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
+    # every part has at most one row per column
+    found = found.groupBy("ordinal").agg(*(F.max(x).alias(x) for x in found.columns[1:]))
+    j = cf.stats.join(F.broadcast(found), "ordinal", "left")
     j = j.withColumn("association", F.when(~c("is_target"), c("association")))
     j = j.withColumn("flags", R.flags(th))
     j = j.withColumn("sample_values", F.when(R.shows_levels(th), c("sample_values")))
@@ -327,19 +316,26 @@ def assemble_columns(cf: ColumnFacts, assoc: DataFrame, medians: DataFrame, leve
 
 
 def profile_table(df: DataFrame, target: str, *, dataset_id: str = "dataset", source_name: str | None = None,
-                  override: str | None = None, sample_threshold: int | None = None,
+                  override: str | None = None, sample_key: Column | None = None, sample_percent: int = 100,
                   thresholds: T.Thresholds = T.DEFAULTS, duplicates: bool = True) -> Profile:
     """Profile ``df`` for ``target``. Returns (dataset_profile, column_profile) DataFrames.
 
-    ``sample_threshold=None`` (default) measures association on every row;
-    an integer reproduces the reference's sampled mode (B5) above that size.
+    Association is measured on every row; with ``sample_key`` (B5) on the rows whose
+    key falls in the first ``sample_percent`` of 100 hash buckets, whatever the size.
     """
+    with scratch_scope(df.sparkSession) as scratch:
+        p = _profile(df, target, dataset_id, source_name, override, sample_key, sample_percent, thresholds, duplicates)
+    return Profile(p.dataset, p.columns, p.facts, scratch)
+
+
+def _profile(df: DataFrame, target: str, dataset_id: str, source_name: str | None, override: str | None,
+             sample_key: Column | None, sample_percent: int, thresholds: T.Thresholds, duplicates: bool) -> Profile:
     if target not in df.columns:
         raise ProfileRefused("TARGET_NOT_FOUND", f"Column '{target}' does not exist in this dataset.",
                              {"target_column": target})
     cf = column_facts(df, target, thresholds)
     t = target_outcome(cf, target, override)
-    assoc, sampled, sample_rows = target_associations(cf, t, sample_threshold)
+    assoc = target_associations(cf, t, sample_key, sample_percent)
     medians = numeric_medians(cf)
     pre = cf.stats.withColumn("association", F.lit(None).cast("double")).withColumn("flags", R.flags(thresholds))
     show = [r["ordinal"] for r in pre.where(R.shows_levels(thresholds)).select("ordinal").collect()]
@@ -360,8 +356,8 @@ def profile_table(df: DataFrame, target: str, *, dataset_id: str = "dataset", so
         F.array(*[F.lit(m) for m in t["secondary"]]).cast("array<string>").alias("secondary_metrics"),
         F.lit(t["ratio"]).cast("double").alias("class_balance_ratio"),
         "duplicate_row_count",
-        F.lit(sampled).alias("profiled_on_sample"),
-        F.lit(sample_rows).cast("bigint").alias("sample_rows"),
+        F.lit(sample_key is not None).alias("profiled_on_sample"),
+        F.lit(None if sample_key is None else sample_percent).cast("int").alias("sample_percent"),
         F.lit(t["overridden"]).alias("task_overridden"),
     )
     return Profile(ds, columns, cf)

@@ -462,15 +462,13 @@ def flag_labels(spark, sf):
                    for t, p in _profiles(spark, sf)])
 
 
-# --- B5: the reference's sampled association mode -----------------------------------
+# --- B5: association on a sample ------------------------------------------------------
 
 @query("association_sample")
 def association_sample(spark, sf):
-    """B5 lineitem profiled with association on an exact 200,000-row sample when larger (all rows otherwise)."""
-    from factsheet import thresholds as T
-
-    p = profile_table(_load(spark, sf, "lineitem"), "l_linestatus", duplicates=False,
-                      sample_threshold=T.SAMPLE_THRESHOLD)
-    ds = p.dataset.select("dataset_id", "profiled_on_sample", "sample_rows", "n_rows")
+    """B5 lineitem profiled with association on half of 100 md5 buckets of the row's key (the sampling operator)."""
+    p = profile_table(_load(spark, sf, "lineitem"), "l_linestatus", duplicates=False, sample_percent=50,
+                      sample_key=F.concat_ws("-", c("l_orderkey").cast("string"), c("l_linenumber").cast("string")))
+    ds = p.dataset.select("dataset_id", "profiled_on_sample", "sample_percent", "n_rows")
     return p.columns.select("dataset_id", c("name").alias("column_name"), "association_method",
                             r("target_association").alias("target_association")).join(ds, "dataset_id")

@@ -10,8 +10,16 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
+from dataclasses import dataclass, field
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 REQUIRED_CONF = {
     "spark.sql.caseSensitive": "true",
@@ -51,27 +59,94 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+def checkpoint_folder(configured: str | None, master: str) -> str | None:
+    """The folder to use: the configured one, or None (make one) where driver and executors are one machine.
+
+    On a cluster without ``spark.checkpoint.dir`` there is no folder that every
+    executor can read, so that is refused.
+    """
+    if configured:
+        return configured
+    if master == "local" or master.startswith("local["):
+        return None
+    raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written intermediate tables.
 
     On a cluster ``spark.checkpoint.dir`` names a folder every executor can
     reach; it is read from the session and used as is. Only when it is unset
-    (local tests) is a fresh scratch folder created under the system temp dir.
+    in local mode is a fresh scratch folder created under the system temp dir.
     """
     sc = spark.sparkContext
-    conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current:
         return current
-    if conf_dir is None:
-        conf_dir = tempfile.mkdtemp(prefix="factsheet-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(conf_dir)
-    return sc.getCheckpointDir() or conf_dir
+    folder = checkpoint_folder(sc.getConf().get("spark.checkpoint.dir", None), sc.master)
+    if folder is None:
+        folder = tempfile.mkdtemp(prefix="factsheet-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+    sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir() or folder
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for a written table."""
     base = ensure_checkpoint_dir(spark)
-    import uuid
-
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@dataclass
+class Scratch:
+    """Written tables and cached DataFrames that one result rests on."""
+
+    spark: SparkSession
+    paths: list[str] = field(default_factory=list)
+    cached: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        """Free the caches and delete the written tables; the result can't be computed again."""
+        for df in self.cached:
+            df.unpersist()
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for p in self.paths:
+            path = jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(conf).delete(path, True)
+        self.cached, self.paths = [], []
+
+
+_scratch: ContextVar[Scratch | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Collects what is stored or kept inside, so that the caller can release it with the result."""
+    scope = Scratch(spark)
+    token = _scratch.set(scope)
+    try:
+        yield scope
+    finally:
+        _scratch.reset(token)
+
+
+def store(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` below the shared checkpoint folder and read it back: its rows, partition
+    numbers included, stay as they are whatever happens to the executors that made them."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    if (scope := _scratch.get()) is not None:
+        scope.paths.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Cache ``df`` until its scope is released."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    if (scope := _scratch.get()) is not None:
+        scope.cached.append(df)
+    return df
+
+
+def local_rows(spark: SparkSession, rows: list[dict], schema: T.StructType) -> DataFrame:
+    """A few driver-made rows as a local relation: expressions over it are folded without a job."""
+    return spark.createDataFrame(pa.Table.from_pylist(rows, schema=to_arrow_schema(schema)), schema)

@@ -1,7 +1,7 @@
 """CSV admission (A1-A7): header check, scan, malformed rows, shape, size, native types.
 
 The load chain runs header -> parse -> shape -> size and the first failure
-wins. Only the header line and one-row aggregates reach the driver.
+wins. Only header lines and one-row aggregates reach the driver.
 """
 
 from __future__ import annotations
@@ -16,42 +16,80 @@ from pyspark.sql import types as ST
 from factsheet import thresholds as T
 from factsheet.errors import ProfileRefused
 from factsheet.functions.scalar import NUMBER_RE, col_, strip
+from factsheet.session import local_rows
 
 OVERFLOW = "_overflow"
 INT_RE = r"^[+-]?[0-9]+$"
 PANDAS_BOOL_TOKENS = ("True", "TRUE", "true", "False", "FALSE", "false")
 
 
+def file_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Raw lines with their file, and a number that orders the lines of a file's first block."""
+    return spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"))
+
+
+def read_headers(spark: SparkSession, path: str) -> list[str]:
+    """The distinct first lines of the files, byte order mark removed; none for empty files."""
+    lines = file_lines(spark, path).where("block = 0")
+    first = lines.groupBy("file").agg(F.min("line").alias("line"))  # one row per file
+    found = lines.join(F.broadcast(first), ["file", "line"]).select(
+        F.regexp_replace("value", "^\ufeff|\r$", "").alias("header")).distinct()
+    return [r["header"] for r in found.orderBy("header").limit(2).collect()]
+
+
 def read_header(spark: SparkSession, path: str) -> list[str] | None:
-    """The first line of the file, BOM removed, split as CSV; None for an empty file."""
-    first = spark.read.text(path).limit(1).collect()
-    if not first:
-        return None
-    line = first[0][0].lstrip("﻿")
-    return next(_csv.reader(io.StringIO(line)), [])
+    """A3: the header that all files share, split as CSV; None where there is no line at all."""
+    found = read_headers(spark, path)
+    if len(found) > 1:
+        raise ProfileRefused("UNPARSEABLE_CSV", "The files start with different headers.")
+    return next(_csv.reader(io.StringIO(found[0])), []) if found else None
+
+
+def text_faults(spark: SparkSession, path: str, multiline: bool = False) -> dict:
+    """A5 on raw bytes: lines that are not UTF-8, and quotes left open.
+
+    A quote is open where a line holds an odd number of them; with ``multiline``
+    a field may span lines, so only a file's total must be even.
+    """
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    bad = F.count_if(~F.is_valid_utf8("value"))
+    lines = file_lines(spark, path)
+    if multiline:
+        per = lines.groupBy("file").agg(bad.alias("bad"), F.sum(quotes).alias("q"))
+        row = per.agg(F.sum("bad").alias("bad"), F.count_if(F.col("q") % 2 == 1).alias("open")).first()
+    else:
+        row = lines.agg(bad.alias("bad"), F.count_if(quotes % 2 == 1).alias("open")).first()
+    return {"not_utf8": row["bad"] or 0, "open_quotes": row["open"] or 0}
+
+
+def duplicate_header_table(spark: SparkSession, names: list[str]) -> DataFrame:
+    """A3: ``name``, ``n`` and ``first`` position of names that appear more than once."""
+    schema = ST.StructType([ST.StructField("pos", ST.IntegerType()), ST.StructField("name", ST.StringType())])
+    df = local_rows(spark, [{"pos": i, "name": n} for i, n in enumerate(names)], schema)
+    return (df.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
+            .where("n > 1").orderBy("first"))
 
 
 def duplicate_headers(spark: SparkSession, names: list[str]) -> list[str]:
     """A3: names appearing more than once, each named once, in order of first appearance."""
-    df = spark.createDataFrame(list(enumerate(names)), "pos int, name string")
-    dup = (df.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
-           .where("n > 1").orderBy("first"))
-    return [r["name"] for r in dup.collect()]
+    return [r["name"] for r in duplicate_header_table(spark, names).collect()]
 
 
-def scan(spark: SparkSession, path: str, names: list[str], multiline: bool = False) -> DataFrame:
+def scan(spark: SparkSession, path: str, names: list[str], multiline: bool = False, header: bool = True) -> DataFrame:
     """A1: all columns as text, one overflow field to catch rows longer than the header,
     short rows padded with nulls, the default null tokens read as null."""
     schema = ST.StructType([ST.StructField(n, ST.StringType()) for n in names]
                            + [ST.StructField(OVERFLOW, ST.StringType())])
-    df = (spark.read.option("header", True).option("encoding", "UTF-8").option("mode", "PERMISSIVE")
-          .option("multiLine", multiline).option("enforceSchema", True).schema(schema).csv(path))
+    df = (spark.read.option("header", header).option("encoding", "UTF-8").option("mode", "PERMISSIVE")
+          .option("quote", '"').option("escape", '"').option("multiLine", multiline).option("enforceSchema", True).schema(schema).csv(path))
     return df.select(*[F.when(~col_(n).isin(*T.NA_TOKENS), col_(n)).alias(n) for n in names], OVERFLOW)
 
 
 def malformed_count(df: DataFrame) -> int:
     """A5: rows with more fields than the header (short rows are accepted)."""
-    return df.where(F.col(OVERFLOW).isNotNull()).limit(1).count()
+    return df.where(F.col(OVERFLOW).isNotNull()).count()
 
 
 def input_bytes(spark: SparkSession, path: str) -> int:
@@ -60,7 +98,7 @@ def input_bytes(spark: SparkSession, path: str) -> int:
     return int(files.agg(F.coalesce(F.sum("length"), F.lit(0))).collect()[0][0])
 
 
-def shape_refusal(n_columns: int, has_rows: bool, max_cols: int = T.MAX_COLS) -> str | None:
+def shape_refusal(n_columns: int, has_rows: bool, max_cols: int | None = None) -> str | None:
     """A4 in fixed order: no columns, no rows, one column, too many columns."""
     if n_columns == 0:
         return "EMPTY_DATASET"
@@ -68,65 +106,77 @@ def shape_refusal(n_columns: int, has_rows: bool, max_cols: int = T.MAX_COLS) ->
         return "HEADER_ONLY"
     if n_columns == 1:
         return "SINGLE_COLUMN"
-    if n_columns > max_cols:
+    if max_cols is not None and n_columns > max_cols:
         return "TOO_MANY_COLUMNS"
     return None
 
 
-def shape_status(df: DataFrame, max_cols: int = T.MAX_COLS) -> DataFrame:
+def shape_status(df: DataFrame, max_cols: int | None = None) -> DataFrame:
     """A4 as a one-row table: column count, row count, refusal code or 'ok'."""
     n_cols = len(df.columns)
     counted = df.agg(F.count(F.lit(1)).alias("n_rows"))
     code = F.when(F.lit(n_cols) == 0, "EMPTY_DATASET").when(F.col("n_rows") == 0, "HEADER_ONLY") \
-        .when(F.lit(n_cols) == 1, "SINGLE_COLUMN").when(F.lit(n_cols) > max_cols, "TOO_MANY_COLUMNS") \
+        .when(F.lit(n_cols) == 1, "SINGLE_COLUMN").when(F.lit(max_cols is not None and n_cols > max_cols), "TOO_MANY_COLUMNS") \
         .otherwise("ok")
     return counted.select(F.lit(n_cols).alias("n_columns"), "n_rows", code.alias("status"))
 
 
+def _native_counts(df: DataFrame) -> DataFrame:
+    """Per position of a column: its type, and how many values it has. The plan's size doesn't
+    depend on the number of columns; counts combine before the one shuffle."""
+    v = strip("v")
+    counts = df.select(F.posexplode(F.array(*[col_(n) for n in df.columns])).alias("pos", "v")).groupBy("pos").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("v").alias("nn"),
+        F.count(F.when(v.rlike(INT_RE), v.try_cast("bigint"))).alias("int"),
+        F.count(F.when(v.rlike(NUMBER_RE), v)).alias("flt"),
+        F.count(F.when(F.col("v").isin(*PANDAS_BOOL_TOKENS), 1)).alias("bool"))
+    nn, whole, flt, b, rows = map(F.col, ("nn", "int", "flt", "bool", "rows"))
+    return counts.select("pos", "rows", "nn", (
+        F.when(nn == 0, "float64").when((whole == nn) & (nn == rows), "int64").when(flt == nn, "float64")
+        .when((b == nn) & (nn == rows), "bool").otherwise("object")).alias("native_type"))
+
+
 def native_types(df: DataFrame) -> DataFrame:
     """A2: the type a CSV reader would give each text column, by whole-column parse:
     int64, then float64 (also integers with gaps, and all-null), then bool
-    (no gaps), else object. One aggregate for all columns."""
-    aggs = []
-    for n in df.columns:
-        v = strip(col_(n))
-        aggs += [F.count(col_(n)).alias(f"{n}__nn"),
-                 F.count(F.when(v.rlike(INT_RE), v.cast("bigint"))).alias(f"{n}__int"),
-                 F.count(F.when(v.rlike(NUMBER_RE), v)).alias(f"{n}__flt"),
-                 F.count(F.when(col_(n).isin(*PANDAS_BOOL_TOKENS), 1)).alias(f"{n}__bool")]
-    row = df.agg(F.count(F.lit(1)).alias("__rows"), *aggs)
-    structs = []
-    for n in df.columns:
-        nn, i, f, b = (F.col(f"{n}__{s}") for s in ("nn", "int", "flt", "bool"))
-        t = (F.when(nn == 0, "float64")
-             .when((i == nn) & (nn == F.col("__rows")), "int64")
-             .when(f == nn, "float64")
-             .when((b == nn) & (nn == F.col("__rows")), "bool")
-             .otherwise("object"))
-        structs.append(F.struct(F.lit(n).alias("column_name"), t.alias("native_type")))
-    return row.select(F.inline(F.array(*structs)))
-
-
-def load_csv(spark: SparkSession, path: str, max_bytes: int | None = None,
-             max_cols: int = T.MAX_COLS) -> DataFrame:
-    """Header -> parse -> shape -> size; raises ProfileRefused with the first failure."""
+    (no gaps), else object. A table without rows gives no types."""
+    names = F.array(*[F.lit(n) for n in df.columns])
+    return _native_counts(df).select(F.get(names, F.col("pos")).alias("column_name"), "native_type")
+
+
+CASTS = {"int64": "bigint", "float64": "double", "bool": "boolean"}
+
+
+def load_csv(spark: SparkSession, path: str, max_bytes: int | None = None, max_cols: int | None = None,
+             multiline: bool = False) -> DataFrame:
+    """Header -> parse -> shape -> size; raises ProfileRefused with the first failure.
+
+    Columns come back with their native types (A2): int64 as bigint, float64 as
+    double, bool as boolean, the rest as text. ``multiline`` allows quoted fields
+    that span lines; without it a line that leaves a quote open is refused.
+    """
     names = read_header(spark, path)
     if names is None:
-        raise ProfileRefused("EMPTY_DATASET", "The file is empty.")
+        raise ProfileRefused("EMPTY_DATASET", "No line was found in the input.")
     dups = duplicate_headers(spark, names)
     if dups:
-        raise ProfileRefused("DUPLICATE_COLUMNS", "Duplicate column names.", {"columns": ",".join(dups)})
-    try:
-        df = scan(spark, path, names)
-        bad = malformed_count(df)
-    except Exception as e:  # noqa: BLE001 - undecodable bytes or an unclosed quote
-        raise ProfileRefused("UNPARSEABLE_CSV", f"The file could not be parsed: {type(e).__name__}") from e
-    if bad:
-        raise ProfileRefused("UNPARSEABLE_CSV", "A row has more fields than the header.")
-    df = df.drop(OVERFLOW)
-    code = shape_refusal(len(names), not df.isEmpty(), max_cols)
+        raise ProfileRefused("DUPLICATE_COLUMNS", "Some column names repeat.", {"columns": ",".join(dups)})
+    faults = text_faults(spark, path, multiline)
+    if faults["not_utf8"]:
+        raise ProfileRefused("UNPARSEABLE_CSV", "The input holds bytes that are not UTF-8.")
+    if faults["open_quotes"]:
+        raise ProfileRefused("UNPARSEABLE_CSV", "A quoted field is not closed" + (
+            "." if multiline else " on its line; pass multiline=True where fields span lines."))
+    df = scan(spark, path, names, multiline)
+    found = {r["pos"]: r for r in _native_counts(df).collect()}  # one row per column; the last is the overflow
+    if found and found[len(names)]["nn"]:
+        raise ProfileRefused("UNPARSEABLE_CSV", "Some rows have more fields than the header.")
+    code = shape_refusal(len(names), bool(found), max_cols)
     if code:
-        raise ProfileRefused(code, f"Shape check failed: {code}.")
+        raise ProfileRefused(code, f"The shape of the input is not accepted ({code}).")
     if max_bytes is not None and input_bytes(spark, path) > max_bytes:
         raise ProfileRefused("FILE_TOO_LARGE", "The input is larger than the size limit.")
-    return df
+    types = [found[i]["native_type"] for i in range(len(names))]
+    return df.select(*[
+        ((F.lower(col_(n)) == "true") if t == "bool" else strip(col_(n)).cast(CASTS[t]) if t in CASTS else col_(n)).alias(n)
+        for n, t in zip(names, types)])

@@ -7,7 +7,7 @@ their natural order; no other module carries a magic number.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 # --- fixed values: thresholds ------------------------------------------------
 HIGH_MISSING_P = 0.5                 # missing share strictly above -> high_missing
@@ -21,9 +21,7 @@ SAMPLE_VALUES_MAX_UNIQUE = 20        # categorical distinct at or below -> level
 SAMPLE_VALUES_TOP = 5                # at most this many level names
 SAMPLE_VALUE_MAX_CHARS = 40          # each level name cut to this length
 LEAKAGE_R = 0.98                     # association strictly above -> potential_leakage
-SAMPLE_THRESHOLD = 200_000           # association sample size in the optional sampled mode
-SAMPLE_SEED = 42
-MAX_COLS = 1000                      # columns at most (1000 passes, 1001 refused)
+MAX_COLS = 1000                      # the usual column limit (1000 passes, 1001 refused), where a caller asks for one
 SIMILARITY_CUTOFF = 0.85             # near-miss column name ratio at or above
 BALANCE_ACCURACY_MAX = 1.5           # binary ratio at or below -> accuracy
 BALANCE_F1_MAX = 10.0                # binary ratio at or below -> f1, else pr_auc
@@ -81,7 +79,6 @@ class Thresholds:
     discrete_max_unique: int = NUMERIC_DISCRETE_MAX_UNIQUE
     sample_values_max_unique: int = SAMPLE_VALUES_MAX_UNIQUE
     leakage_r: float = LEAKAGE_R
-    extra: dict = field(default_factory=dict)
 
 
 DEFAULTS = Thresholds()

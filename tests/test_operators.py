@@ -56,12 +56,32 @@ def test_metrics_brute_force(spark):
     assert r["pr_auc"] == pytest.approx(ap)
 
 
-@pytest.mark.parametrize("limit", [10, 10_000_000])
-def test_prefix_paths_agree_with_pandas(spark, monkeypatch, limit):
-    """Both the window path and the range-partitioned path give pandas' average ranks."""
+def test_hot_values_spread_and_null_keys_count(spark):
+    """Half of the rows hold one value, and one key is null: totals are whole, and no partition gathers the value."""
     from factsheet.operators import ranking as RK
 
-    monkeypatch.setattr(RK, "WINDOW_LIMIT", limit)
+    rows = [(None if i % 5 == 0 else 1, 7.0 if i % 2 else float(i), float(i)) for i in range(4000)]
+    pc = spark.createDataFrame(rows, "g int, f double, t double").withColumn("n", F.lit(1))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        got = RK.attach_average_rank(pc, ["g"], "f", "n", "rf")
+        want = pd.DataFrame(rows, columns=["g", "f", "t"])
+        want["rank"] = want.fillna({"g": -1}).groupby("g")["f"].rank()
+        expect = {t: r for t, r in zip(want["t"], want["rank"])}
+        collected = got.collect()
+        assert len(collected) == 4000 and all(r["rf"] == expect[r["t"]] for r in collected)
+        assert {r["rf_total"] for r in collected if r["g"] is None} == {800}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("limit", [1, 40])
+def test_prefix_counts_agree_with_pandas(spark, limit):
+    """Any number of ranges gives pandas' average ranks."""
+    from factsheet.operators import ranking as RK
+
+    spark.conf.set("spark.sql.shuffle.partitions", str(limit))
     rng = np.random.default_rng(11)
     pdf = pd.DataFrame({"g": rng.integers(0, 2, 3000), "v": rng.integers(0, 500, 3000).astype(float),
                         "w": rng.integers(0, 50, 3000).astype(float)})
@@ -81,3 +101,4 @@ def test_prefix_paths_agree_with_pandas(spark, monkeypatch, limit):
             if r["g"] == g:
                 assert r["rw"] == pytest.approx(expw[r["w"]])
                 assert r["rw_total"] == len(sub)
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
