@@ -28,18 +28,19 @@ _CLEAN_RE = "[" + re.escape(T.NUMBER_CLEAN_CHARS).replace("\\%", "%") + _WS_CLAS
 NUMBER_RE = r"^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity))$"
 _INF_RE = r"^[+-]?(?i:inf|infinity)$"
 
-# Datetime patterns tried in order (month-first before day-first), each with
+# Year-first dates with dashes: optional time (seconds, 1 to 9 fraction digits) and optional
+# zone. Spark's own cast reads them; fractions beyond microseconds are cut.
+ISO_SHAPE = (r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}([ T][0-9]{1,2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,9})?)?"
+             r"( ?(Z|[+-][0-9]{2}:?[0-9]{2}))?)?$")
+# The instants that a 64-bit count of nanoseconds around 1970 can hold; others are not dates here.
+EARLIEST, LATEST = "1677-09-21 00:12:44", "2262-04-11 23:47:16"
+# Other datetime patterns tried in order (month-first before day-first), each with
 # the text shape it can match; the parser only runs where the shape fits, so
 # values that are not dates cost a few regex tests, not parse failures.
 _D2 = r"[0-9]{1,2}"
 _MON = r"[A-Za-z]{3}"
 _MONTH = r"[A-Za-z]{3,9}"
 DATETIME_PATTERNS = (
-    ("yyyy-MM-dd", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"),
-    ("yyyy-MM-dd HH:mm:ss", r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}$"),
-    ("yyyy-MM-dd'T'HH:mm:ss", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}$"),
-    ("yyyy-MM-dd HH:mm:ss.SSSSSS", r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}\.[0-9]{6}$"),
-    ("yyyy-MM-dd'T'HH:mm:ss.SSSSSS", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}\.[0-9]{6}$"),
     ("yyyy/M/d", rf"^[0-9]{{4}}/{_D2}/{_D2}$"),
     ("M/d/yyyy", rf"^{_D2}/{_D2}/[0-9]{{4}}$"),
     ("d/M/yyyy", rf"^{_D2}/{_D2}/[0-9]{{4}}$"),
@@ -80,6 +81,19 @@ def col_(c: str | Column) -> Column:
     return F.col("`" + c.replace("`", "``") + "`") if isinstance(c, str) else c
 
 
+#: Texts up to this length are keys as they are; longer ones are keyed by their SHA-256 digest.
+TEXT_KEY_CHARS = 64
+
+
+def is_long(c: Column) -> Column:
+    return F.coalesce(F.length(c) > TEXT_KEY_CHARS, F.lit(False))
+
+
+def text_key(c: Column) -> Column:
+    """What stands for a text in shuffles and comparisons: never longer than a digest."""
+    return F.when(is_long(c), F.sha2(c, 256)).otherwise(c)
+
+
 def strip(c: str | Column) -> Column:
     """Remove leading and trailing whitespace (Python's definition of it)."""
     return F.btrim(col_(c).cast("string"), F.lit(WHITESPACE))
@@ -126,14 +140,10 @@ def parse_datetime(c: str | Column) -> Column:
         F.make_timestamp(s.cast("int"), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)),
     )
     parsed = F.coalesce(F.try_to_timestamp(s, first), F.try_to_timestamp(s, second), year)
-    # cheap first tests: no accepted pattern is longer than 40 characters, and
-    # every one holds a four-digit year (or eight digits)
-    return F.when((F.length(s) <= 40) & s.rlike("[0-9]{4}"), parsed)
-
-
-def truncate_text(c: str | Column, n: int = T.SAMPLE_VALUE_MAX_CHARS) -> Column:
-    """Value to text, cut to n characters."""
-    return F.substring(col_(c).cast("string"), 1, n)
+    parsed = F.coalesce(F.when(s.rlike(ISO_SHAPE), F.try_to_timestamp(s)), parsed)
+    # a cheap first test: every accepted form holds four digits in a row
+    inside = parsed.between(F.lit(EARLIEST).cast("timestamp"), F.lit(LATEST).cast("timestamp"))
+    return F.when(s.rlike("[0-9]{4}") & inside, parsed)
 
 
 def percent_text(x: str | Column) -> Column:
@@ -141,12 +151,6 @@ def percent_text(x: str | Column) -> Column:
     return F.format_string("%.1f%%", F.round(col_(x) * 100.0, 1))
 
 
-def nan_to_null(c: str | Column) -> Column:
-    """NaN is missing (as in the reference); Spark keeps NaN as a value."""
-    x = col_(c)
-    return F.when(~F.isnan(x), x)
-
-
 def md5_bucket(key: Column, buckets: int) -> Column:
     """A stable bucket in [0, buckets) from the md5 of the key's text (same in any engine)."""
     h = F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("bigint")
@@ -160,8 +164,7 @@ def cutoff(as_of: str | Column, hours: int = T.DATASET_TTL_HOURS) -> Column:
 
 
 # --- display text (G9, G10, G11) ---------------------------------------------
-# FIXED VALUES: display labels for metrics, tasks, flags and flag tones, the
-# association method phrases, and the metric rationale sentences.
+# FIXED VALUES: display labels for metrics, tasks, flags and flag tones.
 METRIC_LABELS = {
     "accuracy": "Accuracy",
     "f1": "F1 Score",
@@ -197,22 +200,11 @@ FLAG_LABELS = {
     "id_like": "id-like",
     "high_cardinality": "high cardinality",
 }
-METHOD_PHRASES = {
-    "spearman": "rank association",
-    "eta": "eta association",
-    "purity": "purity association",
-    "none": "association",
-}
-RATIONALE_REGRESSION = ("This target is continuous, so the primary metric reports prediction error in the "
-                        "target's own units.")
-RATIONALE_MULTICLASS = ("This target has more than two classes, so the primary metric averages performance "
-                        "across every class equally rather than using a measure defined only for two.")
-RATIONALE_ACCURACY = ("The classes are close to balanced ({ratio}), so accuracy reflects real performance "
-                      "without a majority-class shortcut inflating it.")
-RATIONALE_F1 = ("The classes are imbalanced ({ratio}). F1 balances precision and recall, rather than rewarding "
-                "a model that mostly predicts the majority class.")
-RATIONALE_PR_AUC = ("The classes are heavily imbalanced ({ratio}). PR-AUC stays informative across decision "
-                    "thresholds, where accuracy or F1 would be dominated by the majority class.")
+RATIONALE_REGRESSION = "A number is predicted, so the score is the typical size of the error, in the unit of the target."
+RATIONALE_MULTICLASS = "There are three or more classes, so the score is the mean of one score per class, each weighing the same."
+RATIONALE_ACCURACY = "Both classes are about equally common ({ratio}): always guessing one of them gains little, so accuracy is fair."
+RATIONALE_F1 = "One class is rarer ({ratio}): F1 asks that its rows are found and that few others are taken for them."
+RATIONALE_PR_AUC = "One class is very rare ({ratio}): PR-AUC judges how well its rows are ranked first, whatever the cut-off."
 
 
 def map_lookup(mapping: dict[str, str], key: Column) -> Column:

@@ -6,7 +6,8 @@ nullable keys ``(kl bigint, kd double, ks string)``, exactly one set per row,
 so one shuffle can count values of every column at once without losing
 precision: integers stay exact in ``kl``, floating and coerced numbers are
 compared as doubles in ``kd`` (Spark's grouping merges -0.0 with 0.0 and all
-NaN), everything else compares as text in ``ks``.
+NaN), everything else compares as text in ``ks``: decimals by their exact text, long
+texts by their digest.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
-from factsheet.functions.scalar import col_, parse_number
+from factsheet.functions.scalar import col_, parse_number, text_key
 
 INTEGRAL = "integral"
 FLOATING = "floating"
@@ -88,15 +89,17 @@ def raw_key(spec: ColumnSpec) -> tuple[Column | None, Column | None, Column | No
     c = spec.ref
     if spec.storage == INTEGRAL:
         return c.cast("bigint"), None, None
-    if spec.storage in (FLOATING, DECIMAL):
+    if spec.storage == FLOATING:
         return None, c.cast("double"), None
+    if spec.storage == DECIMAL:  # one scale per column, so the text is canonical and exact
+        return None, None, c.cast("string")
     if spec.storage == DATETIME:
         return F.unix_micros(c.cast("timestamp")), None, None
     if spec.storage == COMPLEX:
-        return None, None, F.to_json(c)
+        return None, None, text_key(F.to_json(c))
     if spec.storage == BINARY:
-        return None, None, F.hex(c)
-    return None, None, c.cast("string")
+        return None, None, text_key(F.hex(c))
+    return None, None, text_key(c.cast("string"))
 
 
 def effective_key(spec: ColumnSpec, coerced: bool) -> tuple[Column | None, Column | None, Column | None]:
@@ -124,7 +127,7 @@ def key_is_null(prefix: str = "") -> Column:
 
 
 def key_text(prefix: str = "") -> Column:
-    """A key as display text (for level names and class labels)."""
+    """A key as text: the value itself, or the digest of a long one."""
     return F.coalesce(
         F.col(prefix + "kl").cast("string"),
         F.col(prefix + "kd").cast("string"),
@@ -133,4 +136,5 @@ def key_text(prefix: str = "") -> Column:
 
 
 def key_number(prefix: str = "") -> Column:
-    return F.coalesce(F.col(prefix + "kd"), F.col(prefix + "kl").cast("double"))
+    """The number of a numeric key (decimals are keyed by their text)."""
+    return F.coalesce(F.col(prefix + "kd"), F.col(prefix + "kl").cast("double"), F.col(prefix + "ks").try_cast("double"))

@@ -100,39 +100,43 @@ def frequency_encode(df: DataFrame, col: str) -> DataFrame:
 
 def one_hot_long(df: DataFrame, train: DataFrame, key: str, col: str,
                  min_rows: int = T.RARE_LEVEL_MIN_ROWS) -> DataFrame:
-    """K5 in sparse (long) form: ``(key, feature)`` per row.
+    """K5 in sparse (long) form: ``(key, feature)``, one row per input row.
 
     Levels with at least ``min_rows`` training rows keep their own feature;
     rarer training levels share ``__rare__``; levels never seen in training
-    (and nulls) get no feature, i.e. all zeros.
+    (and nulls) have a null feature, i.e. all zeros.
     """
     levels = train.where(col_(col).isNotNull()).groupBy(col_(col).alias("_lvl")).agg(
         F.count(F.lit(1)).alias("_c"))
-    feat = F.when(F.col("_c") >= min_rows, F.col("_lvl").cast("string")).otherwise(F.lit(RARE))
+    feat = F.when(F.col("_c") >= min_rows, F.col("_lvl").cast("string")).when(F.col("_c").isNotNull(), F.lit(RARE))
     return (df.select(col_(key).alias(key), col_(col).alias("_v"))
-            .join(levels, F.col("_v") == F.col("_lvl"))
+            .join(levels, F.col("_v") == F.col("_lvl"), "left")
             .select(key, feat.alias("feature")))
 
 
 def target_encode_oof(df: DataFrame, key: str, col: str, target: str, k: int = 5,
                       m: float = T.TARGET_ENCODE_SMOOTHING) -> DataFrame:
-    """K8: out-of-fold smoothed target mean of a level.
+    """K8: out-of-fold smoothed target mean of a level, one row per input row.
 
     A row in fold f gets (S_l - s_fl + m * prior_f) / (C_l - c_fl + m), where
     S/C are the level's target sum/count over all folds, s/c over fold f, and
-    prior_f is the target mean outside fold f. Per-fold sums are subtracted
-    from totals instead of re-aggregating k times.
+    prior_f is the target mean outside fold f (null where no target is left there).
+    Null is a level of its own; rows without target add nothing but are encoded.
+    Per-fold sums are subtracted from totals instead of re-aggregating k times.
     """
-    base = split_kfold(df.select(col_(key).alias(key), col_(col).alias("_lvl"), col_(target).cast("double")
-                                 .alias("_y")), F.col(key), k).where(F.col("_y").isNotNull())
-    per_fl = base.groupBy("fold", "_lvl").agg(F.sum("_y").alias("_s"), F.count(F.lit(1)).alias("_c"))
-    per_l = per_fl.groupBy("_lvl").agg(F.sum("_s").alias("_S"), F.sum("_c").alias("_C"))
-    per_f = base.groupBy("fold").agg(F.sum("_y").alias("_fs"), F.count(F.lit(1)).alias("_fc"))
-    tot = base.agg(F.sum("_y").alias("_gs"), F.count(F.lit(1)).alias("_gc")).collect()[0]
-    prior = per_f.select("fold", ((F.lit(tot["_gs"]) - F.col("_fs")) / (F.lit(tot["_gc"]) - F.col("_fc")))
-                         .alias("_prior"))
-    j = (base.join(per_fl, ["fold", "_lvl"]).join(per_l, "_lvl")
-         .join(F.broadcast(prior), "fold"))  # prior: k rows
-    enc = ((F.col("_S") - F.col("_s") + F.lit(m) * F.col("_prior"))
-           / (F.col("_C") - F.col("_c") + F.lit(m)))
-    return j.select(key, "fold", enc.alias(f"{col}_te"))
+    rows = split_kfold(df.select(col_(key).alias(key), col_(col).alias("_lvl"), col_(target).cast("double")
+                                 .alias("_y")), F.col(key), k)
+    sums = F.coalesce(F.sum("_y"), F.lit(0.0)), F.count("_y")
+    per_fl = rows.groupBy("fold", "_lvl").agg(sums[0].alias("_s"), sums[1].alias("_c"))
+    per_l = per_fl.groupBy(F.col("_lvl").alias("_of")).agg(F.sum("_s").alias("_S"), F.sum("_c").alias("_C"))
+    levels = per_fl.join(per_l, F.col("_lvl").eqNullSafe(F.col("_of"))).select(
+        F.col("fold").alias("_in"), "_of", (F.col("_S") - F.col("_s")).alias("_sum"), (F.col("_C") - F.col("_c")).alias("_n"))
+    per_f = {r["fold"]: (r["s"], r["c"]) for r in rows.groupBy("fold").agg(
+        sums[0].alias("s"), sums[1].alias("c")).collect()}  # k rows
+    total = [sum(x[i] for x in per_f.values()) for i in range(2)]
+    prior = F.coalesce(F.lit(None).cast("double"), *[F.when(
+        F.col("fold") == f, F.lit((total[0] - s) / (total[1] - c) if total[1] > c else None).cast("double"))
+        for f, (s, c) in per_f.items()])
+    enc = (F.col("_sum") + F.lit(m) * prior) / (F.col("_n") + F.lit(m))
+    return rows.join(levels, (F.col("fold") == F.col("_in")) & F.col("_lvl").eqNullSafe(F.col("_of"))).select(
+        key, "fold", enc.alias(f"{col}_te"))

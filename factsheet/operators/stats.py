@@ -16,9 +16,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 from factsheet import thresholds as T
-from factsheet.functions.scalar import parse_datetime, parse_number, strip, strip_fold
+from factsheet.functions.scalar import col_, is_long, parse_datetime, parse_number, strip, strip_fold, text_key
 from factsheet.operators.columns import (
     BOOLEAN, DATETIME, NUMERIC_STORAGE, STRING, ColumnSpec, effective_key, key_is_null, key_number, key_struct,
 )
@@ -34,17 +35,33 @@ def _vocab_id(c: Column) -> Column:
     return F.when(c.isNotNull(), F.floor((pos + 1) / 2).cast("int"))
 
 
+FREQ_SCHEMA = "ordinal int, kl bigint, kd double, ks string, head string, trimmed string, lx double, n bigint"
+#: What the facts need of a long text besides its key: its first characters, what is left without the white
+#: space around it if that is short (only then it can be a date), and its number.
+LONG = ("head", "trimmed", "lx")
+
+
+def _long_parts(spec: ColumnSpec) -> dict[str, Column]:
+    text = spec.ref.cast("string")
+    long = F.when(is_long(text), text) if spec.storage == STRING else F.lit(None).cast("string")
+    inner = strip(long) if spec.storage == STRING else long
+    return {"head": F.substring(long, 1, T.SAMPLE_VALUE_MAX_CHARS), "trimmed": F.when(~is_long(inner), inner),
+            "lx": parse_number(long) if spec.storage == STRING else F.lit(None).cast("double")}
+
+
 def raw_frequencies(df: DataFrame, specs: list[ColumnSpec]) -> DataFrame:
     """Every column's raw values counted in one shuffle, nulls included.
 
-    ``(ordinal, kl, kd, ks, n)``; the all-null key row of an ordinal counts its
-    missing values, so per ordinal ``sum(n)`` is the row count.
+    ``(ordinal, kl, kd, ks, head, trimmed, lx, n)``; the all-null key row of an ordinal
+    counts its missing values, so per ordinal ``sum(n)`` is the row count. A long
+    text goes by its digest, with its parsed forms beside it (they follow from the
+    text, so they are part of the key), and never enters the shuffle itself.
     """
     if not specs:
-        return df.sparkSession.createDataFrame([], "ordinal int, kl bigint, kd double, ks string, n bigint")
-    structs = [key_struct(s.ordinal, effective_key(s, False)) for s in specs]
+        return df.sparkSession.createDataFrame([], FREQ_SCHEMA)
+    structs = [key_struct(s.ordinal, effective_key(s, False), _long_parts(s)) for s in specs]
     return (df.select(F.inline(F.array(*structs)))
-            .groupBy("ordinal", "kl", "kd", "ks").agg(F.count(F.lit(1)).alias("n")))
+            .groupBy("ordinal", "kl", "kd", "ks", *LONG).agg(F.count(F.lit(1)).alias("n")))
 
 
 def facts_from_frequencies(freq_all: DataFrame, specs: list[ColumnSpec]) -> tuple[int, dict[int, dict]]:
@@ -60,8 +77,9 @@ def facts_from_frequencies(freq_all: DataFrame, specs: list[ColumnSpec]) -> tupl
     present = ~key_is_null()
     ks = F.col("ks")
     is_str, is_num = o.isin(strings) if strings else F.lit(False), o.isin(numerics) if numerics else F.lit(False)
-    x = F.when(is_str, parse_number(ks)).when(is_num, key_number())
-    dt = F.when(is_str & present, parse_datetime(ks).isNotNull())
+    long = F.col("head").isNotNull()
+    x = F.when(is_str & long, F.col("lx")).when(is_str, parse_number(ks)).when(is_num, key_number())
+    dt = F.when(is_str & present, parse_datetime(F.when(long, F.col("trimmed")).otherwise(ks)).isNotNull())
     base = freq_all.select("ordinal", "n", present.alias("present"), x.alias("x"), dt.alias("dt"),
                            F.when(is_str & present, _vocab_id(ks)).alias("vid"),
                            F.when(is_num & present, key_number().isin(0, 1)).alias("b01"))
@@ -115,10 +133,12 @@ def effective_frequencies(freq_all: DataFrame, coerced: set[int]) -> DataFrame:
     o = F.col("ordinal")
     keep = present.where(~o.isin(list(coerced)))
     num = (present.where(o.isin(list(coerced)))
-           .select("ordinal", F.lit(None).cast("bigint").alias("kl"), parse_number(F.col("ks")).alias("kd"),
-                   F.lit(None).cast("string").alias("ks"), "n")
+           .select("ordinal", F.lit(None).cast("bigint").alias("kl"),
+                   F.when(F.col("head").isNotNull(), F.col("lx")).otherwise(parse_number(F.col("ks"))).alias("kd"),
+                   *(F.lit(None).cast(t).alias(c) for c, t in (("ks", "string"), ("head", "string"), ("trimmed", "string"),
+                                                              ("lx", "double"))), "n")
            .where(F.col("kd").isNotNull())
-           .groupBy("ordinal", "kl", "kd", "ks").agg(F.sum("n").alias("n")))
+           .groupBy("ordinal", "kl", "kd", "ks", *LONG).agg(F.sum("n").alias("n")))
     return keep.unionByName(num)
 
 
@@ -137,25 +157,23 @@ def duplicate_row_count(df: DataFrame) -> DataFrame:
 
     A single aggregate: rows are grouped whole (partial aggregation first, so
     heavily repeated rows collapse map-side) and the group sizes summed.
-    Map-typed columns are not groupable and are compared by their JSON text.
+    Map-typed columns are not groupable and are compared by their JSON text; long
+    texts are compared by their digest.
     """
-    from pyspark.sql import types as ST
-
     cols = []
-    for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
+    for i, f in enumerate(df.schema.fields):
+        c = col_(f.name)
         if _has_map(f.dataType):
-            c = F.to_json(c).alias(f.name)
-        cols.append(c)
-    grouped = df.select(*cols).groupBy(*[F.col(f"`{f.name}`") for f in df.schema.fields]).agg(
-        F.count(F.lit(1)).alias("_n"))
-    return grouped.agg((F.coalesce(F.sum("_n"), F.lit(0)) - F.count(F.lit(1))).cast("bigint")
+            c = F.to_json(c)
+        if _has_map(f.dataType) or isinstance(f.dataType, ST.StringType):
+            c = text_key(c)
+        cols.append(c.alias(f"c{i}"))
+    grouped = df.select(*cols).groupBy(*[f"c{i}" for i in range(len(cols))]).agg(F.count(F.lit(1)).alias("n"))
+    return grouped.agg((F.coalesce(F.sum("n"), F.lit(0)) - F.count(F.lit(1))).cast("bigint")
                        .alias("duplicate_row_count"))
 
 
 def _has_map(dt) -> bool:
-    from pyspark.sql import types as ST
-
     if isinstance(dt, ST.MapType):
         return True
     if isinstance(dt, ST.ArrayType):

@@ -96,7 +96,7 @@ def parsed_datetime(x: str) -> str:
     fmts = "[" + ", ".join(lit(f) for f in DATETIME_PATTERNS_STRFTIME) + "]"
     year = (f"CASE WHEN regexp_matches({t}, '^[0-9]{{4}}$') AND TRY_CAST({t} AS INTEGER) BETWEEN 1678 AND 2261 "
             f"THEN make_timestamp(TRY_CAST({t} AS BIGINT), 1, 1, 0, 0, 0) END")
-    return (f"(CASE WHEN length({t}) <= 40 AND regexp_matches({t}, '[0-9]{{4}}') THEN "
+    return (f"(CASE WHEN regexp_matches({t}, '[0-9]{{4}}') THEN "
             f"coalesce(try_strptime({t}, {fmts}), {year}) END)")
 
 

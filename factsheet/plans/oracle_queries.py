@@ -31,8 +31,17 @@ ORACLE["numeric_summary"] = _from_profile(
     "round(std_v, 4) AS std, round(median_v, 4) AS median",
     where="inferred_type IN ('numeric_discrete', 'numeric_continuous')")
 ORACLE["duplicate_rows"] = (
-    "SELECT CAST(COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT event_type, props FROM events)) AS BIGINT) "
-    "AS duplicate_row_count FROM events")
+    "SELECT 'lineitem' AS table_name, CAST(COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM lineitem)) AS BIGINT) "
+    "AS duplicate_row_count FROM (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_linenumber = 1) "
+    "UNION ALL SELECT 'plain', CAST(COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT l_quantity, l_discount, l_tax, "
+    "l_returnflag, l_linestatus, l_shipdate FROM lineitem)) AS BIGINT) FROM lineitem")
+ORACLE["parse_rate_timestamps"] = " UNION ALL ".join(
+    f"SELECT {lit(k)} AS column_name, CAST({v} AS BIGINT) AS parsed FROM orders" for k, v in {
+        **dict.fromkeys(("zulu", "shifted", "millis", "nanos", "minutes", "short"), "COUNT(o_orderdate)"),
+        **dict.fromkeys(("too_early", "too_late", "no_month"), "0 * COUNT(*)")}.items())
+ORACLE["decimal_unique"] = (
+    "SELECT 'wide' AS column_name, COUNT(DISTINCT l_orderkey) AS unique_count FROM lineitem "
+    "UNION ALL SELECT 'l_quantity', COUNT(DISTINCT l_quantity) FROM lineitem")
 
 
 def _targets(select: str, where: str = "TRUE") -> str:
@@ -169,8 +178,6 @@ ORACLE["class_shares"] = _union([_shares(t, c) for t, c in
                                  [("lineitem", "l_linestatus"), ("documents_labelled", "quality"),
                                   ("events_flagged", "big_error")]])
 
-_ = q
-
 _PROFILE_SELECT = (
     "column_name, inferred_type, missing_count, round(missing_pct, 6) AS missing_pct, "
     "CAST(unique_count AS BIGINT) AS unique_count, round(unique_pct, 6) AS unique_pct, "
@@ -213,3 +220,12 @@ ORACLE["association_sample"] = profile_sql("lineitem_half", "l_linestatus") + (
     "SELECT 'dataset' AS dataset_id, column_name, association_method, "
     "round(target_association, 6) AS target_association, TRUE AS profiled_on_sample, "
     "50 AS sample_percent, (SELECT COUNT(*) FROM lineitem) AS n_rows FROM prof")
+
+
+ORACLE["dataset_profile"] = _union([
+    target_sql(t, c) + (
+        f"SELECT table_name, target_column, (SELECT COUNT(*) FROM v) AS n_rows, "
+        f"(SELECT COUNT(*) FROM (DESCRIBE v)) AS n_columns, problem_type, CAST(task_confidence AS DOUBLE) AS task_confidence, "
+        f"primary_metric, secondary_metrics, round(class_balance_ratio, 6) AS class_balance_ratio, "
+        f"(SELECT COUNT(*) FROM v) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM v)) AS duplicate_row_count FROM res")
+    for t, c in Q.DATASET_PROFILES])

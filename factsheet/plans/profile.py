@@ -184,7 +184,7 @@ def level_names(freq: DataFrame, ordinals: list[int], top: int = T.SAMPLE_VALUES
     if not ordinals:
         return freq.sparkSession.createDataFrame([], "ordinal int, sample_values array<string>")
     ranked = (freq.where(F.col("ordinal").isin(ordinals))
-              .select("ordinal", "n", key_text().alias("v"))
+              .select("ordinal", "n", F.coalesce("head", key_text()).alias("v"))
               .withColumn("rn", F.row_number().over(Window.partitionBy("ordinal")
                                                      .orderBy(F.col("n").desc(), F.col("v").asc())))
               .where(F.col("rn") <= top))
@@ -197,7 +197,7 @@ def target_outcome(cf: ColumnFacts, target: str, override: str | None) -> dict:
     """B3 + H13/H14 + D7 + H15 for the target; raises ProfileRefused."""
     spec = next((s for s in cf.specs if s.name == target), None)
     if spec is None:
-        raise ProfileRefused("TARGET_NOT_FOUND", f"Column '{target}' does not exist in this dataset.",
+        raise ProfileRefused("TARGET_NOT_FOUND", f"The table has no column named '{target}'.",
                              {"target_column": target})
     trow = cf.stats.where(F.col("ordinal") == spec.ordinal)
     req = F.lit(override).cast("string")
@@ -206,18 +206,18 @@ def target_outcome(cf: ColumnFacts, target: str, override: str | None) -> dict:
                         conf.alias("conf"), refusal.alias("refusal"), R.inferred_task().alias("inferred")
                         ).collect()[0]
     if first["non_null"] == 0:
-        raise ProfileRefused("TARGET_ALL_NULL", f"'{target}' has no non-null values.", {"target_column": target})
+        raise ProfileRefused("TARGET_ALL_NULL", f"Every value of '{target}' is missing.", {"target_column": target})
     raw_distinct = first["unique_count"]
     if first["stage"] == "coerced":
         # the raw-value check runs on the text as written
         k = raw_key(spec)
         raw_distinct = cf.df.select(k[2]).where(k[2].isNotNull()).distinct().limit(2).count()
     if raw_distinct < 2:
-        raise ProfileRefused("TARGET_SINGLE_VALUE", f"'{target}' has only one distinct value.",
+        raise ProfileRefused("TARGET_SINGLE_VALUE", f"All values of '{target}' are the same.",
                              {"target_column": target})
     if first["inferred_type"] not in ("numeric_discrete", "numeric_continuous", "boolean", "categorical"):
         raise ProfileRefused("TARGET_TYPE_UNSUPPORTED",
-                             f"'{target}' looks like {first['inferred_type']} data.",
+                             f"A target of type {first['inferred_type']} can't be modelled: '{target}'.",
                              {"target_column": target, "inferred_type": first["inferred_type"]})
     cls = cf.summary.get(spec.ordinal) or {"top_n": None, "min_n": None, "unique_count": 0}
     cls = {"cmax": cls["top_n"], "cmin": cls["min_n"], "classes": cls["unique_count"]}
@@ -231,10 +231,10 @@ def target_outcome(cf: ColumnFacts, target: str, override: str | None) -> dict:
     t = t.withColumn("secondary", R.secondary_metrics(F.col("task"), F.col("primary")))
     out = t.collect()[0].asDict()
     if out["refusal"]:
-        raise ProfileRefused(out["refusal"], f"'{target}' cannot be treated as {override}.",
+        raise ProfileRefused(out["refusal"], f"The requested task {override} doesn't fit the values of '{target}'.",
                              {"target_column": target, "requested": override or "", "inferred": out["inferred"]})
     if out["task"] == "binary_classification" and out["ratio"] is None:
-        raise ProfileRefused("TARGET_SINGLE_VALUE", f"'{target}' has only one class after coercion.",
+        raise ProfileRefused("TARGET_SINGLE_VALUE", f"Read as numbers, all values of '{target}' are the same.",
                              {"target_column": target})
     out["ordinal"] = spec.ordinal
     out["overridden"] = override is not None
@@ -331,7 +331,7 @@ def profile_table(df: DataFrame, target: str, *, dataset_id: str = "dataset", so
 def _profile(df: DataFrame, target: str, dataset_id: str, source_name: str | None, override: str | None,
              sample_key: Column | None, sample_percent: int, thresholds: T.Thresholds, duplicates: bool) -> Profile:
     if target not in df.columns:
-        raise ProfileRefused("TARGET_NOT_FOUND", f"Column '{target}' does not exist in this dataset.",
+        raise ProfileRefused("TARGET_NOT_FOUND", f"The table has no column named '{target}'.",
                              {"target_column": target})
     cf = column_facts(df, target, thresholds)
     t = target_outcome(cf, target, override)

@@ -89,10 +89,13 @@ def numeric_summary(spark, sf):
 
 @query("duplicate_rows")
 def duplicate_rows(spark, sf):
-    """D6 rows minus distinct rows of events(event_type, props)."""
+    """D6 rows minus distinct rows: whole line items, and the same without their numbers."""
     from factsheet.operators.stats import duplicate_row_count
 
-    return duplicate_row_count(I.table(spark, sf, "events").select("event_type", "props"))
+    li = I.table(spark, sf, "lineitem")
+    plain = li.select("l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+    return _union([duplicate_row_count(df).select(F.lit(name).alias("table_name"), "duplicate_row_count")
+                   for name, df in (("lineitem", li.unionByName(li.where("l_linenumber = 1"))), ("plain", plain))])
 
 
 # --- D7, H13-H15: target, task, metric ----------------------------------------
@@ -244,6 +247,46 @@ def parse_rate_datetime(spark, sf):
                            r(R.dt_rate()).alias("parse_rate"))
 
 
+@query("parse_rate_timestamps")
+def parse_rate_timestamps(spark, sf):
+    """D8, G4 order dates written in the year-first forms, and outside the range: texts that parse."""
+    d = F.date_format("o_orderdate", "yyyy-MM-dd")
+    with_time = lambda tail: F.concat(d, F.lit(tail))
+    forms = {"zulu": with_time("T03:04:05Z"), "shifted": with_time(" 03:04:05+02:00"), "millis": with_time("T03:04:05.123"),
+             "nanos": with_time(" 03:04:05.123456789"), "minutes": with_time(" 03:04"),
+             "short": F.date_format("o_orderdate", "yyyy-M-d"),
+             "too_early": F.concat(F.lit("1"), F.substring(d, 2, 9)), "too_late": F.concat(F.lit("9"), F.substring(d, 2, 9)),
+             "no_month": F.concat(F.substring(d, 1, 5), F.lit("13"), F.substring(d, 8, 3))}
+    forms["too_early"] = F.regexp_replace(forms["too_early"], "^1[0-9]", "14")
+    cf = column_facts(I.table(spark, sf, "orders").select(*[x.alias(k) for k, x in forms.items()]))
+    return cf.stats.select(c("name").alias("column_name"), c("dt_count").cast("bigint").alias("parsed"))
+
+
+@query("decimal_unique")
+def decimal_unique(spark, sf):
+    """D2 distinct values of line prices as wide decimals that doubles can't tell apart."""
+    big = (F.col("l_orderkey").cast("decimal(38,0)") + F.lit("100000000000000000000").cast("decimal(38,0)")).alias("wide")
+    cf = column_facts(I.table(spark, sf, "lineitem").select(big.cast("decimal(38,0)").alias("wide"), "l_quantity"))
+    return cf.stats.select(c("name").alias("column_name"), c("unique_count").cast("bigint").alias("unique_count"))
+
+
+@query("dataset_profile")
+def dataset_profile(spark, sf):
+    """H20 the dataset row of four profiles, repeated rows counted over whole rows."""
+    out = []
+    for t, target in DATASET_PROFILES:
+        p = profile_table(_load(spark, sf, t), target, dataset_id=t)
+        out.append(p.dataset.select(
+            c("dataset_id").alias("table_name"), "target_column", "n_rows", "n_columns", "problem_type", "task_confidence",
+            "primary_metric", F.array_join("secondary_metrics", ",").alias("secondary_metrics"),
+            r("class_balance_ratio").alias("class_balance_ratio"), "duplicate_row_count"))
+    return _union(out)
+
+
+DATASET_PROFILES = [("orders", "o_orderstatus"), ("documents_labelled", "quality"), ("part", "p_retailprice"),
+                    ("events_flagged", "big_error")]
+
+
 @query("parse_rate_numeric")
 def parse_rate_numeric(spark, sf):
     """D9 share of non-null text values that parse as a number after cleaning."""
