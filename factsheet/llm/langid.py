@@ -22,6 +22,7 @@ from .common import small_batches
 BUCKETS, ORDERS = 1 << 16, (1, 2, 3, 4)
 #: Documents per language that a model learns from (a documented bound, see ``train``).
 SAMPLE_DOCS = 1000
+MOST_LANGUAGES = 1000
 #: A language is a candidate for a script that holds at least this share of its letters.
 SCRIPT_SHARE = 0.002
 SWITCH, BARRED = 12.0, -40.0
@@ -167,15 +168,24 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
 
     Spark counts n-gram buckets and letters per script over the whole texts of the sample; the
     model is one number per bucket and language. Rows without id, text or language
-    are not learnt from. ``sample_docs`` up to 1000 lets Spark cut each task's
-    candidates to that number before the shuffle.
+    are not learnt from. Only about half as many ids again as wanted are ranked, so a
+    language with most of the rows costs no more than another.
     """
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     usable = F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.lit(True) if learn_from is None else learn_from)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = rows.where(usable).select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= sample_docs)
+    labelled = rows.where(usable).select("doc_id", "lang")
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    # the lowest hashes: a share of the ids that holds half as many again as wanted, ranked to the exact number
+    share = F.coalesce(F.lit(None).cast("double"), *[F.when(
+        F.col("lang") == r["lang"], F.lit(1.5 * sample_docs / r["n"])) for r in sizes])
+    order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id"))
+    chosen = labelled.withColumn("order", order).where(order < share * F.lit(float(1 << 31))).withColumn("rank", rank).where(
+        F.col("rank") <= sample_docs)
     # ids of the sample only: sample_docs for each language
     sample = rows.where(usable & F.col("text").isNotNull()).join(
         F.broadcast(chosen.select("doc_id", "lang").distinct()), ["doc_id", "lang"]).select("lang", "text")
