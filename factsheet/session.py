@@ -48,6 +48,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "16g")
+        .config("spark.sql.files.openCostInBytes", "1m")  # small local files still use several cores
         .config("spark.sql.ansi.enabled", "false")
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
     )
