@@ -59,8 +59,20 @@ def without_rows(docs: DataFrame, rows: DataFrame, row: str = "_row") -> DataFra
     return with_row(docs, number).join(gone, F.col(number) == F.col(gone.columns[0]), "left_anti").drop(number)
 
 
+def fixed_splits(spark: SparkSession) -> None:
+    """From now on the session cuts a table into the same splits at every scan.
+
+    Spark sizes splits by the cores it has when a scan is planned, so without this an
+    executor that joins or is lost between two scans would change them, and row numbers.
+    """
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        cores = spark.conf.get("spark.sql.leafNodeDefaultParallelism", None) or spark.sparkContext.defaultParallelism
+        spark.conf.set("spark.sql.files.minPartitionNum", str(cores))
+
+
 def with_row(df: DataFrame, name: str = "_row") -> DataFrame:
-    """Number the rows of a stored table; the same scan gives the same numbers again."""
+    """Number the rows of a stored table; a further scan of it in the session gives the same numbers again."""
+    fixed_splits(df.sparkSession)
     return df.withColumn(name, F.monotonically_increasing_id())
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from factsheet.llm import embeddings, html_text, mixing, pages, queries, simhash, toxicity
+from factsheet.llm import common, embeddings, html_text, mixing, pages, queries, simhash, toxicity
 from factsheet.llm.common import stored
 from factsheet.llm.components import components
 from factsheet.llm.tokens import load_tokenizer
@@ -183,3 +183,25 @@ def test_pipeline(spark):
     whole = lambda rows: collections.Counter((r.doc_id, r.doc_tokens) for r in rows if r.start == 0)
     assert whole(pieces) == collections.Counter((r.doc_id, len(ids(r.text)) + 1) for r in before)
     assert whole(corpus_pipeline.run(spark, SF).collect()) == whole(pieces)
+
+
+def test_row_numbers_stay_when_cores_come_or_go(spark, tmp_path):
+    """Rows keep their numbers although Spark sees other cores at the second scan."""
+    cores, least = "spark.sql.leafNodeDefaultParallelism", "spark.sql.files.minPartitionNum"
+    before = {k: spark.conf.get(k, None) for k in (cores, least)}
+    path = str(tmp_path / "t")
+    spark.range(0, 400_000, 1, 3).selectExpr("id", "md5(cast(id AS string)) AS pad").write.option(
+        "parquet.block.size", 1 << 20).parquet(path)
+    try:
+        spark.conf.unset(least)
+        spark.conf.set(cores, "2")
+        docs = spark.read.parquet(path)
+        splits = docs.rdd.getNumPartitions()
+        first = common.stored(common.with_row(docs, "n"), "numbers")
+        spark.conf.set(cores, "16")
+        assert common.with_row(docs, "n").join(first, ["id", "n"]).count() == 400_000
+        spark.conf.unset(least)
+        assert spark.read.parquet(path).rdd.getNumPartitions() > splits  # unfixed, the splits do change
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
