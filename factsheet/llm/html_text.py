@@ -4,7 +4,9 @@ Every node of a page's element tree gets a density: its characters per tag, lowe
 where links hold them. A node's children's densities add up to its density sum; the
 node with the largest sum is the core of the article. The lowest density on the path
 from the core up to the body is the threshold: other blocks at or above it belong to
-the article too, and the smallest subtree that holds all of them is its text.
+the article too, and the smallest subtree that holds all of them is its text. Blocks
+inside it below the threshold are left out where links make them: lists of links, menus
+and teasers. Short paragraphs are below it as well, but no links hold them; they stay.
 """
 
 from __future__ import annotations
@@ -37,6 +39,7 @@ CLOSED_BY = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}),
 P, P_SHIELDS = {"p"}, {"td", "th", "table", "caption", "button", "blockquote", "div", "section", "article", "li"}
 CLOSES_P = BLOCK - {"br", "body", "head", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "option", "optgroup", "legend"}
 
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that never belong to an article's text.
 NEVER = frozenset("nav footer aside form button select textarea input label fieldset dialog menu search svg math canvas audio video "
                   "object embed iframe head title template noscript script style".split())
@@ -217,6 +220,55 @@ def _text(node: Node) -> str:
     return SPACES.sub(" ", "".join(parts)).strip()
 
 
+def _leave_out_links(top: Node, least: float) -> None:
+    """Mark blocks below ``top`` as out that are below the threshold because of their links.
+
+    Links hold at least half of such a block, or it is a teaser: a box of which each heading
+    is a link. Headings go with their box only, and a block with the title stays.
+    """
+    order = _measure(top)
+    heads: dict[int, list[int]] = {}  # of every node: headings, headings that are links, titles
+    for x in order:
+        n = heads.setdefault(id(x), [0, 0, 0])
+        if x.name in HEADINGS and x.chars:
+            n[0] += 1
+            n[1] += x.link_chars == x.chars or _in_link(x, top)
+            n[2] += x.name == "h1"
+        if x is not top:
+            up = heads.setdefault(id(x.up), [0, 0, 0])
+            for k in range(3):
+                up[k] += n[k]
+    for x in order:
+        if x is not top and x.name in BLOCK and x.name not in HEADINGS and x.chars and x.density < least:
+            n, linked, titles = heads[id(x)]
+            if not titles and (x.link_chars * 2 >= x.chars or (n and n == linked)):
+                x.out = True
+
+
+def _in_link(x: Node, top: Node) -> bool:
+    while x is not top and x.name != "a":
+        x = x.up
+    return x.name == "a"
+
+
+def _title(top: Node, body: Node) -> Node | None:
+    """The title of an article or main element whose text is ``top``, where it stands before it."""
+    around = top
+    while around is not body and around.name not in ("article", "main"):
+        around = around.up
+    if around is top or around.name not in ("article", "main"):
+        return None
+    stack = [around]
+    while stack:
+        x = stack.pop()
+        if x is top:
+            return None
+        if x.name == "h1" and x.chars:
+            return x
+        stack.extend(k for k in reversed(x.kids) if not isinstance(k, str) and not k.out)
+    return None
+
+
 def main_text(page: str | None) -> str:
     """The article's text of one page; empty if there is none."""
     if not page:
@@ -242,10 +294,9 @@ def main_text(page: str | None) -> str:
             top = x
             break
         held[id(x.up)] += held[id(x)]
-    around = top
-    while around is not body and around.name not in ("article", "main"):
-        around = around.up
-    return _text(around if around.name in ("article", "main") else top)
+    _leave_out_links(top, least)
+    title = _title(top, body)
+    return f"{_text(title)} {_text(top)}".strip() if title else _text(top)
 
 
 def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

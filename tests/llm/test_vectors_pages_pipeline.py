@@ -121,6 +121,21 @@ def test_main_text(spark):
     assert html_text.extract_main_text(df.limit(0)).count() == 0
 
 
+def test_main_text_leaves_out_links_without_telling_names():
+    long = [f"Paragraph {k} of the article says a good deal about the matter, in plain words and at some length." for k in range(6)]
+    paragraphs = "".join(f"<p>{x}</p>" for x in [*long[:3], "Short.", *long[3:]])
+    text = " ".join([*long[:3], "Short.", *long[3:]])
+    links = "<ul>" + "".join(f"<li><a href=/{k}>Some other page {k}</a></li>" for k in range(5)) + "</ul>"
+    teasers = "".join(f"<div><h3><a href=/{k}>Other story {k}</a></h3><p>In short.</p></div>" for k in range(3))
+    for inner in (f"<div>{paragraphs}</div>{links}{teasers}", f"{paragraphs}{links}", f"{links}<div>{paragraphs}</div>",
+                  f"<div>{paragraphs}{teasers}</div>"):
+        for tag in ("main", "article", "div"):
+            assert html_text.main_text(f"<body><{tag}>{inner}</{tag}></body>") == text
+    assert html_text.main_text(f"<body><article><h1>Title</h1><div>{paragraphs}</div>{links}</article></body>") == f"Title {text}"
+    cited = paragraphs.replace("plain words", "<a href=/w>plain words</a>")
+    assert html_text.main_text(f"<body><main>{cited}</main></body>") == text
+
+
 def test_main_text_of_given_pages(spark):
     import html
 
