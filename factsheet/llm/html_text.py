@@ -41,7 +41,7 @@ CLOSES_P = BLOCK - {"br", "body", "head", "html", "caption", "tbody", "td", "tfo
 
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that never belong to an article's text.
-NEVER = frozenset("nav footer aside form button select textarea input label fieldset dialog menu search svg math canvas audio video "
+NEVER = frozenset("nav footer aside button select textarea input label fieldset dialog menu search svg math canvas audio video "
                   "object embed iframe head title template noscript script style".split())
 #: Words of class, id or role that name furniture of the page, not text of the article.
 FURNITURE = frozenset(
@@ -57,43 +57,56 @@ LOOSE_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)")
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:[\s=]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 WORD_SPLIT = re.compile(r"[^a-z]+")
+#: Words beside a listed one that make a class say how a box looks ("with-sidebar"), not what it is.
+STATE = frozenset("with without no not has have is enabled disabled on off open opened closed allowed".split())
+#: Listed words for what readers write; it can outweigh the article.
+REPLIES = frozenset("comment comments commentlist disqus replies reply respond".split())
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 SPACES = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("name", "up", "kids", "out", "chars", "tags", "link_chars", "link_tags", "density", "sum")
+    __slots__ = ("name", "up", "kids", "out", "named", "chars", "tags", "link_chars", "link_tags", "density", "sum")
 
-    def __init__(self, name: str, up: Node | None, out: bool):
-        self.name, self.up, self.kids, self.out = name, up, [], out
+    def __init__(self, name: str, up: Node | None, out: bool, named: int):
+        self.name, self.up, self.kids, self.out, self.named = name, up, [], out, named
 
 
-def _furniture(name: str, attrs: str, in_article: bool) -> bool:
+def _out(name: str, attrs: str, in_article: bool) -> bool:
     if name in NEVER:
         return True
     if name == "header":  # an article's own header holds its title
         return not in_article
+    return bool(attrs) and name not in ("html", "body", "article", "main") and bool(HIDDEN.search(attrs))
+
+
+def _named(name: str, attrs: str) -> int:
+    """1 for an element that its name makes furniture, 2 for readers' comments, else 0."""
+    found = int(name == "form")
     if not attrs or name in ("html", "body", "article", "main"):
-        return False
-    if HIDDEN.search(attrs):
-        return True
+        return found
     for m in NAMES.finditer(attrs):
-        value = m[1] or m[2] or m[3] or ""
-        if not FURNITURE.isdisjoint(WORD_SPLIT.split(CAMEL.sub(" ", value).lower())):
-            return True
-    return False
+        for token in (m[1] or m[2] or m[3] or "").split():
+            words = WORD_SPLIT.split(CAMEL.sub(" ", token).lower())
+            if not FURNITURE.isdisjoint(words) and STATE.isdisjoint(words):
+                found = max(found, 1 if REPLIES.isdisjoint(words) else 2)
+    return found
 
 
 class _Tree:
     """The open elements while a page is read, and how many there are of each name."""
 
     def __init__(self):
-        self.root = Node("#root", None, False)
+        self.root = Node("#root", None, False, 0)
         self.open, self.count = [self.root], Counter()
+        self.named: list[Node] = []
 
     def add(self, name: str, attrs: str, stays: bool) -> None:
         up = self.open[-1]
-        new = Node(name, up, up.out or _furniture(name, attrs, bool(self.count["article"] or self.count["main"])))
+        out = up.out or _out(name, attrs, bool(self.count["article"] or self.count["main"]))
+        new = Node(name, up, out, 0 if out else _named(name, attrs))
+        if new.named:
+            self.named.append(new)
         up.kids.append(new)
         if stays:
             self.open.append(new)
@@ -167,6 +180,8 @@ def parse(page: str) -> Node:
             at = stop.end() if stop else n
         else:
             tree.add(name, attrs, name not in VOID and not (attrs.endswith("/") and name not in BLOCK))
+    if tree.named:
+        _judge_names(tree.root, tree.named)
     return tree.root
 
 
@@ -193,6 +208,60 @@ def _measure(root: Node) -> list[Node]:
     return order
 
 
+def _body(root: Node, order: list[Node]) -> Node:
+    return next((x for x in reversed(order) if x.name == "body"), root)
+
+
+def _core(body: Node, inside: list[Node]) -> Node:
+    return max(inside, key=lambda x: (x.sum, x.density)) if any(x.sum for x in inside) else body
+
+
+def _judge_names(root: Node, named: list[Node]) -> None:
+    """Put elements out that their names make furniture (``named``, in page order), unless they hold the article.
+
+    Such an element stays where it holds most of the body's text that is no link, or the
+    densest subtree; but not beside an article or main element that stands outside all
+    of them, nor, without a paragraph or heading of its own, beside a title that does.
+    Readers' comments, which may well hold most, stay only if nothing else has text.
+    """
+    def most(left: list[Node]) -> bool:
+        order = _measure(root)
+        body = _body(root, order)
+        total = body.chars - body.link_chars
+        if not total:
+            return False
+        _densities(order, body)
+        core, holds = _core(body, _measure(body)), set()
+        while core is not None:
+            holds.add(id(core))
+            core = core.up
+        within, outside = set(), set()  # nodes inside named ones; names of the others with text
+        for x in reversed(order):
+            if x.named or id(x.up) in within:
+                within.add(id(x))
+            elif x.chars:
+                outside.add(x.name)
+        prose: dict[int, bool] = {}
+        for x in order:
+            prose[id(x)] = own = prose.get(id(x), False) or bool(x.chars) and (x.name == "p" or x.name in HEADINGS)
+            if own:
+                prose[id(x.up)] = True
+        for x in left:
+            if id(x) in prose:  # else inside an element that is out
+                stays = x.chars and (id(x) in holds or (x.chars - x.link_chars) * 2 > total)
+                x.out = not stays or not outside.isdisjoint(("article", "main") if prose[id(x)] else ("article", "main", "h1"))
+        return True
+
+    replies, others = [x for x in named if x.named == 2], [x for x in named if x.named == 1]
+    for x in replies:
+        x.out = True
+    found = most(others)
+    if not found and replies:
+        for x in replies:
+            x.out = False
+        most(named)
+
+
 def _densities(order: list[Node], body: Node) -> None:
     ratio = body.link_chars / body.chars if body.chars else 0.0
     for node in order:
@@ -226,13 +295,16 @@ def _leave_out_links(top: Node, least: float) -> None:
     Links hold at least half of such a block, or it is a teaser: a box of which each heading
     is a link. Headings go with their box only, and a block with the title stays.
     """
-    order = _measure(top)
+    order, linked = _measure(top), set()
+    for x in reversed(order):
+        if x.name == "a" or id(x.up) in linked and x is not top:
+            linked.add(id(x))
     heads: dict[int, list[int]] = {}  # of every node: headings, headings that are links, titles
     for x in order:
         n = heads.setdefault(id(x), [0, 0, 0])
         if x.name in HEADINGS and x.chars:
             n[0] += 1
-            n[1] += x.link_chars == x.chars or _in_link(x, top)
+            n[1] += x.link_chars == x.chars or id(x) in linked
             n[2] += x.name == "h1"
         if x is not top:
             up = heads.setdefault(id(x.up), [0, 0, 0])
@@ -240,17 +312,11 @@ def _leave_out_links(top: Node, least: float) -> None:
                 up[k] += n[k]
     for x in order:
         if x is not top and x.name in BLOCK and x.name not in HEADINGS and x.chars and x.density < least:
-            n, linked, titles = heads[id(x)]
-            if not titles and (x.link_chars * 2 >= x.chars or (n and n == linked)):
+            n, links, titles = heads[id(x)]
+            if not titles and (x.link_chars * 2 >= x.chars or (n and n == links)):
                 x.out = True
 
 
-def _in_link(x: Node, top: Node) -> bool:
-    while x is not top and x.name != "a":
-        x = x.up
-    return x.name == "a"
-
-
 def _title(top: Node, body: Node) -> Node | None:
     """The title of an article or main element whose text is ``top``, where it stands before it."""
     around = top
@@ -275,12 +341,12 @@ def main_text(page: str | None) -> str:
         return ""
     root = parse(page)
     order = _measure(root)
-    body = next((x for x in reversed(order) if x.name == "body"), root)
+    body = _body(root, order)
     if not body.chars:
         return ""
     _densities(order, body)
     inside = _measure(body)
-    core = max(inside, key=lambda x: (x.sum, x.density)) if any(x.sum for x in inside) else body
+    core = _core(body, inside)
     least, x = core.density, core
     while x is not body:
         x = x.up

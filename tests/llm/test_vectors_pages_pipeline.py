@@ -136,6 +136,23 @@ def test_main_text_leaves_out_links_without_telling_names():
     assert html_text.main_text(f"<body><main>{cited}</main></body>") == text
 
 
+def test_main_text_names_never_drop_the_article():
+    long = [f"Paragraph {k} of the article says a good deal about the matter, in plain words and at some length." for k in range(4)]
+    text, paragraphs = " ".join(long), "".join(f"<p>{x}</p>" for x in long)
+    side = '<div id="sidebar"><p>Side story that goes on for a while.</p></div><div class="share-buttons"><p>Tell your friends</p></div>'
+    replies = '<div id="comments">' + "".join(f"<p>I don't agree at all, number {k}, and I say so at length, again and again.</p>" for k in range(12))
+    for wrapper in ('div class="content with-sidebar"', 'div id="content" class="no-sidebar"', 'div class="post share-enabled"',
+                    'div class="promo"', "form method=post", 'div class="related newsletter"', 'div class="comments-open"'):
+        tag = wrapper.split()[0]
+        assert html_text.main_text(f"<body><{wrapper}><div>{paragraphs}</div>{side}</{tag}</body>") == text
+        assert html_text.main_text(f"<body><{wrapper}>{paragraphs}</{tag}>{side}{replies}<p class=share>x</p></div></body>") == text
+    assert html_text.main_text(f"<body><div>{paragraphs}</div><form><p>Your name</p></form>{side}{replies}</div></body>") == text
+    ad = '<div class="ad">A very long advertisement, which holds more text than the article does.</div>'
+    assert html_text.main_text(f"<body>{ad}<article><p>Short.</p></article></body>") == "Short."
+    assert html_text.main_text(f"<body>{ad}<div><h1>Title</h1><p>Short.</p></div></body>") == "Title Short."
+    assert html_text.main_text("<body><div class=comment>" * 20_000 + "x").endswith("x")
+
+
 def test_main_text_of_given_pages(spark):
     import html
 
