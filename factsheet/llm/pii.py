@@ -3,8 +3,9 @@
 The fixed patterns find the seed entities. Words around the seeds become lexical
 patterns; Spark scores the graph of patterns and identifier-like instances that
 they surround, round by round: a pattern is trusted for a kind when most of the
-instances in it are known to be of that kind, and an instance becomes known when
-trusted patterns hold it. Every place of a newly known instance is then a span.
+instances in it that are known at all are of that kind, and an instance becomes known
+when trusted patterns hold it, until no round finds another. Every place of a newly
+known instance is then a span.
 """
 
 from __future__ import annotations
@@ -33,8 +34,13 @@ DIGIT = re.compile(r"[0-9]")
 CHUNK = re.compile(r"[^\x20\x09-\x0D]+")
 OUTER = "\"'`.,;:!?()[]{}<>|*"
 LEAST_CHARS, MOST_CHARS = 5, 64
-#: A pattern is trusted from this share of known instances on, and from so many different ones.
-TRUST, SUPPORT, ROUNDS = 0.8, 3, 3
+#: Known non-identifiers by their shape: dates, times, amounts and addresses of the web.
+PLAIN = re.compile(
+    r"[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}(?:t[0-9:.z+-]*)?|[0-9]{1,2}[-/.][0-9]{1,2}[-/.](?:[0-9]{4}|[0-9]{2})|[0-9]{1,2}(?::[0-9]{2}){1,2}"
+    r"|[$€£¥][0-9.,]+|[0-9][0-9.,]*[$€£¥%]|[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?|(?:(?:https?|ftp)://|www\.).*", re.S)
+UNKNOWN, NEVER = -1, -2
+#: A pattern is trusted from this share of its known instances on, and from so many different ones.
+TRUST, SUPPORT = 0.8, 3
 
 
 def luhn(digits: str) -> bool:
@@ -85,7 +91,9 @@ def _word(chunk: str) -> str:
 
 
 def instances(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str, list[str]]]:
-    """(start, end, kind or -1, instance, patterns) of seeds and of identifier-like chunks beside them.
+    """(start, end, kind, instance, patterns) of seeds and of identifier-like chunks beside them.
+
+    The kind of a chunk is ``UNKNOWN``, or ``NEVER`` where its shape shows that it is no identifier.
 
     The patterns of a place are its two words before, and one word on either side.
     """
@@ -124,7 +132,7 @@ def instances(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, in
             at += 1
         if any(x[0] < e and s < x[1] for x in seeds[at:at + len(KINDS) + 1]):
             continue
-        out.append((s, e, -1, own.lower(), around(c, c)))
+        out.append((s, e, NEVER if PLAIN.fullmatch(own.lower()) else UNKNOWN, own.lower(), around(c, c)))
     return out
 
 
@@ -159,36 +167,38 @@ def scan_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     return rows.select("doc_id", "_row", "text").mapInArrow(run, schema)
 
 
-def discover(scanned: DataFrame, *, trust: float = TRUST, support: int = SUPPORT, rounds: int = ROUNDS) -> DataFrame:
-    """``instance`` and ``kind`` of identifiers that trusted patterns reveal.
+def discover(scanned: DataFrame, *, trust: float = TRUST, support: int = SUPPORT) -> DataFrame:
+    """``instance``, ``kind`` and ``votes`` of identifiers that trusted patterns reveal.
 
     Edges (pattern, instance) are distinct, so copies of a passage give no weight. In
     each round a pattern's kind is the commonest kind of its known instances; it is trusted
-    if at least ``support`` instances and the share ``trust`` of all its instances are
-    known to be of it. Instances in trusted patterns become known for the next round;
-    the kind with most trusted patterns wins, the first kind of a tie.
+    if at least ``support`` instances and the share ``trust`` of the known ones, those
+    known to be no identifiers among them, are of it; unknown ones count neither way.
+    Unknown instances in trusted patterns become known for the next round; the kind with most
+    trusted patterns (``votes``) wins, the first kind of a tie. A known instance keeps its
+    kind, so the known set only grows; the rounds end when one adds nothing.
     """
     places = scanned.select(F.explode("places").alias("p")).select("p.instance", "p.kind", F.explode("p.patterns").alias("pattern"))
     edges = stored(places.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "pii-edges")
-    seeds = edges.where("kind >= 0").groupBy("instance").agg(F.min("kind").alias("known"))
-    known = seeds
+    known = edges.where(F.col("kind") != UNKNOWN).groupBy("instance").agg(
+        F.coalesce(F.min(F.when(F.col("kind") >= 0, F.col("kind"))), F.lit(NEVER)).alias("known"))
+    kinds = [f"k{k}" for k in range(len(KINDS))]
+    most = F.greatest(*kinds)
+    kind = F.coalesce(*(F.when(F.col(f"k{k}") == most, k) for k in range(len(KINDS))))
     found = None
-    for _ in range(rounds):
-        counts = edges.select("pattern", "instance").join(known, "instance", "left").groupBy("pattern").agg(
+    while True:
+        all_known = known if found is None else known.unionByName(found.select("instance", F.col("kind").alias("known")))
+        counts = edges.select("pattern", "instance").join(all_known, "instance").groupBy("pattern").agg(
             F.count(F.lit(1)).alias("n"), *(F.count(F.when(F.col("known") == k, 1)).alias(f"k{k}") for k in range(len(KINDS))))
-        most = F.greatest(*(F.col(f"k{k}") for k in range(len(KINDS))))
-        kind = F.coalesce(*(F.when(F.col(f"k{k}") == most, k) for k in range(len(KINDS))))
         trusted = counts.where((most >= support) & (most >= F.col("n") * trust)).select("pattern", kind.alias("of"))
-        votes = edges.where("kind < 0").join(trusted, "pattern").groupBy("instance").agg(
+        votes = edges.where(F.col("kind") == UNKNOWN).join(trusted, "pattern").groupBy("instance").agg(
             *(F.count(F.when(F.col("of") == k, 1)).alias(f"k{k}") for k in range(len(KINDS))))
-        now = stored(votes.select("instance", kind.alias("known")).join(seeds.select("instance"), "instance", "left_anti"), "pii-known")
-        n = now.count()
-        if n == found:
-            break
-        found, known = n, seeds.unionByName(now)
-        if not n:
-            break
-    return now.select("instance", F.col("known").alias("kind"))
+        new = stored(votes.join(all_known.select("instance"), "instance", "left_anti").select(
+            "instance", kind.alias("kind"), most.alias("votes")), "pii-known")
+        more = new.limit(1).count()
+        found = new if found is None else found.unionByName(new) if more else found
+        if not more:
+            return found
 
 
 def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **scoring) -> DataFrame:
@@ -205,7 +215,7 @@ def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """
     scanned = stored(scan_documents(docs, id_col=id_col, text_col=text_col), "pii-places")
     new = discover(scanned, **scoring)
-    places = scanned.where(F.size("places") > 0).select("_row", F.explode("places").alias("p")).where("p.kind < 0").select(
+    places = scanned.where(F.size("places") > 0).select("_row", F.explode("places").alias("p")).where(F.col("p.kind") == UNKNOWN).select(
         "_row", "p.instance", "p.start", "p.end")
     added = places.join(new, "instance").groupBy("_row").agg(
         F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("added"))

@@ -282,6 +282,33 @@ def test_contexts_reveal_unseen_identifiers(spark, odd, none):
     assert pii.find_personal_data(none).count() == 0
 
 
+def added(spark, texts):
+    docs = stored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "pii")
+    return {r.doc_id: [(texts[r.doc_id][s.start:s.end], pii.KINDS[s.kind]) for s in r.added]
+            for r in pii.find_personal_data(docs).collect() if r.added}
+
+
+def test_unknown_identifiers_do_not_count_against_their_context(spark):
+    texts = [f"Please write to user{k}@mail.example for help" for k in range(3)] + ["Please write to user77[at]mail for help"]
+    texts += [f"We can be reached at 10.0.0.{k} today" for k in range(6)] + [f"We can be reached at host{k}.lan.0 today" for k in range(2)]
+    assert added(spark, texts) == {3: [("user77[at]mail", "email")], 10: [("host0.lan.0", "ip")], 11: [("host1.lan.0", "ip")]}
+    # known ones of another kind, and dates, do
+    texts = [f"it came from user{k}@mail.example again" for k in range(3)] + ["it came from 10.0.0.1 again", "it came from xyz12345 again"]
+    assert added(spark, texts) == {}
+    texts = [f"it was sent user{k}@mail.example again" for k in range(3)] + ["it was sent 2020-01-02 again", "it was sent xyz12345 again"]
+    assert added(spark, texts) == {}
+
+
+def test_contexts_are_followed_to_the_end(spark):
+    texts = [f"round zero says user{k}@mail.example here" for k in range(3)]
+    for n in range(6):  # each round's three instances make the next one's context known
+        texts += [f"round {'abcdefg'[n - 1] if n else 'zero'} says name{n}x{k}55 here" for k in range(3)] if n == 0 else []
+        texts += [f"round {'abcdefg'[n]} tells name{n}x{k}55 there{n}" for k in range(3)]
+        texts += [f"round {'abcdefg'[n]} tells name{n + 1}x{k}55 there{n}" for k in range(3)]
+    found = added(spark, texts)
+    assert {x for v in found.values() for x, _ in v} == {f"name{n}x{k}55" for n in range(7) for k in range(3)}
+
+
 # -- op 1, op 3
 
 def test_languages_held_out(spark, odd, none):
