@@ -11,6 +11,7 @@ known instance is then a span.
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,10 +31,21 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 
-#: Identifier-like: a chunk between white space, without outer marks, that has a digit and enough letters or digits.
+#: Identifier-like: a chunk between white space, without outer marks, that has enough letters or digits and a
+#: digit or an inner mark; neighbouring chunks of digits; and addresses that are spelled out.
 CHUNK = re.compile(r"[^\x20\x09-\x0D]+")
+SPACES = re.compile(r"[\x20\x09-\x0D]+")
 OUTER = "\"'`.,;:!?()[]{}<>|*"
 LEAST_CHARS, MOST_CHARS = 5, 64
+MARKED = re.compile(r"[^\W_][@._+~=#%&/\\()\[\]{}<>|]+[^\W_]")
+LIKE = re.compile(rf"[0-9]|{MARKED.pattern}")
+#: Short groups of digits: so many chunks at most, with so many digits in all.
+GROUP = re.compile(r"[(+#]*[0-9][0-9().+/-]*")
+MOST_GROUPS, LEAST_DIGITS, MOST_DIGITS = 6, 7, 19
+#: Words for the marks of a spelled-out address, which has so many parts at most.
+AT, DOT = frozenset("at arroba arobase".split()), frozenset("dot punkt point punto ponto".split())
+SPELLED = re.compile(rf"\b(?:{'|'.join(sorted(AT))})\b", re.I)
+MOST_PARTS = 8
 #: Known non-identifiers by their shape: dates, times, amounts and addresses of the web.
 PLAIN = re.compile(
     r"[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}(?:t[0-9:.z+-]*)?|[0-9]{1,2}[-/.][0-9]{1,2}[-/.](?:[0-9]{4}|[0-9]{2})|[0-9]{1,2}(?::[0-9]{2}){1,2}"
@@ -90,14 +102,60 @@ def _word(chunk: str) -> str:
     return DIGIT.sub("0", chunk.strip(OUTER).lower())
 
 
-def instances(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str, list[str]]]:
-    """(start, end, kind, instance, patterns) of seeds and of identifier-like chunks beside them.
+def _groups(text: str, chunks: list[tuple[int, int]], like: list[int]) -> Iterator[tuple[int, int]]:
+    """First and last chunk of every run of two or more groups of digits that has a fitting number of digits.
+
+    A mark of the sentence ends a run; within a longer run all shorter ones count, as any may be the identifier.
+    """
+    counts: list[int] = []  # digits of the open run's groups
+    before = -2
+    for c in like:
+        own = text[slice(*chunks[c])]
+        inner = own.rstrip(OUTER.replace(")", ""))
+        if c != before + 1:
+            counts = []
+        before = c
+        if not GROUP.fullmatch(inner.lstrip(OUTER.replace("(", ""))):
+            counts = []
+            continue
+        if inner.lstrip(OUTER.replace("(", "")) != inner.lstrip():
+            counts = []
+        counts = [*counts[1 - MOST_GROUPS:], sum("0" <= x <= "9" for x in inner)]
+        total = counts[-1]
+        for k in range(1, len(counts)):
+            total += counts[-1 - k]
+            if total > MOST_DIGITS:
+                break
+            if total >= LEAST_DIGITS:
+                yield c - k, c
+        if inner != own:
+            counts = []
+
+
+def _spelled(text: str, chunks: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """First and last chunk of every address like "john dot smith at example dot com"."""
+    words = [text[a:b].strip(OUTER).lower() for a, b in chunks]
+    for c, w in enumerate(words):
+        if w not in AT or not c or c + 3 >= len(words) or words[c + 2] not in DOT:
+            continue
+        first, last = c - 1, c + 3
+        while first >= 2 and words[first - 1] in DOT and c - first < MOST_PARTS:
+            first -= 2
+        while last + 2 < len(words) and words[last + 1] in DOT and last - c < MOST_PARTS:
+            last += 2
+        if all(words[first:last + 1]):
+            yield first, last
+
 
-    The kind of a chunk is ``UNKNOWN``, or ``NEVER`` where its shape shows that it is no identifier.
+def instances(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str, list[str]]]:
+    """(start, end, kind, instance, patterns) of seeds and of identifier-like runs of chunks beside them.
 
-    The patterns of a place are its two words before, and one word on either side.
+    The kind of a run is ``UNKNOWN``, or ``NEVER`` where its shape shows that it is no identifier.
+    The patterns of a place are its two words before; one word on either side; the only word before
+    or none, from the text's start; the word before at the text's end; and a label before ("phone:").
     """
-    if not base and not DIGIT.search(text):
+    spelled = bool(SPELLED.search(text))
+    if not base and not spelled and not LIKE.search(text):
         return []
     seeds, out = sorted((s, e, k) for s, k, e in base), []
     chunks = [m.span() for m in CHUNK.finditer(text)]
@@ -108,8 +166,17 @@ def instances(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, in
         found = []
         if len(before) == 2 and all(before):
             found.append(f"{before[0]} {before[1]} _")
-        if before and before[-1] and after and after[0]:
-            found.append(f"{before[-1]} _ {after[0]}")
+        if before and before[-1]:
+            if after and after[0]:
+                found.append(f"{before[-1]} _ {after[0]}")
+            if len(before) == 1:
+                found.append(f"^ {before[0]} _")
+            if not after:
+                found.append(f"{before[-1]} _ $")
+            if text[chunks[first - 1][1] - 1] in ":=#":
+                found.append(f"{before[-1]}: _")
+        if not before and after and after[0]:
+            found.append(f"^ _ {after[0]}")
         return found
 
     c = 0
@@ -120,19 +187,28 @@ def instances(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, in
         while last + 1 < len(chunks) and chunks[last + 1][0] < e:
             last += 1
         out.append((s, e, k, text[s:e].lower(), around(c, last)))
+    like = [c for c, (a, b) in enumerate(chunks) if LIKE.search(text, a, b)]
+    runs = [(c, c) for c in like]
+    runs += _groups(text, chunks, like)
+    if spelled:
+        runs += _spelled(text, chunks)
     at = 0
-    for c, (a, b) in enumerate(chunks):
-        inner = text[a:b]
-        s = a + len(inner) - len(inner.lstrip(OUTER))
-        e = b - (len(inner) - len(inner.rstrip(OUTER)))
+    for first, last in sorted(runs):
+        left, right = text[slice(*chunks[first])], text[slice(*chunks[last])]
+        marks = OUTER if first == last or left[0] != "(" or ")" not in left else OUTER.replace("(", "")
+        s = chunks[first][0] + len(left) - len(left.lstrip(marks))
+        e = chunks[last][1] - (len(right) - len(right.rstrip(OUTER)))
         own = text[s:e]
-        if not LEAST_CHARS <= e - s <= MOST_CHARS or not DIGIT.search(own) or sum(map(str.isalnum, own)) < LEAST_CHARS:
+        if not LEAST_CHARS <= e - s <= MOST_CHARS or sum(map(str.isalnum, own)) < LEAST_CHARS:
+            continue
+        if first == last and not LIKE.search(own):
             continue
         while at < len(seeds) and seeds[at][1] <= s:
             at += 1
         if any(x[0] < e and s < x[1] for x in seeds[at:at + len(KINDS) + 1]):
             continue
-        out.append((s, e, NEVER if PLAIN.fullmatch(own.lower()) else UNKNOWN, own.lower(), around(c, c)))
+        own = SPACES.sub(" ", own.lower())
+        out.append((s, e, NEVER if PLAIN.fullmatch(own) else UNKNOWN, own, around(first, last)))
     return out
 
 
@@ -143,12 +219,14 @@ PLACE = T.ArrayType(T.StructType([
     T.StructField("instance", T.StringType()), T.StructField("patterns", T.ArrayType(T.StringType()))]))
 
 
+SPANS = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
+
+
 def scan_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``_row``, ``base`` (spans) and ``places`` (seeds and identifier-like chunks in context)."""
     small_batches(docs.sparkSession)
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("_row", T.LongType()),
                            T.StructField("base", SPAN), T.StructField("places", PLACE)])
-    spans = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
     places = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.int32()),
                                  ("instance", pa.string()), ("patterns", pa.list_(pa.string()))]))
 
@@ -160,7 +238,7 @@ def scan_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 base.append([{"start": s, "kind": k, "end": e} for s, k, e in own])
                 found.append([{"start": s, "end": e, "kind": k, "instance": i, "patterns": p}
                               for s, e, k, i, p in instances(text or "", own)])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(base, spans), pa.array(found, places)],
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(base, SPANS), pa.array(found, places)],
                                              names=schema.names)
 
     rows = with_row(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
@@ -201,6 +279,21 @@ def discover(scanned: DataFrame, *, trust: float = TRUST, support: int = SUPPORT
             return found
 
 
+def _clear(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of added spans that overlap, the one with most trusted patterns stays, then the longest, then the first."""
+    for b in batches:
+        out = []
+        for spans, votes in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            starts, kept = [], []
+            for _, _, s, e, x in sorted((-v, x["start"] - x["end"], x["start"], x["end"], k) for k, (x, v) in enumerate(zip(spans, votes))):
+                at = bisect(starts, s)
+                if (not at or kept[at - 1]["end"] <= s) and (at == len(starts) or starts[at] >= e):
+                    starts.insert(at, s)
+                    kept.insert(at, spans[x])
+            out.append(kept)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, SPANS)], names=["_row", "added"])
+
+
 def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **scoring) -> DataFrame:
     """Spans of personal data in every whole text, in code points, end exclusive.
 
@@ -210,7 +303,7 @@ def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     Null and empty texts have no spans; null ids stay null; repeated rows get equal
     results and count once in the graph; an empty table gives an empty result; other
-    columns are not read. Texts without digit and "@" leave no places, so the graph
+    columns are not read. Texts without digit and mark inside a chunk leave no places, so the graph
     is small against the text; it grows with the input and stays distributed.
     """
     scanned = stored(scan_documents(docs, id_col=id_col, text_col=text_col), "pii-places")
@@ -218,7 +311,8 @@ def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     places = scanned.where(F.size("places") > 0).select("_row", F.explode("places").alias("p")).where(F.col("p.kind") == UNKNOWN).select(
         "_row", "p.instance", "p.start", "p.end")
     added = places.join(new, "instance").groupBy("_row").agg(
-        F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("added"))
+        F.collect_list(F.struct("start", "kind", "end")).alias("added"), F.collect_list("votes").alias("votes"))
+    added = added.mapInArrow(_clear, T.StructType([T.StructField("_row", T.LongType()), T.StructField("added", SPAN)]))
     return scanned.join(added, "_row", "left").select(
         "doc_id", "base", F.coalesce("added", F.array().cast(SPAN)).alias("added"), "_row")
 

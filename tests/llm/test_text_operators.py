@@ -299,6 +299,27 @@ def test_unknown_identifiers_do_not_count_against_their_context(spark):
     assert added(spark, texts) == {}
 
 
+def test_identifiers_of_several_words_and_without_digits(spark):
+    seeds = [f"Please write to user{k}@mail.example for help" for k in range(3)]
+    assert added(spark, [*seeds, "Please write to john at example dot com for help", "Please write to john[at]example for help",
+                         "We met at noon dot dot and so on", "Please write to John for help"]) == {
+        3: [("john at example dot com", "email")], 4: [("john[at]example", "email")]}
+    seeds = [f"You may call me on +1 (555) 123-456{k} or later" for k in range(3)]
+    assert added(spark, [*seeds, "You may call me on 555 123 4567 or later", "The number 555 123 4567, they say",
+                         "You may call me on (555) 123 4568 or later", "There were 12 of 30 rows"]) == {
+        3: [("555 123 4567", "phone")], 4: [("555 123 4567", "phone")], 5: [("(555) 123 4568", "phone")]}
+    seeds = [f"we have paid with {x} by the day" for x in ("4111 1111 1111 1111", "5500 0000 0000 0004", "3400 0000 0000 009")]
+    assert added(spark, [*seeds, "we have paid with 4111 1111 1111 1112 by the day"]) == {3: [("4111 1111 1111 1112", "card")]}
+
+
+def test_contexts_at_the_ends_of_a_text(spark):
+    assert added(spark, [f"Phone: +49 30 12345{k}" for k in range(3)] + ["Phone: 030-123456", "Fax 030-123457"]) == {
+        3: [("030-123456", "phone")]}
+    assert added(spark, [f"user{k}@mail.example wrote" for k in range(3)] + ["user7[at]mail wrote this"]) == {3: [("user7[at]mail", "email")]}
+    assert added(spark, [f"{x} Phone: +49 30 12345{k} {x}" for k, x in enumerate("abc")] + ["far off Phone: 030-123456 there"]) == {
+        3: [("030-123456", "phone")]}
+
+
 def test_contexts_are_followed_to_the_end(spark):
     texts = [f"round zero says user{k}@mail.example here" for k in range(3)]
     for n in range(6):  # each round's three instances make the next one's context known
