@@ -1,9 +1,11 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A text's terms are its words and their longer prefixes, hashed into buckets. The
-buckets that tell the classes apart best become the machine's features; it learns a
-weight for each and, by factors, a weight for each pair: an insult together with a group
-that is mentioned can weigh more than either does alone.
+A text's terms are its words and their longer prefixes, hashed into buckets. Every
+bucket that enough labelled texts have is a feature of the machine; it learns a weight
+for each and, by factors, a weight for each pair: an insult together with a group that
+is mentioned can weigh more than either does alone, and terms that say nothing alone
+can tell together. Features with little evidence, which tell nothing alone and stand in
+few texts, count and learn less, so that rows aren't learnt by heart; none is left out.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -26,6 +29,12 @@ BUCKETS = 1 << 20
 PREFIXES = (4, 5, 6)
 WORDS = re.compile(r"[^\W\d_]+")
 CHUNKS_KEPT = 300_000
+#: A bucket is a feature if so many labelled texts have it.
+LEAST_TEXTS = 3
+#: A feature has its full weight from this chi-square statistic on; without any, half of it in so many texts.
+FULL_CHI, HALF_TEXTS = 30.0, 1000
+#: Features of the texts that are worked on at once.
+AT_ONCE = 400_000
 
 
 def terms(word: str) -> list[str]:
@@ -38,16 +47,16 @@ def bucket(term: str) -> int:
 
 
 class Buckets(dict):
-    """chunk between white space -> the features of its words; ``wanted`` None: all buckets."""
+    """chunk between white space -> the features of its words; ``wanted``: of every bucket, or -1; None: all buckets."""
 
-    def __init__(self, wanted: dict[int, int] | None = None):
+    def __init__(self, wanted: np.ndarray | None = None):
         super().__init__()
-        self.wanted = wanted
+        self.wanted = None if wanted is None else memoryview(wanted)
 
     def __missing__(self, chunk: str):
         found = {bucket(t) for w in WORDS.findall(chunk.lower()) for t in terms(w)}
         if self.wanted is not None:
-            found = {self.wanted[b] for b in found if b in self.wanted}
+            found = {k for k in map(self.wanted.__getitem__, found) if k >= 0}
         out = tuple(found)
         if len(chunk) <= 64:
             if len(self) >= CHUNKS_KEPT:
@@ -61,21 +70,44 @@ class Buckets(dict):
 
 @dataclass
 class Machine:
-    """``wanted``: bucket -> feature; ``bias``; ``weight`` (features); ``factor`` (features x rank)."""
+    """``wanted``: feature of every bucket, or -1; ``bias``; ``weight`` (features); ``factor`` (features x rank)."""
 
-    wanted: dict[int, int]
+    wanted: np.ndarray
     bias: float
     weight: np.ndarray
     factor: np.ndarray
 
+    @cached_property
+    def table(self) -> np.ndarray:
+        """Weight, factors and sum of squared factors of every feature side by side."""
+        return np.column_stack([self.weight, self.factor, (self.factor ** 2).sum(axis=1)]).astype(np.float32)
+
     def score(self, rows: list[set[int]]) -> np.ndarray:
         """The probability of each row's set of features."""
-        sizes = np.array([len(r) for r in rows], dtype=np.int64)
-        flat = np.fromiter((f for r in rows for f in sorted(r)), dtype=np.int64, count=int(sizes.sum()))
-        raw, _, _ = _raw(self.bias, self.weight, self.factor, flat, sizes)
+        sizes, raw = np.array([len(r) for r in rows], dtype=np.int64), np.full(len(rows), self.bias)
+        for own in _portions(sizes):
+            has = np.flatnonzero(sizes[own]) + own.start
+            if len(has):
+                n = sizes[has]
+                flat = np.fromiter((f for k in has for f in sorted(rows[k])), dtype=np.int64, count=int(n.sum()))
+                sums = np.add.reduceat(self.table[flat], np.cumsum(n) - n, axis=0).astype(np.float64)
+                x = 1 / np.sqrt(1 + np.log(n))  # the same for all features of a row, so the sums come first
+                raw[has] += sums[:, 0] * x + 0.5 * ((sums[:, 1:-1] ** 2).sum(axis=1) - sums[:, -1]) * x ** 2
         return 1 / (1 + np.exp(-np.clip(raw, -60, 60)))
 
 
+def _portions(sizes: np.ndarray, most: int = 1 << 62) -> Iterator[slice]:
+    """Slices of rows with about ``AT_ONCE`` features and at most ``most`` rows each."""
+    at = total = 0
+    for k, n in enumerate(sizes.tolist()):
+        if k > at and (total + n > AT_ONCE or k - at >= most):
+            yield slice(at, k)
+            at, total = k, 0
+        total += n
+    if at < len(sizes):
+        yield slice(at, len(sizes))
+
+
 def _sum_rows(x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Sums of consecutive runs of rows; empty runs give zero."""
     ends = np.cumsum(sizes)
@@ -83,44 +115,65 @@ def _sum_rows(x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - sizes]
 
 
-def _raw(bias, weight, factor, flat, sizes):
-    """Bias + weights + half of (square of sums - sum of squares) of the factors; x is 1 / sqrt(1 + log n)."""
+def _raw(bias, weight, factor, flat, sizes, counts=None):
+    """Bias + weights + half of (square of sums - sum of squares) of the factors; x is 1 / sqrt(1 + log n), times ``counts``."""
     scale = 1 / np.sqrt(1 + np.log(np.maximum(sizes, 1)))
-    x = np.repeat(scale, sizes)
+    x = np.repeat(scale, sizes) if counts is None else np.repeat(scale, sizes) * counts[flat]
     vx = factor[flat] * x[:, None]
     sums = _sum_rows(vx, sizes)
     pairs = 0.5 * (sums ** 2 - _sum_rows(vx ** 2, sizes)).sum(axis=1)
     return bias + _sum_rows(weight[flat] * x, sizes) + pairs, x, (vx, sums)
 
 
-def fit_machine(wanted: dict[int, int], rows: list[np.ndarray], labels: np.ndarray, *, rank: int = 8,
+def evidence(pos: np.ndarray, neg: np.ndarray, all_pos: int, all_neg: int) -> np.ndarray:
+    """What features count, over 0 to 1, from the texts of either class that have them."""
+    n, total = pos + neg, all_pos + all_neg
+    chi = (pos * float(all_neg) - neg * float(all_pos)) ** 2 / (n * (total + 1.0 - n)) * (total / (float(all_pos) * all_neg))
+    return np.maximum(np.minimum(1, chi / FULL_CHI), n / (n + HALF_TEXTS)).astype(np.float32)
+
+
+def fit_machine(wanted: np.ndarray, counts: np.ndarray, rows: list[np.ndarray], labels: np.ndarray, *, rank: int = 8,
                 epochs: int = 12, batch: int = 256, rate: float = 0.03, decay: float = 1e-3, seed: int = 11) -> Machine:
-    """Adaptive gradient descent on the logistic loss of a bounded sample."""
+    """Adaptive gradient descent on the logistic loss of a bounded sample; a step changes the features of its rows only.
+
+    ``counts``: what each feature counts. The machine's weights and factors hold it already.
+    """
     rng = np.random.default_rng(seed)
-    n = len(wanted)
+    n = int(wanted.max()) + 1
     prior = np.clip(labels.mean() if len(labels) else 0.0, 1e-4, 1 - 1e-4)
-    params = [np.array([np.log(prior / (1 - prior))]), np.zeros(n), rng.normal(0, 0.05, (n, rank))]
-    first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    sizes = np.array([len(r) for r in rows], dtype=np.int64)
+    # the weights and factors of a feature side by side; the bias by itself
+    bias, table = np.log(prior / (1 - prior)), np.zeros((n, 1 + rank), np.float32)
+    table[:, 1:] = rng.normal(0, 0.05, (n, rank))
+    first, second, steps = np.zeros_like(table), np.zeros_like(table), np.zeros(n, np.int32)
+    bias_first = bias_second = 0.0
+    sizes, step = np.array([len(r) for r in rows], dtype=np.int64), 0
     for _ in range(epochs if n and 0 < labels.sum() < len(labels) else 0):
         order = rng.permutation(len(rows))
-        for at in range(0, len(order), batch):
-            own = order[at:at + batch]
+        for part in _portions(sizes[order], batch):
+            own = order[part]
             flat, size = np.concatenate([rows[k] for k in own]), sizes[own]
-            raw, x, (vx, sums) = _raw(params[0][0], params[1], params[2], flat, size)
+            used, flat = np.unique(flat, return_inverse=True)
+            now = table[used]
+            raw, x, (vx, sums) = _raw(bias, now[:, 0], now[:, 1:], flat, size, counts[used])
             g = (1 / (1 + np.exp(-np.clip(raw, -60, 60))) - labels[own]) / len(own)
             gx = np.repeat(g, size) * x
-            grads = [np.array([g.sum()]), decay * params[1] / len(own), decay * params[2] / len(own)]
-            grads[1] += np.bincount(flat, gx, n)
+            grad = decay * now / len(own)
+            grad[:, 0] += np.bincount(flat, gx, len(used))
             gv = gx[:, None] * (np.repeat(sums, size, axis=0) - vx)
             for c in range(rank):
-                grads[2][:, c] += np.bincount(flat, gv[:, c], n)
+                grad[:, 1 + c] += np.bincount(flat, gv[:, c], len(used))
             step += 1
-            for p, m, v, d in zip(params, first, second, grads):
-                m += 0.1 * (d - m)
-                v += 0.01 * (d * d - v)
-                p -= rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)
-    return Machine(wanted, float(params[0][0]), params[1], params[2])
+            bias_first += 0.1 * (g.sum() - bias_first)
+            bias_second += 0.01 * (g.sum() ** 2 - bias_second)
+            bias -= rate * (bias_first / (1 - 0.9 ** step)) / (np.sqrt(bias_second / (1 - 0.99 ** step)) + 1e-8)
+            steps[used] += 1
+            m, v, t = first[used], second[used], steps[used][:, None]
+            m += 0.1 * (grad - m)
+            v += 0.01 * (grad * grad - v)
+            first[used], second[used] = m, v
+            table[used] = now - rate * counts[used][:, None] * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-8)
+    table *= counts[:, None]
+    return Machine(wanted, float(bias), table[:, 0].copy(), table[:, 1:].copy())
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str,
@@ -136,12 +189,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "toxic", learn_from: Column | None = None, sample_rows: int = 20_000,
-          features: int = 1024, **fitting) -> Machine:
+          least_texts: int = LEAST_TEXTS, **fitting) -> Machine:
     """Fit a machine on at most ``sample_rows`` labelled ids (rows whose id repeats all count).
 
-    Spark counts, per bucket, the texts of either class that have it; the
-    ``features`` buckets with the largest chi-square statistic stay. Without labelled
-    rows, or with one class only, the machine answers the share of class 1 for every text.
+    Spark counts, per bucket, the texts of either class that have it; every bucket that
+    ``least_texts`` of them have is a feature, at most ``BUCKETS``. Without labelled rows, or with one class only, the machine answers the share of class 1 for every text.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -164,11 +216,11 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     seen = sample.mapInArrow(count, counted).groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     totals = seen.where(F.col("bucket") == BUCKETS).first()
     pos, neg = (totals["pos"], totals["neg"]) if totals else (0, 0)
-    a, b = F.col("pos") * F.lit(float(max(neg, 1))), F.col("neg") * F.lit(float(max(pos, 1)))
-    chi = F.pow(a - b, F.lit(2.0)) / ((F.col("pos") + F.col("neg")) * (F.lit(float(pos + neg + 1)) - F.col("pos") - F.col("neg")))
-    best = seen.where((F.col("bucket") < BUCKETS) & (F.col("pos") + F.col("neg") >= 3)).orderBy(
-        chi.desc(), "bucket").limit(features).select("bucket").collect() if pos and neg else []
-    wanted = {r["bucket"]: k for k, r in enumerate(best)}
+    wanted, counts = np.full(BUCKETS, -1, np.int32), np.zeros(0, np.float32)
+    if pos and neg:  # at most ``BUCKETS`` rows of numbers
+        best = seen.where((F.col("bucket") < BUCKETS) & (F.col("pos") + F.col("neg") >= least_texts)).toArrow().sort_by("bucket")
+        wanted[best["bucket"].to_numpy()] = np.arange(len(best))
+        counts = evidence(best["pos"].to_numpy(), best["neg"].to_numpy(), pos, neg)
     rows_type = T.StructType([T.StructField("y", T.IntegerType()), T.StructField("f", T.BinaryType())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,13 +229,13 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             f = [np.array(sorted(buckets.of(t)), dtype="<i4").tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f, pa.binary())], names=["y", "f"])
 
-    if not wanted:
+    if wanted.max() < 0:
         share = pos / (pos + neg) if pos + neg else 0.0
-        return fit_machine({}, [], np.full(1, share), **fitting)
-    # bounded: at most ``features`` 4-byte numbers for each sampled text, a few dozen as a rule
+        return fit_machine(wanted, counts, [], np.full(1, share), **fitting)
+    # four bytes for each different term of a sampled text
     rows = sample.mapInArrow(encode, rows_type).collect()
     rows.sort(key=lambda r: (bytes(r["f"]), r["y"]))
-    return fit_machine(wanted, [np.frombuffer(r["f"], "<i4").astype(np.int64) for r in rows],
+    return fit_machine(wanted, counts, [np.frombuffer(r["f"], "<i4").astype(np.int64) for r in rows],
                        np.array([r["y"] for r in rows], dtype=np.float64), **fitting)
 
 

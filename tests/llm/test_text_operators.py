@@ -384,3 +384,20 @@ def test_toxicity_learns_pairs(spark, odd, none):
     assert toxicity.drop_toxic(odd, machine).columns == odd.columns
     assert toxicity.score_toxicity(none, machine).count() == 0
     assert toxicity.score_toxicity(odd, toxicity.train(odd, labels.limit(0))).where("score = 0.0001").count() == len(ODD)
+
+
+def test_toxicity_learns_pairs_without_marginal_effect(spark):
+    rng = np.random.default_rng(1)
+    names = ["".join(rng.choice(list("abcdefghijklmnop"), 7)) for _ in range(2500)]
+    rows = []
+    for k in range(4000):  # exactly one of the two words: toxic
+        a, b = rng.random(2) < 0.5
+        words = [names[x] for x in rng.integers(0, len(names), 8)] + ["rotters"] * bool(a) + ["martians"] * bool(b)
+        rows.append((k, " ".join(rng.permutation(words)), int(a != b)))
+    docs = stored(spark.createDataFrame([(a, b) for a, b, _ in rows], "doc_id long, text string"), "tox-pairs")
+    labels = spark.createDataFrame([(a, c) for a, _, c in rows], "doc_id long, toxic int")
+    machine = toxicity.train(docs, labels, learn_from=queries.remainder("doc_id", 5) != 0)
+    assert len(machine.weight) > 5000
+    got = {r.doc_id: r.predicted for r in toxicity.score_toxicity(docs, machine).collect()}
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == 0]
+    assert sum(got[a] == c for a, _, c in held) / len(held) > 0.97
