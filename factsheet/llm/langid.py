@@ -1,6 +1,7 @@
 """Language identification with spans for mixed text.
 
-A word's script leaves the languages that use it as candidates; character n-grams
+A word is a chunk between white space, cut where its script changes and, in scripts
+without spaces, into short runs. A word's script leaves the languages that use it as candidates; character n-grams
 score the word under each. Viterbi over a text's words, with a penalty for switching
 the language, labels spans; the language with most letters is the text's.
 """
@@ -50,10 +51,49 @@ _START = np.array([s for s, _ in SCRIPT_RANGES])
 _SCRIPT = np.array([SCRIPTS.index(name) for _, name in SCRIPT_RANGES])
 
 
+#: Scripts written without spaces between words, and the letters of one run of them.
+UNSPACED = frozenset(SCRIPTS.index(x) for x in ("Han", "Kana", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan"))
+RUN_LETTERS = 4
+
+
 def scripts_of(points: np.ndarray) -> np.ndarray:
     return _SCRIPT[np.searchsorted(_START, points, side="right") - 1]
 
 
+class Pieces(dict):
+    """chunk between white space -> its words; marks and digits stay with the letter before."""
+
+    def __missing__(self, chunk: str) -> tuple[str, ...]:
+        out = (chunk,)
+        if not chunk.isascii() and max(chunk) >= "\u0370":
+            cuts, last, n = [0], None, 0
+            scripts = scripts_of(np.frombuffer(chunk.encode("utf-32-le"), "<u4").astype(np.int64)).tolist()
+            for k, (letter, script) in enumerate(zip(chunk, scripts)):
+                if letter.isalpha() and SCRIPTS[script] != "Other":
+                    if last is not None and (script != last or (n == RUN_LETTERS and script in UNSPACED)):
+                        cuts.append(k)
+                        n = 0
+                    last, n = script, n + 1
+            out = tuple(chunk[a:b] for a, b in zip(cuts, [*cuts[1:], None]))
+        if len(chunk) <= 64:
+            if len(self) >= CHUNKS_KEPT:
+                self.clear()
+            self[chunk] = out
+        return out
+
+    def of(self, text: str) -> list[str]:
+        return text.split() if text.isascii() else [p for c in text.split() for p in self[c]]
+
+    def places(self, text: str) -> list[tuple[int, int]]:
+        out = []
+        for m in re.finditer(r"\S+", text):
+            at = m.start()
+            for p in self[m[0]]:
+                out.append((at, at + len(p)))
+                at += len(p)
+        return out
+
+
 def ngrams(chunks: list[str]):
     """Of chunks' words, lower-cased and set between spaces: (chunk, bucket) of every n-gram,
     the number of letters of each chunk, and (chunk, script) of every letter."""
@@ -138,7 +178,7 @@ def viterbi(scores: np.ndarray, sizes: np.ndarray, switch: float) -> np.ndarray:
     starts, ordered = (np.cumsum(sizes) - sizes)[order], sizes[order]
     longest = int(ordered[0]) if len(ordered) else 0
     active = np.searchsorted(-ordered, -np.arange(longest), side="left")  # runs longer than t
-    from_ = np.full(scores.shape, 255, np.uint8)
+    from_ = np.full(scores.shape, -1, np.int16)
     v = np.zeros((len(sizes), scores.shape[1]))
     for t in range(longest):
         a = active[t]
@@ -147,9 +187,9 @@ def viterbi(scores: np.ndarray, sizes: np.ndarray, switch: float) -> np.ndarray:
         jump = now[np.arange(a), best][:, None] - switch
         moved = now < jump
         if t and moved.any():
-            from_[at] = np.where(moved, best[:, None], 255)
+            from_[at] = np.where(moved, best[:, None], -1)
         v[:a] = np.maximum(now, jump) + scores[at] if t else scores[at]
-    path = np.zeros(len(scores), np.uint8)
+    path = np.zeros(len(scores), np.int16)
     state = np.zeros(len(sizes), np.int64)
     for t in range(longest - 1, -1, -1):
         a = active[t]
@@ -158,7 +198,7 @@ def viterbi(scores: np.ndarray, sizes: np.ndarray, switch: float) -> np.ndarray:
         at = starts[:a] + t
         path[at] = state[:a]
         back = from_[at, state[:a]]
-        state[:a] = np.where(back == 255, state[:a], back)
+        state[:a] = np.where(back < 0, state[:a], back)
     return path
 
 
@@ -213,12 +253,12 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     return Model(langs, logp, letters >= SCRIPT_SHARE * np.maximum(letters.sum(axis=0), 1))
 
 
-def _spans(text: str, path: np.ndarray, lang: list[str]) -> list[dict]:
+def _spans(text: str, path: np.ndarray, lang: list[str], pieces: Pieces) -> list[dict]:
     """Runs of equal language as character spans, from the first to the last mark of the run."""
     cuts = np.flatnonzero(np.diff(path)) + 1
     if not len(cuts):
         return [{"start": len(text) - len(text.lstrip()), "end": len(text.rstrip()), "lang": lang[path[0]]}]
-    places = [m.span() for m in re.finditer(r"\S+", text)]
+    places = pieces.places(text)
     first, last = [0, *cuts.tolist()], [*cuts.tolist(), len(path)]
     return [{"start": places[a][0], "end": places[b - 1][1], "lang": lang[path[a]]} for a, b in zip(first, last)]
 
@@ -247,7 +287,7 @@ def label_languages(docs: DataFrame, model: Model, *, id_col: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        langs, chunks = model.langs, Chunks(model)
+        langs, chunks, pieces = model.langs, Chunks(model), Pieces()
         held: list[tuple[pa.RecordBatch, list[str], list[np.ndarray]]] = []
 
         def flush():
@@ -256,7 +296,7 @@ def label_languages(docs: DataFrame, model: Model, *, id_col: str = "doc_id", te
             sizes = np.array([len(x) for x in words], dtype=np.int64)
             rows = np.concatenate(words) if words else np.empty(0, np.int64)
             letters = chunks.letters[rows]
-            path = viterbi(chunks.scores[rows], sizes, switch) if langs else np.zeros(len(rows), np.uint8)
+            path = viterbi(chunks.scores[rows], sizes, switch) if langs else np.zeros(len(rows), np.int16)
             doc = np.repeat(np.arange(len(sizes)), sizes)
             k = max(len(langs), 1)
             share = np.bincount(doc * k + path, letters, len(sizes) * k).reshape(-1, k)
@@ -265,7 +305,7 @@ def label_languages(docs: DataFrame, model: Model, *, id_col: str = "doc_id", te
             ends, d = np.cumsum(sizes), 0
             for b, texts, found in held:
                 n = len(found)
-                spans = [_spans(t, path[ends[d + i] - sizes[d + i]:ends[d + i]], langs) if known[d + i] else []
+                spans = [_spans(t, path[ends[d + i] - sizes[d + i]:ends[d + i]], langs, pieces) if known[d + i] else []
                          for i, t in enumerate(texts)]
                 pred = [langs[best[x]] if known[x] else "und" for x in range(d, d + n)]
                 score = [float(share[x, best[x]] / total[x]) if known[x] else 0.0 for x in range(d, d + n)]
@@ -278,7 +318,7 @@ def label_languages(docs: DataFrame, model: Model, *, id_col: str = "doc_id", te
         n = 0
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
-            found = [np.fromiter(map(chunks.__getitem__, s), dtype=np.int64, count=len(s)) for s in (t.split() for t in texts)]
+            found = [np.fromiter(map(chunks.__getitem__, s), dtype=np.int64, count=len(s)) for s in map(pieces.of, texts)]
             held.append((b, texts, found))
             n += sum(map(len, found))
             if n >= WORDS_AT_ONCE:

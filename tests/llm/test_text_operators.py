@@ -401,3 +401,22 @@ def test_toxicity_learns_pairs_without_marginal_effect(spark):
     got = {r.doc_id: r.predicted for r in toxicity.score_toxicity(docs, machine).collect()}
     held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == 0]
     assert sum(got[a] == c for a, _, c in held) / len(held) > 0.97
+
+
+def test_viterbi_of_many_languages():
+    scores = np.full((6, 400), -50.0)
+    want = [399, 399, 255, 255, 300, 300]
+    scores[np.arange(6), want] = 0.0
+    assert langid.viterbi(scores, np.array([6]), 12.0).tolist() == want
+
+
+def test_spans_without_spaces(spark):
+    ru, en, zh, th = "привет как твои дела сегодня", "hello how are you today", "今天天气很好我们去公园散步", "วันนี้อากาศดีมากเราไปเดินเล่น"
+    docs = stored(spark.createDataFrame([(k, t, x) for k, (t, x) in enumerate(zip((ru, en, zh, th), ("ru", "en", "zh", "th")))],
+                                        "doc_id long, text string, lang string"), "scripts")
+    model = langid.train(docs)
+    mixed = zh + th + "hellohowareyoutoday" + "приветкактвоидела"
+    r = langid.label_languages(stored(spark.createDataFrame([(1, f"{en} {mixed}")], "doc_id long, text string"), "unspaced"), model).first()
+    assert [s.lang for s in r.spans] == ["en", "zh", "th", "en", "ru"]
+    assert "".join(f"{en} {mixed}"[s.start:s.end] for s in r.spans[1:]) == mixed and r.score < 0.6
+    assert [len(x) for x in langid.Pieces().of(zh)] == [4, 4, 4, 1]
