@@ -83,3 +83,25 @@ def partition_offsets(totals: DataFrame, part: str, size: str, out: str = "_offs
     """
     w = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     return totals.select(part, F.coalesce(F.sum(size).over(w), F.lit(0)).cast("long").alias(out))
+
+
+#: Keys with over one part in so many of all rows count as hot; there are fewer of them than this.
+HOT_KEYS = 1000
+
+
+def join_by_key(rows: DataFrame, facts: DataFrame, key: str, weight: str) -> DataFrame:
+    """``rows`` with the columns of ``facts``, which has one row per value of ``key`` (null equals null).
+
+    ``weight`` says how many rows a key has. The hot keys, fewer than ``HOT_KEYS`` by their
+    definition, are broadcast, so their rows stay where they are; all others are joined
+    by key, each at most a thousandth of the rows. Both are read twice: pass stored tables.
+    """
+    total = facts.agg(F.sum(weight)).first()[0] or 0
+    mine, found = free_name(rows, "_key"), free_name(rows, "_hot")
+    facts = facts.withColumnRenamed(key, mine)
+    match = F.col(key).eqNullSafe(F.col(mine))
+    hot = facts.where(F.col(weight) * HOT_KEYS > total)
+    rest = facts.where(F.col(weight) * HOT_KEYS <= total)
+    near = rows.join(F.broadcast(hot), match).drop(mine, weight)
+    marked = rows.join(F.broadcast(hot.select(mine, F.lit(True).alias(found))), match, "left").where(F.col(found).isNull()).drop(mine, found)
+    return near.unionByName(marked.join(rest, match).drop(mine, weight))

@@ -19,9 +19,12 @@ from .mixing import mix_sources
 from .packing import pack_documents
 from .pii import KINDS, find_personal_data, spans_text
 from .simhash import simhash_groups
+from .quality import judge_documents
 from .tokens import count_tokens
 from .toxicity import score_toxicity
 from .toxicity import train as learn_toxicity
+from .trie import conversation_trie
+from .vectorcodes import vector_codes
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -96,10 +99,81 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(common.table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes and errors of all usable embeddings after six rounds of codebook learning."""
+    return vector_codes(common.table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of all rebuilt conversations."""
+    return conversation_trie(common.table(spark, sf_dir, "conversations"))
+
+
+def _vector_codes_sql(rounds: int = 6) -> str:
+    """Six rounds over components as rows: distances, nearest entries, floored means."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+d{r} AS MATERIALIZED (SELECT vec_id, part, entry, sum((p.val - c.val) * (p.val - c.val))::BIGINT AS d2
+  FROM p JOIN c{r} c USING (part, pos) GROUP BY ALL),
+a{r} AS MATERIALIZED (SELECT vec_id, part, (min(d2 * 16 + entry) % 16)::BIGINT AS entry, min(d2)::BIGINT AS d2 FROM d{r} GROUP BY ALL)""")
+        if r < rounds:
+            steps.append(f"""
+c{r + 1} AS MATERIALIZED (SELECT part, pos, entry, coalesce(m.val, c.val) AS val FROM c{r} c LEFT JOIN (
+  SELECT part, pos, entry, floor(sum(val)::DOUBLE / count(*))::BIGINT AS val FROM p JOIN a{r} USING (vec_id, part) GROUP BY ALL
+  ) m USING (part, pos, entry))""")
+    return f"""
+WITH v AS (SELECT vec_id, label, embedding FROM embeddings WHERE embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+u AS (SELECT vec_id, len(embedding) // 8 AS d, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS k FROM v),
+p AS MATERIALIZED (SELECT vec_id, k // d AS part, k % d AS pos, floor(4096 * x::DOUBLE)::BIGINT AS val FROM u),
+f AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM v),
+c0 AS MATERIALIZED (SELECT part, pos, entry, val FROM p JOIN f USING (vec_id) WHERE entry < 16),{','.join(steps)},
+e AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d2)::BIGINT AS error
+  FROM a{rounds} GROUP BY vec_id),
+h AS (SELECT sha256(string_agg(val::VARCHAR, ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM c{rounds})
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
+FROM e JOIN v USING (vec_id), h
+"""
+
+
+#: crc32 of a decimal number's text: eight shifts a byte.
+_CRC32_SQL = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv::VARCHAR, ''),
+  lambda x: [ascii(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))), lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1))))"""
+
+_TRIE_SQL = f"""
+WITH t AS (SELECT conv_id AS conv, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id
+    ORDER BY turn NULLS FIRST, sha256(sha256(coalesce(role, '')) || sha256(coalesce(text, '')))) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+s AS (SELECT conv, list({{'role': role, 'text': text}} ORDER BY pos) AS own FROM t GROUP BY conv),
+b AS (SELECT s.conv, s.own, coalesce(o.own, []) AS base, {_CRC32_SQL.replace('conv::', 's.conv::')} % 4 AS h
+  FROM s LEFT JOIN s o ON o.conv = s.conv - s.conv % 20),
+q AS (SELECT conv, list_concat(base[1:h], own[h + 1:]) AS seq FROM b),
+m AS (SELECT conv, seq, unnest(range(len(seq) + 1)) AS depth FROM q),
+k AS MATERIALIZED (SELECT conv, depth, seq[1:depth] AS prefix, depth = len(seq) AS ends,
+    CASE WHEN depth > 0 THEN len(regexp_extract_all(seq[depth].text, '[^\x20\x09-\x0D]+')) ELSE 0 END AS words FROM m),
+n AS MATERIALIZED (SELECT prefix, depth, min(conv) AS conv, count(*) AS n_convs, any_value(words) AS words,
+    coalesce(string_agg(conv::VARCHAR, ',' ORDER BY conv) FILTER (WHERE ends), '') AS ends FROM k GROUP BY prefix, depth),
+c AS (SELECT n.*, up.conv AS parent, (SELECT count(*) FROM n d WHERE d.depth = n.depth + 1 AND d.prefix[1:n.depth] = n.prefix) AS n_children
+  FROM n LEFT JOIN n up ON up.depth = n.depth - 1 AND up.prefix = n.prefix[1:n.depth - 1]),
+g AS (SELECT prefix[1:a] AS prefix, a AS depth, (n_children = 0)::BIGINT AS leaf, (n_convs - 1) * words AS saved
+  FROM (SELECT *, unnest(range(depth + 1)) AS a FROM c)),
+w AS (SELECT prefix, depth, sum(leaf)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM g GROUP BY prefix, depth)
+SELECT c.conv AS conv_id, c.depth, parent AS parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, sha256(ends) AS ends_sha256
+FROM c JOIN w ON c.depth = w.depth AND c.prefix = w.prefix
+"""
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and perplexity bands of all documents."""
+    return judge_documents(common.table(spark, sf_dir, "documents")).drop("lang")
+
+
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_source_mix, op3_toxicity, op4_packing, op5_exact_dedup, op6_embedding_dedup, op7_token_counts,
-                                   op8_personal_data, op9_simhash_dedup, op10_main_text)}
+                                   op8_personal_data, op9_simhash_dedup, op10_main_text, op11_vector_codes, op12_conversation_trie, op13_quality_rules)}
 
 ORACLE = {
+    "op11_vector_codes": _vector_codes_sql(),
+    "op12_conversation_trie": _TRIE_SQL,
     "op5_exact_dedup": r"""
 WITH n AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents
