@@ -35,16 +35,16 @@ def encode_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = coder(tokenizer, whole.value, False)
-        end, width = np.array([end_id], dtype=encode.dtype).tobytes(), encode.dtype.itemsize
         part, place = TaskContext.get().partitionId(), 0
         for b in batches:
-            ids = [(encode(t) if t else b"") + end for t in b.column(1).to_pylist()]
-            n = np.array([len(x) // width for x in ids], dtype=np.int64)
+            ids, n = encode.ids(b.column(1), end_id)
+            ends = np.concatenate([[0], np.cumsum(n)]) * ids.dtype.itemsize
+            packed = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(ids)])
             before = place + np.cumsum(n) - n
             place += int(n.sum())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(before), pa.array(n),
-                 pa.array(ids, pa.binary())], names=names)
+                 packed], names=names)
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
 

@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,8 +35,10 @@ SAFE = re.compile("[\x21-\x7eÀ-ÖØ-öø-ÿ–—‘’“”…«»¿¡]*")
 #: Separators that Python splits at but the vocabulary's pattern doesn't.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 
-CHUNKS_KEPT = 400_000
+CHUNKS_KEPT = 600_000
 PIECES_KEPT = 1_000_000
+#: Pre-tokens of one call of the library.
+AT_ONCE = 20_000
 
 
 @lru_cache(maxsize=2)
@@ -134,12 +137,81 @@ class TextCoder:
         else:
             self.ask, self.join = (lambda s: np.array(ids(s), dtype=self.dtype).tobytes()), b"".join
             known = {w: np.array([i], dtype=self.dtype).tobytes() for w, i in whole.items()}
+        vocab = tok.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a pre-token
+        self.last[[i for name, i in vocab.items() if name.endswith("</w>")]] = True
+        self.tok, self.count = tok, count
         self.chunks = Chunks(Pieces(known, self.ask), self.join, self.ask)
 
-    def __call__(self, text: str):
-        if not self.simple or ODD_SPACE.search(text):
-            return self.ask(text)
-        return self.join(map(self.chunks.__getitem__, text.split()))
+    def meet(self, found: list[str]) -> None:
+        """Learn all new pre-tokens of some chunks in few calls of the library, which cost less than one call each."""
+        chunks, known = self.chunks, self.chunks.pieces
+        found = [c for c in found if len(c) <= 64 and c not in chunks]
+        if len(chunks) + len(found) > CHUNKS_KEPT:
+            chunks.clear()
+        words = {c: c.lower() for c in found if c.isascii() and c.isalpha()}  # one pre-token each
+        others = {c: PIECES.findall(c.lower()) for c in found if c not in words and SAFE.fullmatch(c) and "<|" not in c}
+        new = set(words.values()).union(*others.values())
+        new.difference_update(known)
+        if len(known) + len(new) > PIECES_KEPT + len(known.known):
+            known.clear()
+            known.update(known.known)
+        names = list(new)
+        for k in range(0, len(names), AT_ONCE):
+            known.update(self._ask_all(names[k:k + AT_ONCE]))
+        get = known.__getitem__
+        chunks.update(zip(words, map(get, words.values())))
+        chunks.update((chunk, self.join(map(get, pieces))) for chunk, pieces in others.items())
+
+    def _ask_all(self, pieces: list[str]) -> dict:
+        """What each of some pre-tokens costs, from one text of them all: an id with the word-end mark ends each."""
+        ids = np.array(self.tok.encode(" ".join(pieces), add_special_tokens=False).ids, dtype=np.int64)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(pieces) or (len(ids) and ends[-1] != len(ids)):
+            return {p: self.ask(p) for p in pieces}
+        starts = np.concatenate([[0], ends[:-1]])
+        if self.count:
+            return dict(zip(pieces, (ends - starts).tolist()))
+        raw, width = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
+        return {p: raw[s * width:e * width] for p, s, e in zip(pieces, starts.tolist(), ends.tolist())}
+
+    def _costs(self, texts: pa.Array) -> tuple[list, np.ndarray, np.ndarray]:
+        """What each different chunk of the texts costs, the chunks in order, and how many each text has.
+
+        A text that can't be cut at white space is one chunk.
+        """
+        texts = pc.fill_null(texts, "")
+        if self.simple and not pc.any(pc.match_substring_regex(texts, ODD_SPACE.pattern)).as_py():
+            cut = pc.utf8_split_whitespace(texts)
+        else:
+            cut = pa.array([t.split() if self.simple and not ODD_SPACE.search(t) else [t] for t in texts.to_pylist()],
+                           pa.list_(pa.string()))
+        coded = cut.flatten().dictionary_encode()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # far faster than to_pylist
+        if self.simple:
+            self.meet(names)
+            costs = list(map(self.chunks.__getitem__, names))
+        else:
+            costs = list(map(self.ask, names))
+        return costs, coded.indices.to_numpy(), pc.list_value_length(cut).to_numpy().astype(np.int64)
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """Tokens of each text."""
+        costs, order, n = self._costs(texts)
+        total = np.concatenate([[0], np.cumsum(np.array(costs, dtype=np.int64)[order])])
+        ends = np.cumsum(n)
+        return total[ends] - total[ends - n]
+
+    def ids(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, ``end_id`` behind each text's, and how many each text has with it."""
+        costs, order, n = self._costs(texts)
+        flat = np.frombuffer(b"".join(costs), self.dtype)
+        size = np.array(list(map(len, costs)), dtype=np.int64) // self.dtype.itemsize
+        start, each = (np.cumsum(size) - size)[order], size[order]
+        upto = np.concatenate([[0], np.cumsum(each)])
+        out = flat[np.repeat(start - upto[:-1], each) + np.arange(upto[-1])]
+        ends = upto[np.cumsum(n)]
+        return np.insert(out, ends, end_id), np.diff(ends, prepend=0) + 1
 
 
 _coders: dict = {}
@@ -175,10 +247,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = coder(tokenizer, whole.value, True)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            n = [count(t) if t else 0 for t in texts]
-            sizes = [len(t.encode("utf-8")) if t else 0 for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(n, pa.int64())],
+            sizes = pc.fill_null(pc.binary_length(b.column(1)), 0).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), sizes, pa.array(count.counts(b.column(1)))],
                                              names=[id_col, *fields])
 
     out = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import small_batches, stored
 
 BUCKETS = 1 << 20
 PREFIXES = (4, 5, 6)
@@ -178,42 +178,65 @@ def fit_machine(wanted: np.ndarray, counts: np.ndarray, rows: list[np.ndarray],
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str,
                     learn_from: Column, rows: int) -> DataFrame:
-    """``y`` and ``text`` of at most ``rows`` labelled ids, chosen by a hash of the id."""
+    """``id``, ``y`` and the buckets of a text ``f`` (packed, ascending) of at most ``rows`` labelled ids, by a hash of the id.
+
+    Of the rows of one id only one counts, the one with the least packed buckets.
+    """
     marked = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("y")).where(
         F.col("doc_id").isNotNull() & F.col("y").isNotNull() & learn_from).groupBy("doc_id").agg(F.max("y").alias("y"))
-    chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select(
+        F.col("doc_id").alias("id"), F.when(F.col("y") > 0, 1).otherwise(0).alias("y"))
     # at most ``rows`` ids and labels are broadcast
-    return texts.join(F.broadcast(chosen), "doc_id").select(F.when(F.col("y") > 0, 1).otherwise(0).alias("y"), "text")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("id", "y", "text")
+    schema = T.StructType([texts.schema["id"], T.StructField("y", T.IntegerType()), T.StructField("f", T.BinaryType())])
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets = Buckets()
+        for b in batches:
+            f = [np.array(sorted(buckets.of(t)), dtype="<i4").tobytes() for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(f, pa.binary())], names=schema.names)
+
+    return texts.mapInArrow(encode, schema).groupBy("id", "y").agg(F.min("f").alias("f"))
+
+
+def _lists(packed: pa.ChunkedArray) -> list[np.ndarray]:
+    """The packed numbers of each row, as views of Arrow's own memory."""
+    out = []
+    for c in packed.chunks:
+        offsets = np.frombuffer(c.buffers()[1], np.int32)[c.offset:c.offset + len(c) + 1] // 4
+        numbers = np.frombuffer(c.buffers()[2] or b"", "<i4")
+        out += [numbers[s:e] for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "toxic", learn_from: Column | None = None, sample_rows: int = 20_000,
           least_texts: int = LEAST_TEXTS, **fitting) -> Machine:
-    """Fit a machine on at most ``sample_rows`` labelled ids (rows whose id repeats all count).
+    """Fit a machine on at most ``sample_rows`` labelled ids, one row of each.
 
-    Spark counts, per bucket, the texts of either class that have it; every bucket that
-    ``least_texts`` of them have is a feature, at most ``BUCKETS``. Without labelled rows, or with one class only, the machine answers the share of class 1 for every text.
+    The sampled texts are read and encoded once and stored. Spark counts, per bucket, the texts of either
+    class that have it; every bucket that ``least_texts`` of them have is a feature, at most ``BUCKETS``.
+    The driver gets the sample's features as one Arrow table, four bytes for each different term of a sampled text.
+    Without labelled rows, or with one class only, the machine answers the share of class 1 for every text.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    sample = labelled_sample(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col,
-                             learn_from=F.lit(True) if learn_from is None else learn_from, rows=sample_rows)
+    small_batches(docs.sparkSession)
+    sample = stored(labelled_sample(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col,
+                                    learn_from=F.lit(True) if learn_from is None else learn_from, rows=sample_rows), "toxicity-sample")
     counted = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("pos", T.LongType()),
                             T.StructField("neg", T.LongType())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets, n = Buckets(), np.zeros((2, BUCKETS + 1), np.int64)
+        n = np.zeros((2, BUCKETS + 1), np.int64)
         for b in batches:
-            for y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                own = np.fromiter(buckets.of(text), dtype=np.int64)
-                n[y, own] += 1
+            for y, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                n[y, np.frombuffer(f, "<i4")] += 1
                 n[y, BUCKETS] += 1  # texts of the class
         has = np.flatnonzero(n.sum(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(has.astype(np.int32)), pa.array(n[1, has]), pa.array(n[0, has])],
                                          names=counted.names)
 
-    seen = sample.mapInArrow(count, counted).groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    seen = sample.select("y", "f").mapInArrow(count, counted).groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    seen = stored(seen, "toxicity-buckets")
     totals = seen.where(F.col("bucket") == BUCKETS).first()
     pos, neg = (totals["pos"], totals["neg"]) if totals else (0, 0)
     wanted, counts = np.full(BUCKETS, -1, np.int32), np.zeros(0, np.float32)
@@ -221,22 +244,20 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         best = seen.where((F.col("bucket") < BUCKETS) & (F.col("pos") + F.col("neg") >= least_texts)).toArrow().sort_by("bucket")
         wanted[best["bucket"].to_numpy()] = np.arange(len(best))
         counts = evidence(best["pos"].to_numpy(), best["neg"].to_numpy(), pos, neg)
+    if wanted.max() < 0:
+        share = pos / (pos + neg) if pos + neg else 0.0
+        return fit_machine(wanted, counts, [], np.full(1, share), **fitting)
     rows_type = T.StructType([T.StructField("y", T.IntegerType()), T.StructField("f", T.BinaryType())])
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets = Buckets(wanted)
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f = [np.array(sorted(buckets.of(t)), dtype="<i4").tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f, pa.binary())], names=["y", "f"])
+            f = [wanted[np.frombuffer(x, "<i4")] for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[x >= 0].astype("<i4").tobytes() for x in f], pa.binary())],
+                                             names=rows_type.names)
 
-    if wanted.max() < 0:
-        share = pos / (pos + neg) if pos + neg else 0.0
-        return fit_machine(wanted, counts, [], np.full(1, share), **fitting)
-    # four bytes for each different term of a sampled text
-    rows = sample.mapInArrow(encode, rows_type).collect()
-    rows.sort(key=lambda r: (bytes(r["f"]), r["y"]))
-    return fit_machine(wanted, counts, [np.frombuffer(r["f"], "<i4").astype(np.int64) for r in rows],
-                       np.array([r["y"] for r in rows], dtype=np.float64), **fitting)
+    # the machine must not depend on the order in which tasks end
+    rows = sample.orderBy(F.xxhash64("id"), "id").select("y", "f").mapInArrow(features, rows_type).toArrow()
+    return fit_machine(wanted, counts, _lists(rows["f"]), rows["y"].to_numpy().astype(np.float64), **fitting)
 
 
 def score_column(machine: Machine, spark, text: Column) -> Column:
