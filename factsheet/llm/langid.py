@@ -208,14 +208,14 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
 
     Spark counts n-gram buckets and letters per script over the whole texts of the sample; the
     model is one number per bucket and language. Rows without id, text or language
-    are not learnt from. Only about half as many ids again as wanted are ranked, so a
+    are not learnt from; rows of one id and language count once, with the least of their texts. Only about half as many ids again as wanted are ranked, so a
     language with most of the rows costs no more than another.
     """
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     usable = F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.lit(True) if learn_from is None else learn_from)
-    labelled = rows.where(usable).select("doc_id", "lang")
+    labelled = rows.where(usable & F.col("text").isNotNull()).select("doc_id", "lang").distinct()
     sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()
     if len(sizes) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
@@ -226,9 +226,9 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id"))
     chosen = labelled.withColumn("order", order).where(order < share * F.lit(float(1 << 31))).withColumn("rank", rank).where(
         F.col("rank") <= sample_docs)
-    # ids of the sample only: sample_docs for each language
-    sample = rows.where(usable & F.col("text").isNotNull()).join(
-        F.broadcast(chosen.select("doc_id", "lang").distinct()), ["doc_id", "lang"]).select("lang", "text")
+    # ids of the sample only: sample_docs for each language, one text of each
+    sample = rows.where(usable & F.col("text").isNotNull()).join(F.broadcast(chosen.select("doc_id", "lang")), ["doc_id", "lang"]).groupBy(
+        "lang", "doc_id").agg(F.min("text").alias("text")).select("lang", "text")
     out = T.StructType([T.StructField("lang", T.StringType()), T.StructField("what", T.IntegerType()),
                         T.StructField("n", T.LongType())])
 
