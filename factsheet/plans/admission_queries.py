@@ -54,7 +54,33 @@ def malformed_rows(spark, sf):
     key, more = c("o_orderkey").cast("string"), F.when(c("o_orderpriority") == "1-URGENT", F.lit("more"))
     I.table(spark, sf, "orders").select(F.concat_ws(",", key, "o_orderstatus", "o_orderpriority", more)).write.text(path)
     df = C.scan(spark, path, ["o_orderkey", "o_orderstatus", "o_orderpriority"], header=False)
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.count(C.OVERFLOW).alias("malformed"))
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.count(df.columns[-1]).alias("malformed"))
+
+
+#: Comments as people's tools write them into a CSV field, by the order's key modulo 6.
+_SHAPES = ("'plain ' || o_orderpriority",
+           "'5\" pipe ' || o_orderpriority",  # a quote inside an unquoted field
+           "'\"two\nlines, ' || o_orderpriority || '\"'",
+           "'\"said \"\"' || o_orderpriority || '\"\", then\n\n\"\"left\"\"\"'",  # doubled quotes, an empty line inside
+           "''", "'n/a'")
+_SHAPE_VALUES = ("'plain ' || o_orderpriority", "'5\" pipe ' || o_orderpriority", "'two' || chr(10) || 'lines, ' || o_orderpriority",
+                 "'said \"' || o_orderpriority || '\", then' || chr(10) || chr(10) || '\"left\"'", "NULL", "NULL")
+
+
+@q("csv_records")
+def csv_records(spark, sf):
+    """A1/A5 orders written as raw CSV text with quotes inside fields, fields over several lines and blank lines, read back in parallel."""
+    path = scratch_path(spark, "shapes-csv")
+    shape = "CASE o_orderkey % 6 " + " ".join(f"WHEN {k} THEN {v}" for k, v in enumerate(_SHAPES)) + " END"
+    line = F.concat_ws(",", F.col("o_orderkey").cast("string"), F.expr(shape), F.col("o_orderstatus"))
+    # every seventh record has a blank line behind it
+    I.table(spark, sf, "orders").select(F.concat(line, F.when(F.col("o_orderkey") % 7 == 0, "\n  ").otherwise(""))).write.text(path)
+    df = C.scan(spark, path, ["o_orderkey", "note", "o_orderstatus"], multiline=True, header=False)
+    return df.select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), "note", "o_orderstatus")
+
+
+ORACLE["csv_records"] = ("SELECT o_orderkey, CASE o_orderkey % 6 " + " ".join(f"WHEN {k} THEN {v}" for k, v in enumerate(_SHAPE_VALUES))
+                         + " END AS note, o_orderstatus FROM orders")
 
 
 @q("duplicate_headers")
@@ -81,6 +107,51 @@ def native_types(spark, sf):
     return out
 
 
+#: Text columns made from an order's key ``k``: long integers, gaps, signs and mixtures.
+_WIDE = {
+    "whole": "k::VARCHAR", "signed": "'-' || k::VARCHAR", "spaced": "'  +' || k::VARCHAR || ' '",
+    "gaps": "CASE WHEN k % 5 > 0 THEN k::VARCHAR END", "empty": "NULL::VARCHAR",
+    "twenty": "CASE WHEN k % 3 = 0 THEN '18446744073709551615' ELSE k::VARCHAR END",
+    "twenty_signed": "CASE WHEN k % 3 = 0 THEN '18446744073709551615' WHEN k % 3 = 1 THEN '-1' ELSE k::VARCHAR END",
+    "twenty_gaps": "CASE WHEN k % 3 = 0 THEN '9223372036854775808' WHEN k % 3 = 1 THEN NULL ELSE k::VARCHAR END",
+    "over_twenty": "CASE WHEN k % 3 = 0 THEN '18446744073709551616' ELSE k::VARCHAR END",
+    "twenty_three": "'99999999999999999' || (100000 + k % 800000)::VARCHAR", "least": "CASE WHEN k % 2 = 0 THEN '-9223372036854775808' ELSE k::VARCHAR END",
+    "below_least": "CASE WHEN k % 2 = 0 THEN '-9223372036854775809' ELSE k::VARCHAR END",
+    "huge_real": "CASE WHEN k % 2 = 0 THEN '99999999999999999999999' ELSE k::VARCHAR || '.5' END",
+    "truth": "CASE WHEN k % 2 = 0 THEN 'True' ELSE 'false' END", "truth_gaps": "CASE WHEN k % 2 = 0 THEN 'TRUE' END",
+    "truth_number": "CASE WHEN k % 2 = 0 THEN 'True' ELSE '1' END", "word": "CASE WHEN k % 7 = 0 THEN 'x' ELSE k::VARCHAR END",
+}
+
+
+@q("native_types_wide")
+def native_types_wide(spark, sf):
+    """A2 types of long integer, signed, missing and mixed text columns made from every order's key."""
+    text = I.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k")).select(
+        *[F.expr(v.replace("VARCHAR", "STRING")).alias(n) for n, v in _WIDE.items()])
+    return C.native_types(text)
+
+
+def _wide_sql() -> str:
+    """The reader's rule in words: whole numbers that all fit, then what gaps and signs make of them, then the rest."""
+    v, out = "trim(v)", []
+    made = ", ".join(f"{e} AS {n}" for n, e in _WIDE.items())
+    for n in _WIDE:
+        out.append(f"SELECT '{n}' AS column_name, {n} AS v FROM made")
+    return f"""WITH made AS (SELECT {made} FROM (SELECT o_orderkey AS k FROM orders)), cells AS ({' UNION ALL '.join(out)}),
+facts AS (SELECT column_name, count(*) AS n, count(v) AS filled, count(*) FILTER (WHERE regexp_matches({v}, '^[+-]?[0-9]+$')) AS wholes,
+  count(*) FILTER (WHERE regexp_matches({v}, {lit(NUMBER_RE)})) AS numbers,
+  count(*) FILTER (WHERE v IN ('True','TRUE','true','False','FALSE','false')) AS truths,
+  max(CASE WHEN regexp_matches({v}, '^[+-]?[0-9]+$') THEN TRY_CAST({v} AS HUGEINT) END) AS most,
+  min(CASE WHEN regexp_matches({v}, '^[+-]?[0-9]+$') THEN TRY_CAST({v} AS HUGEINT) END) AS least FROM cells GROUP BY column_name)
+SELECT column_name, CASE WHEN filled = 0 THEN 'float64' WHEN truths = n THEN 'bool' WHEN numbers < filled THEN 'object'
+  WHEN wholes < filled THEN 'float64' WHEN least < -9223372036854775808 OR most > 18446744073709551615 THEN 'object'
+  WHEN most <= 9223372036854775807 THEN CASE WHEN filled < n THEN 'float64' ELSE 'int64' END
+  WHEN least < 0 OR filled < n THEN 'object' ELSE 'uint64' END AS native_type FROM facts"""
+
+
+ORACLE["native_types_wide"] = _wide_sql()
+
+
 def _native_sql(t: str) -> str:
     parts = []
     for c, _s in SCHEMAS[t]:
