@@ -61,6 +61,29 @@ def orphan_files(files: DataFrame, catalogue: DataFrame, key: str, mtime: str |
     return out
 
 
+def stored_files(spark, path: str, names: str = "*") -> DataFrame:
+    """``stored_path``, ``modified_at`` and ``bytes`` of all files below ``path`` whose names match a glob.
+
+    Spark lists many folders in tasks; contents are not read. Paths are full URIs, as a catalogue
+    should hold them. A folder that doesn't exist has no files.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        return spark.createDataFrame([], "stored_path string, modified_at timestamp, bytes bigint")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", names).load(path)
+    return files.select(F.col("path").alias("stored_path"), F.col("modificationTime").alias("modified_at"), F.col("length").alias("bytes"))
+
+
+def remove_files(files: DataFrame, path: str = "stored_path") -> int:
+    """Delete the named files, one after the other as their names arrive; returns how many there were."""
+    jvm, conf = files.sparkSession._jvm, files.sparkSession._jsc.hadoopConfiguration()
+    removed = 0
+    for row in files.select(path).distinct().toLocalIterator():
+        name = jvm.org.apache.hadoop.fs.Path(row[0])
+        removed += bool(name.getFileSystem(conf).delete(name, False))
+    return removed
+
+
 def usage_rollup(attempts: DataFrame, key: str = "dataset_id", tokens: tuple[str, ...] = ("input_tokens",
                  "output_tokens"), latency: str = "latency_ms") -> DataFrame:
     """Attempts, token sums (null counts as 0) and total latency per dataset."""

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 from factsheet.operators import catalog as K
 from factsheet.operators import selection as S
+from factsheet.operators.snapshots import Catalogue
 from factsheet.plans import inputs as I
 from factsheet.plans.oracle import lit, profile_sql
 from factsheet.plans.profile import profile_table
@@ -156,3 +158,103 @@ def profile_roundtrip(spark, sf):
 
 ORACLE["profile_roundtrip"] = profile_sql("orders", "o_orderstatus") + (
     "SELECT 'orders' AS dataset_id, n_rows, column_name, flags FROM prof")
+
+
+SNAPSHOT_AS_OF = "2024-01-31 12:00:00"
+
+
+@q("catalogue_snapshot")
+def catalogue_snapshot(spark, sf):
+    """A9/A10/I1 one dataset per user of the event log inserted, profiled once or twice, and expired: what the catalogue holds then."""
+    events = I.table(spark, sf, "events").withColumn("dataset_id", F.col("user_id").cast("string"))
+    catalogue = Catalogue(spark, scratch_path(spark, "catalogue"))
+    catalogue.insert(events.groupBy("dataset_id").agg(
+        F.lit("events.csv").alias("filename"), F.concat(F.lit("up/"), F.col("dataset_id")).alias("stored_path"), F.count(F.lit(1)).alias("n_rows"),
+        F.lit(6).alias("n_columns"), F.lit("[]").alias("columns_json"), F.max("ts").alias("created_at")))
+    of = lambda rows, word: rows.groupBy("dataset_id").agg(
+        F.concat(F.lit(word), F.count(F.lit(1)).cast("string")).alias("profile_json"), F.lit(word == "b").alias("task_overridden"))
+    catalogue.save_profiles(of(events.where("event_type = 'purchase'"), "a"))
+    catalogue.save_profiles(of(events.where("event_type = 'purchase' AND value > 60"), "b").unionByName(of(events.limit(1).withColumn("dataset_id", F.lit("no such")), "b")))
+    n, _ = catalogue.expire(SNAPSHOT_AS_OF)
+    return catalogue.snapshot().select("dataset_id", "n_rows", "created_at", "profile_json", "task_overridden", "state", F.lit(n).cast("bigint").alias("n_expired"))
+
+
+ORACLE["catalogue_snapshot"] = f"""
+WITH d AS (SELECT user_id::VARCHAR AS dataset_id, count(*) AS n_rows, max(ts) AS created_at,
+  count(*) FILTER (WHERE event_type = 'purchase') AS a, count(*) FILTER (WHERE event_type = 'purchase' AND value > 60) AS b FROM events GROUP BY 1),
+s AS (SELECT *, created_at < TIMESTAMP {lit(SNAPSHOT_AS_OF)} - INTERVAL 24 HOUR AS old FROM d)
+SELECT dataset_id, n_rows, created_at, CASE WHEN b > 0 THEN 'b' || b WHEN a > 0 THEN 'a' || a END AS profile_json,
+  CASE WHEN b > 0 THEN true WHEN a > 0 THEN false END AS task_overridden, CASE WHEN a > 0 THEN 'complete' ELSE 'pending' END AS state,
+  (SELECT count(*) FROM s WHERE old) AS n_expired FROM s WHERE NOT old"""
+
+
+@q("orphan_uploads")
+def orphan_uploads(spark, sf):
+    """C6/I2 documents written as one file per source; files that the catalogue doesn't name and that are older than a day."""
+    folder = scratch_path(spark, "uploads")
+    docs = I.table(spark, sf, "documents").select("source", "doc_id", "n_chars")
+    docs.repartition("source").write.partitionBy("source").option("header", True).csv(folder)
+    files = K.stored_files(spark, folder, "*.csv").withColumn("source", F.regexp_extract("stored_path", "source=([^/]*)/", 1))
+    of = docs.groupBy("source").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    # the listing has the time of writing; every third source is given a younger one
+    seen = files.join(of, "source").withColumn("modified_at", F.when(
+        F.col("least") % 3 == 0, F.to_timestamp(F.lit("2024-01-30 00:00:00"))).otherwise(F.to_timestamp(F.lit("2024-01-28 00:00:00"))))
+    catalogue = seen.where("most % 2 = 0").select("stored_path")
+    return K.orphan_files(seen, catalogue, "stored_path", "modified_at", "2024-01-30 12:00:00").select("source")
+
+
+ORACLE["orphan_uploads"] = ("SELECT source FROM documents GROUP BY source HAVING max(doc_id) % 2 <> 0 AND min(doc_id) % 3 <> 0")
+
+#: What a stored profile document must hold.
+CHECKED = ST.StructType([
+    ST.StructField("n_rows", ST.LongType(), False), ST.StructField("task", ST.StringType(), True),
+    ST.StructField("columns", ST.ArrayType(ST.StructType([
+        ST.StructField("name", ST.StringType(), False), ST.StructField("unique", ST.LongType(), True)]), False), False)])
+
+
+@q("checked_json")
+def checked_json(spark, sf):
+    """G8 one document per event, some broken in seven ways: what is refused, and at which path."""
+    doc = F.expr("""CASE event_id % 9
+        WHEN 0 THEN '{"n_rows": ' || event_id
+        WHEN 1 THEN '{"n_rows": "many", "columns": []}'
+        WHEN 2 THEN '{"columns": []}'
+        WHEN 3 THEN NULL
+        WHEN 4 THEN '{"n_rows": ' || event_id || ', "columns": [{"name": "a", "unique": 1}, {"name": "b", "unique": "x"}]}'
+        WHEN 5 THEN '{"n_rows": ' || event_id || ', "columns": [{"unique": 1}]}'
+        WHEN 6 THEN '[1, 2]'
+        ELSE '{"n_rows": ' || event_id || ', "task": null, "more": 1, "columns": [{"name": "' || event_type || '", "unique": 5}, {"name": "z"}]}' END""")
+    docs = I.table(spark, sf, "events").select("event_id", doc.alias("profile_json"))
+    return S.check_json(docs, CHECKED).select(
+        "event_id", "status", "failed_path", F.col("profile.n_rows").alias("n_rows"),
+        F.array_join(F.transform("profile.columns", lambda c: c["name"]), ",").alias("names"))
+
+
+ORACLE["checked_json"] = """
+SELECT event_id, CASE WHEN k = 0 THEN 'malformed' WHEN k = 3 THEN 'missing' WHEN k > 6 THEN 'valid' ELSE 'mismatch' END AS status,
+  CASE k WHEN 1 THEN '$.n_rows' WHEN 2 THEN '$.n_rows' WHEN 4 THEN '$.columns[1].unique' WHEN 5 THEN '$.columns[0].name' WHEN 6 THEN '$' END AS failed_path,
+  CASE WHEN k > 6 THEN event_id END AS n_rows, CASE WHEN k > 6 THEN event_type || ',z' END AS names
+FROM (SELECT *, event_id % 9 AS k FROM events)"""
+
+
+@q("prompt_json")
+def prompt_json(spark, sf):
+    """B4/E3/G7 the lineitem profile as one document: two columns excluded, two refused, six of the rest kept."""
+    p = profile_table(_load(spark, sf, "lineitem_nulls"), "l_linestatus", dataset_id="lineitem", duplicates=False)
+    asked = spark.createDataFrame([("lineitem", n, k) for k, n in enumerate(["l_suppkey", "l_no_such", "l_linestatus", "l_orderkey"])],
+                                  "dataset_id string, requested string, place int")
+    docs = S.prompt_json(p.dataset, p.columns, asked, budget=6)
+    shape = ("struct<n_columns:bigint,columns:array<struct<name:string>>,columns_omitted_from_this_prompt:bigint,columns_excluded_by_user:array<string>>")
+    return docs.withColumn("d", F.from_json("profile_json", shape)).select(
+        "dataset_id", F.col("d.n_columns").alias("n_columns"), F.array_join(F.transform("d.columns", lambda c: c["name"]), ",").alias("columns"),
+        F.col("d.columns_omitted_from_this_prompt").alias("omitted"), F.array_join("d.columns_excluded_by_user", ",").alias("excluded"),
+        F.array_join("refused", ",").alias("refused"))
+
+
+ORACLE["prompt_json"] = profile_sql("lineitem_nulls", "l_linestatus") + (
+    "SELECT 'lineitem' AS dataset_id, 11 AS n_columns, string_agg(column_name, ',' ORDER BY ordinal) FILTER (WHERE rk <= 6) AS columns, "
+    "count(*) FILTER (WHERE rk > 6) AS omitted, 'l_suppkey,l_orderkey' AS excluded, 'l_no_such,l_linestatus' AS refused FROM "
+    "(SELECT column_name, ordinal, row_number() OVER (ORDER BY tier, score DESC, ordinal) AS rk FROM "
+    "(SELECT column_name, ordinal, CASE WHEN is_target THEN 0 WHEN flags <> '' THEN 1 ELSE 2 END AS tier, "
+    "CASE WHEN NOT is_target AND flags = '' THEN coalesce(target_association, 0.0) ELSE 0.0 END AS score FROM prof "
+    "WHERE column_name NOT IN ('l_suppkey', 'l_orderkey')))")
