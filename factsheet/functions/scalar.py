@@ -34,26 +34,23 @@ ISO_SHAPE = (r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}([ T][0-9]{1,2}:[0-9]{2}(:[0-9]{2}
              r"( ?(Z|[+-][0-9]{2}:?[0-9]{2}))?)?$")
 # The instants that a 64-bit count of nanoseconds around 1970 can hold; others are not dates here.
 EARLIEST, LATEST = "1677-09-21 00:12:44", "2262-04-11 23:47:16"
-# Other datetime patterns tried in order (month-first before day-first), each with
-# the text shape it can match; the parser only runs where the shape fits, so
-# values that are not dates cost a few regex tests, not parse failures.
-_D2 = r"[0-9]{1,2}"
-_MON = r"[A-Za-z]{3}"
-_MONTH = r"[A-Za-z]{3,9}"
-DATETIME_PATTERNS = (
-    ("yyyy/M/d", rf"^[0-9]{{4}}/{_D2}/{_D2}$"),
-    ("M/d/yyyy", rf"^{_D2}/{_D2}/[0-9]{{4}}$"),
-    ("d/M/yyyy", rf"^{_D2}/{_D2}/[0-9]{{4}}$"),
-    ("M-d-yyyy", rf"^{_D2}-{_D2}-[0-9]{{4}}$"),
-    ("M.d.yyyy", rf"^{_D2}\.{_D2}\.[0-9]{{4}}$"),
-    ("d MMM yyyy", rf"^{_D2} {_MON} [0-9]{{4}}$"),
-    ("d MMMM yyyy", rf"^{_D2} {_MONTH} [0-9]{{4}}$"),
-    ("MMM d, yyyy", rf"^{_MON} {_D2}, [0-9]{{4}}$"),
-    ("MMMM d, yyyy", rf"^{_MONTH} {_D2}, [0-9]{{4}}$"),
-    ("MMM yyyy", rf"^{_MON} [0-9]{{4}}$"),
-    ("MMMM yyyy", rf"^{_MONTH} [0-9]{{4}}$"),
-    ("yyyyMMdd", r"^[0-9]{8}$"),
-)
+# A text with none of these is no date: four digits, a number after a slash or dash, a clock, a month.
+DATE_HINT = r"(?i)^(?=.*[0-9])(?=.*([0-9]{4}|[0-9][/-][0-9]|[0-9] ?[ap]m\b|:|jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec))[0-9a-z:/.,+ -]{1,40}$"
+# The time at a text's end: hour, minute, second, fraction, meridiem (with or without minutes), zone.
+TIME_TAIL = (r"(?:^|(?<=[0-9])t|[ ,]+)([0-9]{1,2})(?::([0-9]{2})(?::([0-9]{2})(?:\.([0-9]{1,9}))?)?(?: ?([ap])m)?| ?([ap])m)"
+             r"(?: ?(z|utc|gmt|[+-][0-9]{2}:?[0-9]{2}))?$")
+# FIXED VALUES: month names and their short forms; weekday names, which say nothing here.
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
+#: The tokens before the time, by kind: Y four digits, N one or two, M a month's name, D eight digits. What the
+#: slots year, month and day take: the place of a token, or -1.
+SLOTS = {"YNN": (0, 1, 2), "NNY": (2, 0, 1), "NMY": (2, 1, 0), "MNY": (2, 0, 1), "YMN": (0, 1, 2), "YNM": (0, 2, 1),
+         "MY": (1, 0, -1), "YM": (0, 1, -1), "Y": (0, -1, -1), "": (-1, -1, -1),
+         "NMN": (2, 1, 0), "MNN": (2, 0, 1), "NNN": (2, 0, 1), "YN": (0, 1, -1), "NY": (1, 0, -1)}
+#: These kinds are dates only when slashes or dashes stand between the numbers.
+NUMBERS_ONLY = ("NNN", "NY")
+#: The day that a clock time without a date is put on; a month or day that isn't told is the first.
+NO_DATE = (1970, 1, 1)
 # The same grammar in strftime notation, for SQL oracles.
 DATETIME_PATTERNS_STRFTIME = (
     "%Y-%m-%d",
@@ -120,30 +117,86 @@ def parse_number(c: str | Column) -> Column:
     return F.when(s.rlike(NUMBER_RE) & (finite | s.rlike(_INF_RE)), d)
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _month(word: Column) -> Column:
+    names = {n: k + 1 for k, n in enumerate(MONTHS)} | {n[:3]: k + 1 for k, n in enumerate(MONTHS)} | {"sept": 9}
+    return F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), word)
+
+
+def _kind(token: Column) -> Column:
+    return (F.when(token.rlike("^[0-9]{4}$"), "Y").when(token.rlike("^[0-9]{1,2}$"), "N").when(token.rlike("^[0-9]{8}$"), "D")
+            .when(_month(token).isNotNull(), "M").otherwise("x"))
+
+
+def _slots(date: Column) -> Column:
+    """Year, month and day of the lower-cased text before the time; null where its tokens fit no slots."""
+    plain = F.regexp_replace(date, "(?<=[0-9])(st|nd|rd|th)\\b", "")
+    days = [F.lit(w) for n in WEEKDAYS for w in (n, n[:3])]
+    words = F.filter(F.regexp_extract_all(plain, F.lit("([0-9]+|[a-z]+)"), F.lit(1)), lambda t: ~t.isin(*days))
+    table = F.create_map(*[x for k, v in SLOTS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+
+    def filled(x: Column) -> Column:
+        tokens, kinds = x["tokens"], x["kinds"]
+        at = F.element_at(table, kinds)
+        number = lambda slot: F.coalesce(_month(F.get(tokens, at[slot])), F.get(tokens, at[slot]).try_cast("int"))
+        year = number(0)
+        # two digits: 69 to 99 are of the last century
+        year = F.when(F.length(F.get(tokens, at[0])) <= 2, year + F.when(year >= 69, 1900).otherwise(2000)).otherwise(year)
+        month, day = number(1), number(2)
+        swap = kinds.isin("NNY", "NNN") & (month > 12)  # month first, unless it can't be one
+        whole = F.get(tokens, F.lit(0))
+        parts = F.when(kinds == "D", F.array(*[F.substring(whole, p, n).cast("int") for p, n in ((1, 4), (5, 2), (7, 2))])).otherwise(
+            F.array(F.when(at[0] >= 0, year).otherwise(NO_DATE[0]), F.when(at[1] < 0, NO_DATE[1]).when(swap, day).otherwise(month),
+                    F.when(at[2] < 0, NO_DATE[2]).when(swap, month).otherwise(day)))
+        fits = (F.when(kinds.isin(*NUMBERS_ONLY), date.rlike("^[0-9]+([/-][0-9]+)+$"))
+                .when(kinds == "Y", year.between(BARE_YEAR_MIN, BARE_YEAR_MAX)).otherwise((kinds == "D") | at.isNotNull()))
+        return F.when(fits & date.rlike("^[0-9a-z]*([-/., ]+[0-9a-z]+)*[., ]*$"), parts)
+
+    return _let(words, lambda t: _let(F.struct(t.alias("tokens"), F.array_join(F.transform(t, _kind), "").alias("kinds")), filled))
+
+
+def _free_datetime(text: Column) -> Column:
+    """A lower-cased text as date tokens and a time, assigned to slots by ``SLOTS``."""
+    def put(x: Column) -> Column:
+        day, clock = x["day"], x["clock"]
+        field = lambda k: F.nullif(F.get(clock, F.lit(k)), F.lit(""))
+        half = F.coalesce(field(4), field(5))
+        hour = F.coalesce(field(0).cast("int"), F.lit(0))
+        hour = F.when(half.isNull(), hour).when(hour.between(1, 12), hour % 12 + F.when(half == "p", 12).otherwise(0))
+        second = F.concat(F.coalesce(field(2), F.lit("0")), F.lit("."), F.substring(F.coalesce(field(3), F.lit("0")), 1, 6)).cast("decimal(8,6)")
+        at = F.try_make_timestamp(day[0], day[1], day[2], hour, F.coalesce(field(1).cast("int"), F.lit(0)), second)
+        zone = F.regexp_extract(F.coalesce(field(6), F.lit("")), "([+-][0-9]{2}):?([0-9]{2})", 0)
+        sign = F.when(F.startswith(zone, F.lit("-")), -1).otherwise(1)
+        shift = F.make_dt_interval(F.lit(0), sign * F.substring(zone, 2, 2).cast("int"), sign * F.substring(F.replace(zone, F.lit(":"), F.lit("")), 4, 2).cast("int"), F.lit(0))
+        dated = x["date"] != ""
+        return F.when(dated | field(1).isNotNull(), F.when(zone == "", at).otherwise(at - shift))
+
+    def parts(date: Column) -> Column:
+        tail = F.substr(text, F.length(date) + 1)
+        clock = F.split(F.regexp_replace(tail, TIME_TAIL.replace("(?<=[0-9])t", "t"), "$1|$2|$3|$4|$5|$6|$7"), "\\|")
+        has = F.length(tail) > 0
+        day = F.when((date != "") | has, _slots(F.btrim(date, F.lit(", "))))
+        return _let(F.struct(day.alias("day"), F.when(has, clock).alias("clock"), F.btrim(date, F.lit(", ")).alias("date")), put)
+
+    return _let(F.regexp_replace(text, TIME_TAIL, ""), parts)
+
+
 def parse_datetime(c: str | Column) -> Column:
-    """Text -> timestamp with the first pattern that fits, else null.
+    """Text -> timestamp, month first where a date can be read both ways, else null.
 
-    The pattern is chosen by the text's shape (one CASE over cheap regex
-    tests) and parsed once; a slash date that fails month-first is retried
-    day-first. Keeping one parse call keeps the generated code small.
+    Year-first dates are read by Spark's own cast. Others are cut into tokens (numbers, month
+    names, time, meridiem, zone) whose kinds together say which slot each one fills (``SLOTS``),
+    so separators, month names, clocks and zones combine freely. A clock time with minutes but no date is put
+    on the day ``NO_DATE``; an hour alone, and a date without a year, are no instants. Weekday names are skipped.
     """
     s = strip(c)
-    first = F.lit(None).cast("string")
-    for p, shape in reversed(DATETIME_PATTERNS):
-        if p == "d/M/yyyy":
-            continue
-        first = F.when(s.rlike(shape), F.lit(p)).otherwise(first)
-    second = F.when(s.rlike(dict(DATETIME_PATTERNS)["d/M/yyyy"]), F.lit("d/M/yyyy"))
-    year = F.when(
-        s.rlike(r"^[0-9]{4}$")
-        & s.cast("int").between(BARE_YEAR_MIN, BARE_YEAR_MAX),
-        F.make_timestamp(s.cast("int"), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)),
-    )
-    parsed = F.coalesce(F.try_to_timestamp(s, first), F.try_to_timestamp(s, second), year)
-    parsed = F.coalesce(F.when(s.rlike(ISO_SHAPE), F.try_to_timestamp(s)), parsed)
-    # a cheap first test: every accepted form holds four digits in a row
-    inside = parsed.between(F.lit(EARLIEST).cast("timestamp"), F.lit(LATEST).cast("timestamp"))
-    return F.when(s.rlike("[0-9]{4}") & inside, parsed)
+    iso = F.when(s.rlike(ISO_SHAPE), F.try_to_timestamp(s))
+    parsed = F.coalesce(iso, F.when(s.rlike(DATE_HINT), _free_datetime(F.lower(s))))
+    return F.when(parsed.between(F.lit(EARLIEST).cast("timestamp"), F.lit(LATEST).cast("timestamp")), parsed)
 
 
 def percent_text(x: str | Column) -> Column:

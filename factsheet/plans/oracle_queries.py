@@ -39,6 +39,10 @@ ORACLE["parse_rate_timestamps"] = " UNION ALL ".join(
     f"SELECT {lit(k)} AS column_name, CAST({v} AS BIGINT) AS parsed FROM orders" for k, v in {
         **dict.fromkeys(("zulu", "shifted", "millis", "nanos", "minutes", "short"), "COUNT(o_orderdate)"),
         **dict.fromkeys(("too_early", "too_late", "no_month"), "0 * COUNT(*)")}.items())
+ORACLE["date_forms"] = " UNION ALL ".join(
+    f"SELECT {lit(form)} AS form, COUNT(o_orderdate) AS parsed, "
+    f"CAST(SUM(epoch(CAST(o_orderdate AS TIMESTAMP)) + {more}) AS BIGINT) AS seconds FROM orders" for form, more in Q.DATE_FORMS.items()
+) + " UNION ALL SELECT 'none', 0, 0"
 ORACLE["decimal_unique"] = (
     "SELECT 'wide' AS column_name, COUNT(DISTINCT l_orderkey) AS unique_count FROM lineitem "
     "UNION ALL SELECT 'l_quantity', COUNT(DISTINCT l_quantity) FROM lineitem")

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factsheet.errors import ProfileRefused
+from factsheet.functions.scalar import parse_datetime
 from factsheet.operators import rules as R
 from factsheet.operators.columns import key_number, key_text
 from factsheet.operators.ranking import average_ranks
@@ -262,6 +263,23 @@ def parse_rate_timestamps(spark, sf):
     return cf.stats.select(c("name").alias("column_name"), c("dt_count").cast("bigint").alias("parsed"))
 
 
+#: Ways to write an order's date with a time of 03:04 where there is one: Spark's date pattern, and the seconds that it adds.
+DATE_FORMS = {
+    "d-MMM-yyyy": 0, "MMM d yyyy": 0, "MMMM d, yyyy": 0, "d MMMM yyyy": 0, "yyyy/M/d": 0, "M/d/yyyy": 0, "M-d-yyyy": 0, "M.d.yyyy": 0, "yyyyMMdd": 0,
+    "d-MMM-yy": 0, "M/d/yy": 0, "yyyy MMM d": 0, "E, dd MMM yyyy '03:04:05' 'GMT'": 11045, "M/d/yyyy '3:04 pm'": 54240, "d MMM yyyy '03:04'": 11040,
+    "MMM d yyyy '3pm'": 54000, "yyyy-MM-dd'T03:04:00+0200'": 3840, "MMM d yyyy '03:04 -01:00'": 14640}
+
+
+@query("date_forms")
+def date_forms(spark, sf):
+    """G4 order dates written in eighteen ways and one that is none: how many parse, and the seconds they come to."""
+    d = F.to_timestamp("o_orderdate")
+    texts = [F.struct(F.lit(p).alias("form"), F.date_format(d, p).alias("v")) for p in DATE_FORMS]
+    texts.append(F.struct(F.lit("none").alias("form"), F.concat(F.lit("order of "), F.date_format(d, "yyyy-MM-dd")).alias("v")))
+    read = I.table(spark, sf, "orders").select(F.explode(F.array(*texts)).alias("x")).select("x.form", parse_datetime(c("x.v")).alias("t"))
+    return read.groupBy("form").agg(F.count("t").alias("parsed"), F.coalesce(F.sum(F.unix_timestamp("t")), F.lit(0)).alias("seconds"))
+
+
 @query("decimal_unique")
 def decimal_unique(spark, sf):
     """D2 distinct values of line prices as wide decimals that doubles can't tell apart."""
