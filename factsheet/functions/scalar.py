@@ -124,7 +124,7 @@ def _let(value: Column, body) -> Column:
 
 def _month(word: Column) -> Column:
     names = {n: k + 1 for k, n in enumerate(MONTHS)} | {n[:3]: k + 1 for k, n in enumerate(MONTHS)} | {"sept": 9}
-    return F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), word)
+    return F.element_at(F.expr(f"map({', '.join(f'{n!r}, {k}' for n, k in names.items())})"), word)
 
 
 def _kind(token: Column) -> Column:
@@ -135,9 +135,9 @@ def _kind(token: Column) -> Column:
 def _slots(date: Column) -> Column:
     """Year, month and day of the lower-cased text before the time; null where its tokens fit no slots."""
     plain = F.regexp_replace(date, "(?<=[0-9])(st|nd|rd|th)\\b", "")
-    days = [F.lit(w) for n in WEEKDAYS for w in (n, n[:3])]
-    words = F.filter(F.regexp_extract_all(plain, F.lit("([0-9]+|[a-z]+)"), F.lit(1)), lambda t: ~t.isin(*days))
-    table = F.create_map(*[x for k, v in SLOTS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    days = [w for n in WEEKDAYS for w in (n, n[:3])]
+    words = F.filter(F.regexp_extract_all(plain, F.lit("([0-9]+|[a-z]+)"), F.lit(1)), lambda t: ~F.array_contains(F.lit(days), t))
+    table = F.expr(f"map({', '.join(f'{k!r}, array{v}' for k, v in SLOTS.items())})")
 
     def filled(x: Column) -> Column:
         tokens, kinds = x["tokens"], x["kinds"]

@@ -98,7 +98,7 @@ def spearman_from_pairs(pairs: DataFrame) -> DataFrame:
     ranks of its f and of its t within its column, from the frequencies of either side.
     """
     pc = store(pairs.groupBy("ordinal", "f", "t").agg(F.count(F.lit(1)).alias("n")), "pairs")
-    r = attach_average_rank(pc, ["ordinal"], "f", "n", "rf")
+    r = store(attach_average_rank(pc, ["ordinal"], "f", "n", "rf"), "ranked-pairs")
     r = attach_average_rank(r, ["ordinal"], "t", "n", "rt")
     mid = (F.col("rf_total") + 1) / 2.0
     rf, rt = F.col("rf") - mid, F.col("rt") - mid

@@ -25,7 +25,8 @@ from factsheet.session import store
 
 #: Rank tables are copied so often, and rows dealt over the copies, before they are joined:
 #: one value that many rows hold then spreads over as many tasks.
-SALTS = 8
+#: Values with over one part in so many of all rows count as hot; there are fewer of them than this.
+HOT_VALUES = 1000
 RANGE = "__range"
 
 
@@ -68,32 +69,47 @@ def average_ranks(freq: DataFrame, keys: list[str], value: str = "v", count: str
 
 
 def exact_medians(freq: DataFrame, keys: list[str], value: str = "v", count: str = "n") -> DataFrame:
-    """D5 median per key: exact, interpolated between the two middle values."""
-    ranked = prefix_counts(freq, keys, value, count)
-    lo = F.floor((F.col("total") - 1) / 2)
-    hi = F.floor(F.col("total") / 2)
-    start, end = F.col("before"), F.col("before") + F.col(count)
-    covers_lo = (start <= lo) & (lo < end)
-    covers_hi = (start <= hi) & (hi < end)
-    return (ranked.where(covers_lo | covers_hi)
-            .groupBy(*keys)
-            .agg(((F.max(F.when(covers_lo, F.col(value))) + F.max(F.when(covers_hi, F.col(value))))
-                  / 2.0).alias("median")))
+    """D5 median per key: exact, interpolated between the two middle values.
+
+    Totals per key and range tell in which one or two ranges the middle lies; only the rows
+    of those are ordered and summed up, the others are read for their totals alone.
+    """
+    ranged = store(freq.select(*keys, value, count).repartitionByRange(*keys, value).withColumn(RANGE, F.spark_partition_id()), "ranges")
+    totals = ranged.groupBy(*keys, RANGE).agg(F.sum(count).alias("__n"))
+    upto = Window.partitionBy(*keys).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, 0)
+    lo, hi = F.floor((F.col("__total") - 1) / 2), F.floor(F.col("__total") / 2)
+    start = F.col("__upto") - F.col("__n")
+    middle = totals.select("*", F.sum("__n").over(upto).alias("__upto"), F.sum("__n").over(Window.partitionBy(*keys)).alias("__total")).where(
+        (start <= hi) & (F.col("__upto") > lo)).select(
+        *(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col(RANGE).alias("__at"), start.alias("__before"), lo.alias("__lo"), hi.alias("__hi"))
+    same = reduce(lambda a, b: a & b, [F.col(RANGE) == F.col("__at"), *(F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys))])
+    inside = Window.partitionBy(*keys, RANGE).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    near = ranged.join(middle, same).withColumn("__end", F.col("__before") + F.sum(count).over(inside))
+    covers = [(F.col("__end") > F.col(m)) & (F.col("__end") - F.col(count) <= F.col(m)) for m in ("__lo", "__hi")]
+    return near.groupBy(*keys).agg(
+        (sum(F.max(F.when(c, F.col(value))) for c in covers) / 2.0).alias("median"))
 
 
 def attach_average_rank(df: DataFrame, keys: list[str], value: str, count: str, out: str) -> DataFrame:
     """Add ``out``: the average rank of each row's ``value`` among the rows of its key,
     every row weighing ``count`` (rows may repeat a value), plus ``{out}_total``.
 
-    Ranks come from the value frequencies, counted map-side first; they are joined
-    back by key and value, rows and rank table dealt over ``SALTS`` copies.
+    Ranks come from the value frequencies, counted map-side first. Values that over a thousandth of all
+    rows hold, fewer than a thousand, are broadcast, so their rows stay where they are; the
+    others are joined by key and value, each value a thousandth of the rows at most.
     """
-    freq = df.groupBy(*keys, value).agg(F.sum(count).alias("__n"))
-    ranks = average_ranks(freq, keys, value, "__n").select(
-        *(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col(value).alias("__v"),
-        F.col("rank").alias(out), F.col("total").alias(f"{out}_total"),
-        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__s"))
-    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int"))
-    same = reduce(lambda a, b: a & b, [F.col(value) == F.col("__v"), F.col("__salt") == F.col("__s"), *(
+    freq = df.groupBy(*keys, value).agg(F.sum(count).alias("__n"), F.count(F.lit(1)).alias("__rows"))
+    freq = store(freq, "rank-values")
+    rows = freq.agg(F.sum("__rows")).first()[0] or 0
+    heavy = F.col("__rows") * HOT_VALUES > rows
+    marked = prefix_counts(freq, keys, value, "__n", carry=("__rows",)).select(
+        *(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col(value).alias("__v"), heavy.alias("__heavy"),
+        (F.col("before") + (F.col("__n") + 1) / 2.0).alias(out), F.col("total").alias(f"{out}_total"))
+    ranks = store(marked, "ranks")
+    same = reduce(lambda a, b: a & b, [F.col(value).eqNullSafe(F.col("__v")), *(
         F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys))])
-    return salted.join(ranks, same).select(*df.columns, out, f"{out}_total")
+    names = [*df.columns, out, f"{out}_total"]
+    hot = F.broadcast(ranks.where("__heavy"))
+    near = df.join(hot, same, "left")
+    light = near.where(F.col("__heavy").isNull()).select(*df.columns).join(ranks.where("NOT __heavy"), same)
+    return near.where("__heavy").select(*names).unionByName(light.select(*names))

@@ -20,6 +20,7 @@ from pyspark.sql import types as ST
 
 from factsheet import thresholds as T
 from factsheet.functions.scalar import col_, is_long, parse_datetime, parse_number, strip, strip_fold, text_key
+from factsheet.session import once
 from factsheet.operators.columns import (
     BOOLEAN, DATETIME, NUMERIC_STORAGE, STRING, ColumnSpec, effective_key, key_is_null, key_number, key_struct,
 )
@@ -64,6 +65,14 @@ def raw_frequencies(df: DataFrame, specs: list[ColumnSpec]) -> DataFrame:
             .groupBy("ordinal", "kl", "kd", "ks", *LONG).agg(F.count(F.lit(1)).alias("n")))
 
 
+@once
+def _text_facts() -> tuple[Column, Column, Column]:
+    """Of a counted text: its number, whether it is a date, and its boolean vocabulary."""
+    ks, long = F.col("ks"), F.col("head").isNotNull()
+    return (F.when(long, F.col("lx")).otherwise(parse_number(ks)),
+            parse_datetime(F.when(long, F.col("trimmed")).otherwise(ks)).isNotNull(), _vocab_id(ks))
+
+
 def facts_from_frequencies(freq_all: DataFrame, specs: list[ColumnSpec]) -> tuple[int, dict[int, dict]]:
     """The wide facts computed on distinct values weighted by their counts.
 
@@ -75,13 +84,12 @@ def facts_from_frequencies(freq_all: DataFrame, specs: list[ColumnSpec]) -> tupl
     o = F.col("ordinal")
     n = F.col("n")
     present = ~key_is_null()
-    ks = F.col("ks")
     is_str, is_num = o.isin(strings) if strings else F.lit(False), o.isin(numerics) if numerics else F.lit(False)
-    long = F.col("head").isNotNull()
-    x = F.when(is_str & long, F.col("lx")).when(is_str, parse_number(ks)).when(is_num, key_number())
-    dt = F.when(is_str & present, parse_datetime(F.when(long, F.col("trimmed")).otherwise(ks)).isNotNull())
+    number, date, vocabulary = _text_facts()
+    x = F.when(is_str, number).when(is_num, key_number())
+    dt = F.when(is_str & present, date)
     base = freq_all.select("ordinal", "n", present.alias("present"), x.alias("x"), dt.alias("dt"),
-                           F.when(is_str & present, _vocab_id(ks)).alias("vid"),
+                           F.when(is_str & present, vocabulary).alias("vid"),
                            F.when(is_num & present, key_number().isin(0, 1)).alias("b01"))
     agg = base.groupBy("ordinal").agg(
         F.sum("n").alias("n_rows"),

@@ -14,9 +14,10 @@ import uuid
 from contextlib import contextmanager
 from contextvars import ContextVar
 from dataclasses import dataclass, field
+from functools import wraps
 
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import SparkContext, StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -97,6 +98,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def once(build):
+    """Build an expression once per Spark context and set of (hashable) arguments.
+
+    Expressions name their columns, so one object serves every plan; putting a large one together
+    costs a second of calls to the JVM.
+    """
+    built: dict = {}
+
+    @wraps(build)
+    def get(*args):
+        key = (id(SparkContext._active_spark_context), *args)
+        if key not in built:
+            built[key] = build(*args)
+        return built[key]
+
+    return get
+
+
 @dataclass
 class Scratch:
     """Written tables and cached DataFrames that one result rests on."""

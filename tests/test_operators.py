@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factsheet.operators import evaluate as E
 from factsheet.operators import prep as P
+from factsheet.operators import ranking as RK
 from factsheet.operators.ranking import average_ranks, exact_medians
 
 
@@ -102,3 +103,27 @@ def test_prefix_counts_agree_with_pandas(spark, limit):
                 assert r["rw"] == pytest.approx(expw[r["w"]])
                 assert r["rw_total"] == len(sub)
     spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_hot_values_stay_where_they_are(spark):
+    """A value with half the rows: its rows are not dealt by the value, and ranks equal those of a plain sort."""
+    df = spark.range(40000).selectExpr("1 AS g", "cast(if(id % 2 = 0, 7, id) AS double) AS w", "1L AS n").repartition(8)
+    spark.conf.set("spark.sql.shuffle.partitions", 200)
+    try:
+        out = RK.attach_average_rank(df, ["g"], "w", "n", "rw").withColumn("task", F.spark_partition_id())
+        rows = out.toPandas()
+        per_task = rows[rows["w"] == 7].groupby("task").size()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+    assert per_task.max() <= 3 * 20000 / 8
+    want = rows["w"].rank(method="average")
+    assert (rows["rw"] == want).all() and (rows["rw_total"] == 40000).all()
+
+
+def test_medians_read_only_the_middle(spark):
+    import numpy as np
+    rng = np.random.default_rng(3)
+    data = [(k, float(v), int(n)) for k in range(4) for v, n in zip(sorted(set(rng.integers(-50, 50, 60).tolist())), rng.integers(1, 9, 60))]
+    got = {r.g: r.median for r in RK.exact_medians(spark.createDataFrame(data, "g int, v double, n long"), ["g"]).collect()}
+    for k in range(4):
+        assert got[k] == np.median(np.repeat([v for g, v, _ in data if g == k], [n for g, _, n in data if g == k]))
