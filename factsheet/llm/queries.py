@@ -17,7 +17,7 @@ from .langid import label_languages
 from .langid import train as learn_languages
 from .mixing import mix_sources
 from .packing import pack_documents
-from .pii import KINDS, find_personal_data, spans_text
+from .pii import KINDS, SECRET, find_personal_data, spans_text
 from .simhash import simhash_groups
 from .quality import judge_documents
 from .tokens import count_tokens
@@ -76,12 +76,14 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Personal data in all documents: counts and digest of the fixed patterns' spans, and all spans."""
+    """Personal data in all documents: counts and digest of the fixed patterns' spans, all spans of their
+    kinds, and the spans of secrets."""
     found = find_personal_data(common.table(spark, sf_dir, "documents"))
     kinds = F.transform("base", lambda s: s["kind"])
     counts = [F.size(F.filter(kinds, lambda x: x == F.lit(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]  # noqa: B023
     return found.select("doc_id", *counts, F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"),
-                        spans_text(F.sort_array(F.concat("base", "added"))).alias("spans"))
+                        spans_text(F.sort_array(F.concat("base", F.filter("added", lambda s: s["kind"] != SECRET)))).alias("spans"),
+                        spans_text(F.sort_array(F.filter("added", lambda s: s["kind"] == SECRET))).alias("secrets"))
 
 
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
