@@ -228,6 +228,12 @@ METRIC_LABELS = {
     "mae": "MAE",
     "r2": "R²",
 }
+METHOD_PHRASES = {
+    "spearman": "rank association",
+    "eta": "eta association",
+    "purity": "purity association",
+    "none": "association",
+}
 TASK_LABELS = {
     "binary_classification": "Binary classification",
     "multiclass_classification": "Multiclass classification",

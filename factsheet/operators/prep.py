@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from factsheet import thresholds as T
 from factsheet.functions.scalar import col_, md5_bucket, parse_number
 from factsheet.operators.ranking import exact_medians, prefix_counts
+from factsheet.session import store
 
 RARE = "__rare__"
 
@@ -91,9 +92,12 @@ def missing_indicator(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def frequency_encode(df: DataFrame, col: str) -> DataFrame:
-    """K7: each level replaced by its share of rows (null level -> null)."""
-    n = df.count()
-    counts = df.where(col_(col).isNotNull()).groupBy(col_(col).alias("_lvl")).agg(F.count(F.lit(1)).alias("_c"))
+    """K7: each level replaced by its share of rows (null level -> null).
+
+    One counting pass: the stored counts, nulls among them, give the levels and the row count.
+    """
+    counts = store(df.groupBy(col_(col).alias("_lvl")).agg(F.count(F.lit(1)).alias("_c")), "level-counts")
+    n = counts.agg(F.sum("_c")).collect()[0][0]
     return (df.join(counts, col_(col) == F.col("_lvl"), "left")
             .withColumn(f"{col}_freq", F.col("_c") / F.lit(n)).drop("_lvl", "_c"))
 
@@ -114,6 +118,48 @@ def one_hot_long(df: DataFrame, train: DataFrame, key: str, col: str,
             .select(key, feat.alias("feature")))
 
 
+def level_dictionary(train: DataFrame, cols: list[str], min_rows: int = T.RARE_LEVEL_MIN_ROWS) -> DataFrame:
+    """K5 dictionary: ``(ordinal, level, index)`` of every training level of the columns.
+
+    A level with at least ``min_rows`` training rows has an index of its own, the rarer ones of a column
+    share one behind them. Indices count from 0 in the order of columns, then of levels, so equal training
+    rows give equal indices however they are split; they come from range-sorted prefix counts, so the
+    number of levels isn't bounded by a task. Null levels have no entry.
+    """
+    structs = [F.struct(F.lit(i).alias("ordinal"), col_(c).cast("string").alias("level")) for i, c in enumerate(cols)]
+    counts = train.select(F.inline(F.array(*structs))).where(F.col("level").isNotNull()).groupBy("ordinal", "level").agg(
+        F.count(F.lit(1)).alias("rows"))
+    levels = store(counts.select("ordinal", "level", (F.col("rows") < min_rows).cast("int").alias("rare")), "levels")
+    own = F.when(F.col("rare") == 0, F.col("level"))
+    features = levels.select("ordinal", "rare", own.alias("own")).distinct().withColumn("n", F.lit(1)).withColumn("all", F.lit(0))
+    placed = prefix_counts(features, ["all"], ["ordinal", "rare", "own"]).select(
+        F.col("ordinal").alias("_o"), F.col("rare").alias("_r"), F.col("own").alias("_own"), F.col("before").cast("int").alias("index"))
+    same = F.col("ordinal") == F.col("_o")
+    frequent = levels.where("rare = 0").join(placed.where("_r = 0"), same & (F.col("level") == F.col("_own")))
+    # one row a column that has rare levels
+    rare = levels.where("rare = 1").join(F.broadcast(placed.where("_r = 1")), same)
+    return frequent.unionByName(rare).select("ordinal", "level", "index")
+
+
+def sparse_vectors(df: DataFrame, train: DataFrame, keys: list[str], cols: list[str],
+                   min_rows: int = T.RARE_LEVEL_MIN_ROWS) -> DataFrame:
+    """K5: one-hot rows as sparse vectors, ``(keys..., size, indices)``, one per input row.
+
+    ``size`` is the number of features, ``indices`` the ascending places of the ones (at most one a column).
+    Nulls and levels that the training rows don't have add no index; without any training level the size is 0.
+    Repeated rows are encoded each. A column joins the dictionary by its level, whose rows are unique, so a hot
+    level costs no more than the rows it has and can be split.
+    """
+    levels = store(level_dictionary(train, cols, min_rows), "level-index")
+    size = levels.agg(F.coalesce(F.max("index") + 1, F.lit(0))).collect()[0][0]
+    rows = df.select(*(col_(k).alias(k) for k in keys), *(col_(c).cast("string").alias(f"__v{i}") for i, c in enumerate(cols)))
+    for i in range(len(cols)):
+        own = levels.where(F.col("ordinal") == i).select(F.col("level").alias(f"__l{i}"), F.col("index").alias(f"__i{i}"))
+        rows = rows.join(own, F.col(f"__v{i}") == F.col(f"__l{i}"), "left")
+    found = F.array_compact(F.array(*(F.col(f"__i{i}") for i in range(len(cols)))))
+    return rows.select(*(F.col(f"`{k}`") for k in keys), F.lit(size).cast("int").alias("size"), found.alias("indices"))
+
+
 def target_encode_oof(df: DataFrame, key: str, col: str, target: str, k: int = 5,
                       m: float = T.TARGET_ENCODE_SMOOTHING) -> DataFrame:
     """K8: out-of-fold smoothed target mean of a level, one row per input row.

@@ -7,10 +7,11 @@ same expressions serve the profile, the query keys and the tests.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factsheet import thresholds as T
+from factsheet.functions.scalar import METHOD_PHRASES, map_lookup
 from factsheet.operators.columns import BINARY, COMPLEX, NUMERIC_STORAGE
 
 c = F.col
@@ -123,14 +124,12 @@ def override_outcome(requested: Column) -> tuple[Column, Column, Column]:
     """(task, confidence, refusal code) for a requested task (may be null)."""
     inferred = inferred_task()
     same = requested.isNull() | (requested == inferred)
-    classification = requested.isin("binary_classification", "multiclass_classification")
     accepted_other = c("inferred_type") == "numeric_discrete"
     task = F.when(same, inferred).when(accepted_other, requested)
     conf = (F.when(requested.isNull(), inferred_confidence())
             .when(same, F.lit(T.TASK_CONFIDENCE_TYPE_MATCH))
             .when(accepted_other, F.lit(1.0)))
     refusal = F.when(~same & ~accepted_other, F.lit("TARGET_TYPE_UNSUPPORTED"))
-    _ = classification
     return task, conf, refusal
 
 
@@ -182,6 +181,23 @@ def findings_array() -> Column:
     ))
 
 
+def ordered_findings(columns: DataFrame, target: str | Column) -> DataFrame:
+    """The findings of all columns but the target, errors first, then in file order and rule order.
+
+    ``position`` counts them from 1. The window sees at most five findings a column.
+    """
+    target = F.lit(target) if isinstance(target, str) else target
+    found = columns.where(c("name") != target).select(
+        c("name").alias("column_name"), "ordinal", "association_method", F.explode(findings_array()).alias("f")).select(
+        "column_name", "ordinal", "association_method", "f.rule_no", "f.severity", "f.flag",
+        severity_rank(c("f.severity")).alias("severity_rank"))
+    order = ["severity_rank", "ordinal", "rule_no"]
+    phrase = map_lookup(METHOD_PHRASES, F.coalesce("association_method", F.lit("none")))
+    return found.select(
+        F.row_number().over(Window.orderBy(*order)).alias("position"), "column_name", "ordinal", "rule_no", "severity",
+        "flag", "severity_rank", F.when(c("flag") == "potential_leakage", phrase).alias("method_phrase")).orderBy("position")
+
+
 def severity_rank(col: Column) -> Column:
     expr = F.lit(None).cast("int")
     for k, v in SEVERITY_RANK.items():

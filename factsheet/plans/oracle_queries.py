@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from factsheet.plans import queries as Q
-from factsheet.plans.oracle import lit, profile_sql, q, target_sql, view
+from factsheet.plans.oracle import SCHEMAS, lit, profile_sql, q, target_sql, view
 
 ORACLE: dict[str, str] = {}
 
@@ -78,7 +78,6 @@ ORACLE["task_override"] = _union([_override(t, c, r) for t, c, r in Q.OVERRIDES]
 
 
 def _check(table: str, target: str) -> str:
-    from factsheet.plans.oracle import SCHEMAS
 
     if target not in [n for n, _ in SCHEMAS[table]]:
         return f"SELECT {lit(table)} AS table_name, {lit(target)} AS target_column, 'TARGET_NOT_FOUND' AS status"
@@ -141,14 +140,6 @@ _FINDING_RULES = [
     ("high_cardinality", "info", "NOT list_contains(fl, 'id_like') AND list_contains(fl, 'high_cardinality')"),
 ]
 _SEV = {"error": 0, "warning": 1, "info": 2}
-ORACLE["findings"] = _union([
-    profile_sql(t, c) + "SELECT * FROM (" + " UNION ALL ".join(
-        f"SELECT {lit(t)} AS table_name, column_name, {lit(sev)} AS severity, {lit(flag)} AS flag, "
-        f"{_SEV[sev]} AS severity_rank FROM (SELECT *, string_split(flags, ',') AS fl FROM prof) "
-        f"WHERE NOT is_target AND {cond}" for flag, sev, cond in _FINDING_RULES) + ")"
-    for t, c in Q.FLAG_PROFILES])
-
-
 def _dup(t: str) -> str:
     return f"((SELECT COUNT(*) FROM v) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM v)))"
 
@@ -199,6 +190,21 @@ def _case(mapping: dict, col: str) -> str:
     return "CASE " + " ".join(f"WHEN {col} = {lit(k)} THEN {lit(v)}" for k, v in mapping.items()) + " END"
 
 
+_RULE_NO = {"potential_leakage": 1, "all_missing": 2, "high_missing": 2, "constant": 3, "quasi_constant": 3,
+            "numeric_as_string": 4, "id_like": 5, "high_cardinality": 5}
+_FILE_ORDER = {t: "CASE column_name " + " ".join(f"WHEN {lit(n)} THEN {i}" for i, (n, _) in enumerate(SCHEMAS[t])) + " END"
+               for t, _ in Q.FLAG_PROFILES}
+ORACLE["findings"] = _union([
+    profile_sql(t, c) + f"SELECT {lit(t)} AS table_name, row_number() OVER (ORDER BY severity_rank, ordinal, rule_no) AS position, "
+    "* FROM (" + " UNION ALL ".join(
+        f"SELECT column_name, {_FILE_ORDER[t]} AS ordinal, {_RULE_NO[flag]} AS rule_no, {lit(sev)} AS severity, "
+        f"{lit(flag)} AS flag, {_SEV[sev]} AS severity_rank, "
+        + (_case(_S.METHOD_PHRASES, "association_method") if flag == "potential_leakage" else "CAST(NULL AS VARCHAR)")
+        + f" AS method_phrase FROM (SELECT *, string_split(flags, ',') AS fl FROM prof) "
+        f"WHERE NOT is_target AND {cond}" for flag, sev, cond in _FINDING_RULES) + ")"
+    for t, c in Q.FLAG_PROFILES])
+
+
 def _fill(template: str) -> str:
     head, tail = template.split("{ratio}")
     ratio = ("CASE WHEN class_balance_ratio IS NULL THEN 'an unknown ratio' ELSE "

@@ -158,6 +158,26 @@ ORACLE["prep_onehot"] = (
     f"WHEN lv.c IS NOT NULL THEN '__rare__' END AS feature FROM part p LEFT JOIN lv ON p.p_type = lv.lvl")
 
 
+@q("prep_sparse_vectors")
+def prep_sparse_vectors(spark, sf):
+    """K5 sparse one-hot rows of all orders: priority and customer, some missing; customers with few training rows share an index."""
+    o = I.table(spark, sf, "orders").select(
+        "o_orderkey", "o_orderpriority", F.when(F.col("o_custkey") % 10 != 0, F.col("o_custkey")).alias("o_custkey"))
+    train = P.split_holdout(o, F.col("o_orderkey")).where(F.col("split") == "train")
+    rows = P.sparse_vectors(o, train, ["o_orderkey"], ["o_orderpriority", "o_custkey"], min_rows=9)
+    return rows.select("o_orderkey", "size", F.array_join(F.col("indices").cast("array<string>"), ",").alias("indices"))
+
+
+ORACLE["prep_sparse_vectors"] = (
+    f"WITH b AS (SELECT o_orderkey, o_orderpriority AS p, CASE WHEN o_custkey % 10 <> 0 THEN CAST(o_custkey AS VARCHAR) END AS k, "
+    f"{_bucket_sql('o_orderkey', 100)} < 80 AS learn FROM orders), "
+    f"lv AS (SELECT 0 AS col, p AS lvl, COUNT(*) AS n FROM b WHERE learn AND p IS NOT NULL GROUP BY p "
+    f"UNION ALL SELECT 1, k, COUNT(*) FROM b WHERE learn AND k IS NOT NULL GROUP BY k), "
+    f"ix AS (SELECT col, lvl, dense_rank() OVER (ORDER BY col, n < 9, CASE WHEN n >= 9 THEN encode(lvl) END) - 1 AS i FROM lv) "
+    f"SELECT o_orderkey, CAST((SELECT MAX(i) + 1 FROM ix) AS INTEGER) AS size, concat_ws(',', x.i, y.i) AS indices FROM b "
+    f"LEFT JOIN ix x ON x.col = 0 AND x.lvl = b.p LEFT JOIN ix y ON y.col = 1 AND y.lvl = b.k")
+
+
 @q("prep_target_encode")
 def prep_target_encode(spark, sf):
     """K8 out-of-fold smoothed mean order price per customer (five folds); some customers and prices are missing."""

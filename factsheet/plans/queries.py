@@ -398,16 +398,9 @@ def level_names(spark, sf):
 
 @query("findings")
 def findings(spark, sf):
-    """H16 findings per non-target column with severity, sorted error < warning < info."""
-    frames = []
-    for t, p in _profiles(spark, sf):
-        target = p.dataset.select("target_column")
-        cols = p.columns.join(target, c("name") == c("target_column"), "left_anti")
-        frames.append(cols.select(F.lit(t).alias("table_name"), c("name").alias("column_name"), "ordinal",
-                                  F.explode(R.findings_array()).alias("f"))
-                      .select("table_name", "column_name", "f.severity", "f.flag",
-                              R.severity_rank(c("f.severity")).alias("severity_rank")))
-    return _union(frames)
+    """H16, E4, G11 findings of every non-target column in display order, leakage with its method in words."""
+    return _union([R.ordered_findings(p.columns, target).select(F.lit(t).alias("table_name"), "*")
+                   for (t, target), (_, p) in zip(FLAG_PROFILES, _profiles(spark, sf))])
 
 
 @query("flag_counts")
