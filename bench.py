@@ -16,8 +16,6 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import functions as F  # noqa: E402
-
 from factsheet.plans import inputs as I  # noqa: E402
 from factsheet.plans.profile import profile_table  # noqa: E402
 from factsheet.session import local_session  # noqa: E402
@@ -68,7 +66,6 @@ def main() -> None:
         "warmup_sec": warmup,
     }
     print(json.dumps(out))
-    _ = F
     spark.stop()
 
 

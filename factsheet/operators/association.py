@@ -18,6 +18,8 @@ the ordinal, so the number of jobs does not depend on the number of columns:
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,12 +38,25 @@ def _key3(key: tuple) -> list[Column]:
             ks if ks is not None else _null("string")]
 
 
-def _not_null3(key: tuple) -> Column:
-    parts = [k.isNotNull() for k in key if k is not None]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out | p
-    return out
+def _exploded(df: DataFrame, features: dict[int, dict[str, Column | None]], types: dict[str, str],
+              target: dict[str, Column]) -> DataFrame:
+    """``(ordinal, *types, *target)``: a row per feature and input row where both have a value.
+
+    ``features`` gives each ordinal its fields of ``types``; one it has not is null. Values are worked out once a row,
+    in a projection of their own, and null structs are dropped behind the generate: that keeps the array
+    in generated code (``array_compact`` would have it interpreted).
+    """
+    values = {(o, k): f"f{o}_{k}" for o, parts in features.items() for k, c in parts.items() if c is not None}
+    once_a_row = df.select(*(features[o][k].alias(name) for (o, k), name in values.items()),
+                           *(c.alias(k) for k, c in target.items()))
+    present = reduce(lambda a, b: a | b, [F.col(k).isNotNull() for k in target])
+    structs = []
+    for o in features:
+        own = {k: F.col(values[o, k]) if (o, k) in values else _null(t) for k, t in types.items()}
+        some = reduce(lambda a, b: a | b, [own[k].isNotNull() for k in types if (o, k) in values])
+        structs.append(F.when(some & present, F.struct(F.lit(o).alias("ordinal"), *(c.alias(k) for k, c in own.items()))))
+    return once_a_row.select(F.explode(F.array(*structs)).alias("r"), *target).where(
+        F.col("r").isNotNull()).select("r.*", *target)
 
 
 def association_sample(df: DataFrame, key: Column, percent: int) -> DataFrame:
@@ -128,24 +143,12 @@ def associations(df: DataFrame, routes: dict[int, str], feature_num: dict[int, C
     pur = [o for o, r in routes.items() if r == "purity"]
     spr = [o for o, r in routes.items() if r == "spearman"]
 
+    level = {"fl": "bigint", "fd": "double", "fs": "string"}
     if classification and (eta_num or pur):
-        tk = _key3(target_key)
-        t_ok = _not_null3(target_key)
-        structs = []
-        for o in eta_num:
-            x = feature_num[o]
-            structs.append(F.when(x.isNotNull() & t_ok, F.struct(
-                F.lit(o).alias("ordinal"), x.alias("x"), _null("bigint").alias("fl"), _null("double").alias("fd"),
-                _null("string").alias("fs"))))
-        for o in pur:
-            fk = feature_key[o]
-            k = _key3(fk)
-            structs.append(F.when(_not_null3(fk) & t_ok, F.struct(
-                F.lit(o).alias("ordinal"), _null("double").alias("x"), k[0].alias("fl"), k[1].alias("fd"),
-                k[2].alias("fs"))))
+        features = {o: {"x": feature_num[o]} for o in eta_num}
+        features.update({o: dict(zip(level, feature_key[o])) for o in pur})
         # one generate, one shuffle for both statistics
-        long = df.select(F.explode(F.array_compact(F.array(*structs))).alias("r"),
-                         tk[0].alias("tl"), tk[1].alias("td"), tk[2].alias("ts")).select("r.*", "tl", "td", "ts")
+        long = _exploded(df, features, {"x": "double", **level}, dict(zip(("tl", "td", "ts"), _key3(target_key))))
         g = long.groupBy("ordinal", "fl", "fd", "fs", "tl", "td", "ts").agg(
             F.count(F.lit(1)).alias("n"), F.avg("x").alias("gmean"), F.var_pop("x").alias("gvar"),
             F.min("x").alias("gmin"), F.max("x").alias("gmax"))
@@ -161,24 +164,13 @@ def associations(df: DataFrame, routes: dict[int, str], feature_num: dict[int, C
             parts.append(purity_from_counts(gp).withColumn("association_method", F.lit("purity")))
 
     if not classification and eta_cat:
-        structs = []
-        for o in eta_cat:
-            fk = feature_key[o]
-            k = _key3(fk)
-            structs.append(F.when(_not_null3(fk) & target_num.isNotNull(), F.struct(
-                F.lit(o).alias("ordinal"), k[0].alias("gl"), k[1].alias("gd"), k[2].alias("gs"))))
-        long = df.select(F.explode(F.array_compact(F.array(*structs))).alias("r"),
-                         (target_num - (F.lit(0.0) if target_mean is None else target_mean)).alias("x")).select("r.*", "x")
+        long = _exploded(df, {o: dict(zip(("gl", "gd", "gs"), feature_key[o])) for o in eta_cat},
+                         {"gl": "bigint", "gd": "double", "gs": "string"},
+                         {"x": target_num - (F.lit(0.0) if target_mean is None else target_mean)})
         parts.append(group_stats_eta(long).withColumn("association_method", F.lit("eta")))
 
     if not classification and spr:
-        structs = []
-        for o in spr:
-            x = feature_num[o]
-            structs.append(F.when(x.isNotNull() & target_num.isNotNull(), F.struct(
-                F.lit(o).alias("ordinal"), x.alias("f"))))
-        long = df.select(F.explode(F.array_compact(F.array(*structs))).alias("r"),
-                         target_num.alias("t")).select("r.*", "t")
+        long = _exploded(df, {o: {"f": feature_num[o]} for o in spr}, {"f": "double"}, {"t": target_num})
         parts.append(spearman_from_pairs(long).withColumn("association_method", F.lit("spearman")))
 
     if not parts:

@@ -59,6 +59,16 @@ STATS_SCHEMA = ST.StructType([
     ST.StructField("eff_non_null", ST.LongType()),
 ])
 
+OUTCOME_SCHEMA = ST.StructType([
+    ST.StructField("task", ST.StringType()),
+    ST.StructField("conf", ST.DoubleType()),
+    ST.StructField("refusal", ST.StringType()),
+    ST.StructField("inferred", ST.StringType()),
+    ST.StructField("cmax", ST.LongType()),
+    ST.StructField("cmin", ST.LongType()),
+    ST.StructField("classes", ST.LongType()),
+])
+
 COLUMN_PROFILE_COLUMNS = [
     "dataset_id", "ordinal", "name", "inferred_type", "storage_type", "missing_count", "missing_pct",
     "unique_count", "unique_pct", "top_value_pct", "sample_values", "min", "max", "mean", "std",
@@ -221,11 +231,9 @@ def target_outcome(cf: ColumnFacts, target: str, override: str | None) -> dict:
                              {"target_column": target, "inferred_type": first["inferred_type"]})
     cls = cf.summary.get(spec.ordinal) or {"top_n": None, "min_n": None, "unique_count": 0}
     cls = {"cmax": cls["top_n"], "cmin": cls["min_n"], "classes": cls["unique_count"]}
-    # the metric rules run on the one-row outcome (literals), evaluated by Spark's constant folding
-    t = cf.stats.limit(0).select(F.lit(1)).agg(F.lit(1)).select(F.lit(first["task"]).alias("task"), F.lit(first["conf"]).alias("conf"),
-                   F.lit(first["refusal"]).alias("refusal"), F.lit(first["inferred"]).alias("inferred"),
-                   F.lit(cls["cmax"]).cast("bigint").alias("cmax"), F.lit(cls["cmin"]).cast("bigint").alias("cmin"),
-                   F.lit(cls["classes"]).alias("classes"))
+    # the metric rules run on the one-row outcome, a local relation: folded without a job
+    t = local_rows(cf.df.sparkSession, [{"task": first["task"], "conf": first["conf"], "refusal": first["refusal"],
+                                         "inferred": first["inferred"], **cls}], OUTCOME_SCHEMA)
     t = t.withColumn("ratio", R.class_balance(F.col("task"), F.col("cmax"), F.col("cmin"), F.col("classes")))
     t = t.withColumn("primary", R.primary_metric(F.col("task"), F.col("ratio")))
     t = t.withColumn("secondary", R.secondary_metrics(F.col("task"), F.col("primary")))

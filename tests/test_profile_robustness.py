@@ -102,3 +102,38 @@ def test_wide_decimals_keep_their_digits(spark):
         got = {r["name"]: r["unique_count"] for r in column_facts(df, "y").stats.collect()}
     scope.release()
     assert got["d"] == 50
+
+
+def _jobs(spark, group, df, target):
+    sc = spark.sparkContext
+    sc.setJobGroup(group, group)
+    try:
+        p = profile_table(df, target)
+        p.dataset.collect(), p.columns.collect()
+        p.release()
+        return len(sc.statusTracker().getJobIdsForGroup(group))
+    finally:
+        sc._jsc.clearJobGroup()
+
+
+def test_jobs_do_not_grow_with_columns(spark):
+    rows = spark.range(400)
+    target = F.when(F.col("id") % 3 == 0, "yes").otherwise("no").alias("t")
+
+    def wide(times):
+        return rows.select(target, *(c.alias(f"{n}{i}") for i in range(times) for n, c in (
+            ("x", F.col("id") * (i + 1) + 0.5), ("level", F.concat(F.col("id") % (i + 3), F.lit("a"))),
+            ("word", F.concat(F.lit("w"), F.col("id") % (i + 4))))))
+
+    few, many = _jobs(spark, "few", wide(1), "t"), _jobs(spark, "many", wide(6), "t")
+    assert many <= few <= 30
+
+
+def test_pairs_are_made_in_generated_code(spark):
+    from factsheet.operators.association import _exploded
+
+    df = spark.createDataFrame([(1.0, "a", "x"), (None, "b", "x"), (2.0, None, None)], "f double, g string, t string")
+    long = _exploded(df, {0: {"x": F.col("f")}, 1: {"fs": F.col("g")}}, {"x": "double", "fs": "string"}, {"t": F.col("t")})
+    assert sorted(map(tuple, long.collect()), key=str) == [(0, 1.0, None, "x"), (1, None, "a", "x"), (1, None, "b", "x")]
+    plan = df.sparkSession._jvm.PythonSQLUtils.explainString(long._jdf.queryExecution(), "formatted")
+    assert "* Generate" in plan
