@@ -71,8 +71,9 @@ def mix_sources(docs: DataFrame, weights=cycled_weights, *, id_col: str = "doc_i
     words take nothing; an empty table gives an empty result; other columns are not
     read. ``docs`` must be a stored table, or come out in the same order each time.
 
-    A hot source is split by the shuffle hash into 256 times 256 parts, whose totals are
-    summed first; the queue's order is a range partitioning by finish time.
+    A hot source, or one id on many rows, is split by range: rows are range-sorted by source,
+    hash, id and row, and each source's totals per range summed first; the queue's order is a
+    range partitioning by finish time.
     """
     spark = docs.sparkSession
     sized = stored(with_row(docs.select(
@@ -90,24 +91,18 @@ def mix_sources(docs: DataFrame, weights=cycled_weights, *, id_col: str = "doc_i
         T.StructType([T.StructField("of", T.StringType()), T.StructField("source_size", T.LongType()),
                       T.StructField("target", T.DoubleType())]))
 
-    # words of the source up to a document, in the shuffled order: of 256 parts by the hash's first
-    # byte, of 256 parts of each by its second, and inside those
-    parted = sized.select("*", F.substring("shuffled", 1, 2).alias("high"), F.substring("shuffled", 3, 2).alias("low"))
-    earlier = (Window.unboundedPreceding, -1)
-    sums = parted.groupBy("source", "high", "low").agg(F.sum("size").alias("n"))
-    lows = sums.withColumn("b_low", F.coalesce(F.sum("n").over(
-        Window.partitionBy("source", "high").orderBy("low").rowsBetween(*earlier)), F.lit(0)))
-    highs = sums.groupBy("source", "high").agg(F.sum("n").alias("n")).select(
-        F.col("source").alias("of_high"), F.col("high").alias("h_high"), F.coalesce(F.sum("n").over(
-            Window.partitionBy("source").orderBy("high").rowsBetween(*earlier)), F.lit(0)).alias("b_high"))
-    parts = lows.join(highs, F.col("source").eqNullSafe(F.col("of_high")) & (F.col("high") == F.col("h_high"))).select(
-        F.col("source").alias("of_part"), F.col("high").alias("p_high"), F.col("low").alias("p_low"),
-        (F.col("b_high") + F.col("b_low")).alias("before"))
-    inside = Window.partitionBy("source", "high", "low").orderBy(
-        "shuffled", F.col("doc_id").asc_nulls_last(), "_row").rowsBetween(Window.unboundedPreceding, 0)
-    queued = parted.withColumn("n", F.sum("size").over(inside)).join(
-        parts, F.col("source").eqNullSafe(F.col("of_part")) & (F.col("high") == F.col("p_high")) & (
-            F.col("low") == F.col("p_low"))).select(
+    # words of the source up to a document, in the shuffled order: rows sorted by range on source, hash, id and
+    # row number, so a hot source or an id that many rows hold lies in many ranges; words of a source's
+    # earlier ranges (its offset in one, from totals per source and range), then those inside the range
+    line = [F.col("source").asc_nulls_last(), "shuffled", F.col("doc_id").asc_nulls_last(), "_row"]
+    lined = stored(sized.repartitionByRange(*line).withColumn("part", F.spark_partition_id()), "mix-line")
+    # a row per source and range that holds it: at most the ranges and the sources together
+    sums = lined.groupBy("source", "part").agg(F.sum("size").alias("n"))
+    parts = sums.select(F.col("source").alias("of_part"), F.col("part").alias("p_part"), F.coalesce(F.sum("n").over(
+        Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("source", "part").orderBy(*line[1:]).rowsBetween(Window.unboundedPreceding, 0)
+    queued = lined.withColumn("n", F.sum("size").over(inside)).join(
+        parts, F.col("source").eqNullSafe(F.col("of_part")) & (F.col("part") == F.col("p_part"))).select(
         "doc_id", "_row", "source", "size", (F.col("before") + F.col("n")).alias("up_to")).join(
         F.broadcast(sources), F.col("source").eqNullSafe(F.col("of"))).drop("of")
 

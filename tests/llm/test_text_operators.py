@@ -159,6 +159,26 @@ def brute_mix(rows, most=3):
     return size, words, target
 
 
+@pytest.mark.parametrize("hot_id", [None, 7])
+def test_mixing_splits_an_id_that_many_rows_hold(spark, monkeypatch, hot_id):
+    rows = [(hot_id if i % 4 else i, "one two three"[: 3 + i % 11], "a") for i in range(4000)]
+    docs = stored(spark.createDataFrame(rows, "doc_id long, text string, source string"), "hot-id")
+    tables = {}
+
+    def seen(df, name):
+        tables[name] = stored(df, name)
+        return tables[name]
+
+    monkeypatch.setattr(mixing, "stored", seen)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = mixing.mix_sources(docs).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sum(r.taken for r in got) == sum(r.size for r in got) and len(got) == 4000
+    assert max(r["count"] for r in tables["mix-line"].groupBy("source", "part").count().collect()) < 1000
+
+
 def test_mixing(spark, odd, none):
     for docs in (given(spark), odd):
         rows = docs.collect()
