@@ -11,9 +11,9 @@ the ordinal, so the number of jobs does not depend on the number of columns:
 * purity: counts ``(ordinal, level, class)`` -> per level the majority count,
   per ordinal ``(sum majority / N - baseline) / (1 - baseline)`` clamped,
   baseline being the majority class share among the paired rows.
-* Spearman: counts ``(ordinal, f, t)``; average ranks of f and of t within
-  each ordinal's pairs come from the range-partitioned prefix counts; the
-  Pearson correlation of the ranks is summed back over the pair counts.
+* Spearman: average ranks of the target within each ordinal's pairs come from the
+  range-partitioned prefix counts and are joined to the rows; their sums by ``(ordinal, f)``,
+  ranked in the same way by f, give the Pearson correlation of the ranks.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factsheet.functions.scalar import md5_bucket
-from factsheet.operators.ranking import attach_average_rank
+from factsheet.operators.ranking import attach_centred_ranks, centred_rank, prefix_counts
 from factsheet.session import keep, store
 
 
@@ -106,22 +106,26 @@ def purity_from_counts(c: DataFrame) -> DataFrame:
     return j.select("ordinal", F.when(ok, val).alias("association"))
 
 
-def spearman_from_pairs(pairs: DataFrame) -> DataFrame:
-    """``pairs(ordinal, f, t)`` (both non-null doubles) -> ``(ordinal, association)``.
+def spearman_from_columns(df: DataFrame, features: dict[int, Column], target: Column) -> DataFrame:
+    """``(ordinal, association)`` of numeric features with a numeric target, over each one's pairs.
 
-    Pairs are counted and stored once; each counted pair then gets the average
-    ranks of its f and of its t within its column, from the frequencies of either side.
+    With centred ranks ``2 rank - N - 1``, the sum of products over pairs is, per value of a feature, its centred rank
+    times the sum of its rows' target ranks. So input rows, all features side by side, meet the target's ranks
+    once, are summed up by ``(ordinal, f)``, and only these sums are ranked by ``f``; pairs are never stored.
     """
-    pc = store(pairs.groupBy("ordinal", "f", "t").agg(F.count(F.lit(1)).alias("n")), "pairs")
-    r = store(attach_average_rank(pc, ["ordinal"], "f", "n", "rf"), "ranked-pairs")
-    r = attach_average_rank(r, ["ordinal"], "t", "n", "rt")
-    mid = (F.col("rf_total") + 1) / 2.0
-    rf, rt = F.col("rf") - mid, F.col("rt") - mid
-    s = r.groupBy("ordinal").agg(
-        F.sum("n").alias("N"),
-        F.sum(F.col("n") * rf * rt).alias("sft"),
-        F.sum(F.col("n") * rf * rf).alias("sff"),
-        F.sum(F.col("n") * rt * rt).alias("stt"))
+    rows = df.select(target.alias("t"), *(c.alias(f"f{o}") for o, c in features.items())).where(F.col("t").isNotNull())
+    # a target value counts once for every feature that has a value beside it
+    of_target = store(rows.groupBy("t").agg(
+        F.count(F.lit(1)).alias("rows"), *(F.count(f"f{o}").alias(f"n{o}") for o in features)), "rank-values")
+    near = attach_centred_ranks(rows, of_target, "t", "rows", {f"n{o}": f"r{o}" for o in features})
+    structs = [F.when(F.col(f"f{o}").isNotNull(), F.struct(F.lit(o).alias("ordinal"), F.col(f"f{o}").alias("f"),
+                                                           F.col(f"r{o}").alias("r"))) for o in features]
+    sums = near.select(F.explode(F.array(*structs)).alias("p")).where(F.col("p").isNotNull()).select("p.*").groupBy(
+        "ordinal", "f").agg(F.count(F.lit(1)).alias("n"), F.sum("r").alias("r"), F.sum(F.col("r") * F.col("r")).alias("rr"))
+    rf = centred_rank("n", "before", "total")
+    s = prefix_counts(sums, ["ordinal"], "f", "n", carry=("r", "rr")).groupBy("ordinal").agg(
+        F.sum("n").alias("N"), F.sum(rf * F.col("r")).alias("sft"), F.sum(F.col("n") * rf * rf).alias("sff"),
+        F.sum("rr").alias("stt"))
     rho = F.col("sft") / F.sqrt(F.col("sff") * F.col("stt"))
     # a constant side has every centred rank equal to 0
     ok = (F.col("N") >= 2) & (F.col("sff") > 0) & (F.col("stt") > 0)
@@ -170,8 +174,8 @@ def associations(df: DataFrame, routes: dict[int, str], feature_num: dict[int, C
         parts.append(group_stats_eta(long).withColumn("association_method", F.lit("eta")))
 
     if not classification and spr:
-        long = _exploded(df, {o: {"f": feature_num[o]} for o in spr}, {"f": "double"}, {"t": target_num})
-        parts.append(spearman_from_pairs(long).withColumn("association_method", F.lit("spearman")))
+        parts.append(spearman_from_columns(df, {o: feature_num[o] for o in spr}, target_num).withColumn(
+            "association_method", F.lit("spearman")))
 
     if not parts:
         return spark.createDataFrame([], "ordinal int, association double, association_method string")

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factsheet.session import store
@@ -90,6 +90,27 @@ def exact_medians(freq: DataFrame, keys: list[str], value: str = "v", count: str
         (sum(F.max(F.when(c, F.col(value))) for c in covers) / 2.0).alias("median"))
 
 
+def centred_rank(count: str, before: str, total: str) -> Column:
+    """Twice the average rank less its mean (``2 rank - N - 1``), a whole number, as a double."""
+    return (F.col(before) * 2 + F.col(count) - F.col(total)).cast("double")
+
+
+def attach_centred_ranks(df: DataFrame, freq: DataFrame, value: str, rows: str, ranked: dict[str, str]) -> DataFrame:
+    """Add one centred rank of each row's ``value`` for every count column of ``freq``, named by ``ranked``.
+
+    ``freq`` holds a row per value: its ``rows`` and the counts. Hot values are broadcast as in
+    ``attach_average_rank``, the others joined by value, all ranks at once.
+    """
+    whole = freq.agg(F.sum(rows)).first()[0] or 0
+    ranks = store(prefix_counts(freq, [], value, tuple(ranked), carry=(rows,)).select(
+        F.col(value).alias("__v"), (F.col(rows) * HOT_VALUES > whole).alias("__heavy"),
+        *(centred_rank(n, f"{n}_before", f"{n}_total").alias(r) for n, r in ranked.items())), "ranks")
+    names = [*df.columns, *ranked.values()]
+    near = df.join(F.broadcast(ranks.where("__heavy")), F.col(value) == F.col("__v"), "left")
+    light = near.where(F.col("__heavy").isNull()).select(*df.columns).join(ranks.where("NOT __heavy"), F.col(value) == F.col("__v"))
+    return near.where("__heavy").select(*names).unionByName(light.select(*names))
+
+
 def attach_average_rank(df: DataFrame, keys: list[str], value: str, count: str, out: str) -> DataFrame:
     """Add ``out``: the average rank of each row's ``value`` among the rows of its key,
     every row weighing ``count`` (rows may repeat a value), plus ``{out}_total``.
