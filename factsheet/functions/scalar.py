@@ -19,15 +19,18 @@ from factsheet import thresholds as T
 # be used instead of the slower Unicode-aware regex mode.
 WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004"
               "\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
-_WS_CLASS = "\\t\\n\\x0B\\f\\r\\x1C-\\x1F \\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
-_TRIM_RE = f"^[{_WS_CLASS}]+|[{_WS_CLASS}]+$"
-_CLEAN_RE = "[" + re.escape(T.NUMBER_CLEAN_CHARS).replace("\\%", "%") + _WS_CLASS + "]"
+WS_CLASS = "\\t\\n\\x0B\\f\\r\\x1C-\\x1F \\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
+_TRIM_RE = f"^[{WS_CLASS}]+|[{WS_CLASS}]+$"
+_CLEAN_RE = "[" + re.escape(T.NUMBER_CLEAN_CHARS).replace("\\%", "%") + WS_CLASS + "]"
 
 # A decimal literal with optional sign and exponent, or an infinity word.
 # Anything else (hex, '1d', '1f', '1_000', '(5)') is not a number.
 NUMBER_RE = r"^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity))$"
 _INF_RE = r"^[+-]?(?i:inf|infinity)$"
 
+# What every number begins with, up to its 64th character: any other text is none, told without cleaning it.
+MAY_BE_NUMBER = "^[0-9.eE+\\-iInNfFtTyY" + re.escape(T.NUMBER_CLEAN_CHARS).replace("\\%", "%") + WS_CLASS + "]*$"
+
 # Year-first dates with dashes: optional time (seconds, 1 to 9 fraction digits) and optional
 # zone. Spark's own cast reads them; fractions beyond microseconds are cut.
 ISO_SHAPE = (r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}([ T][0-9]{1,2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,9})?)?"
@@ -111,10 +114,11 @@ def parse_number(c: str | Column) -> Column:
 
     Overflowing literals such as 1e400 are refused; written infinities pass.
     """
+    text = col_(c).cast("string")
     s = clean_number_text(c)
     d = s.cast("double")
     finite = (F.abs(d) != F.lit(float("inf")))
-    return F.when(s.rlike(NUMBER_RE) & (finite | s.rlike(_INF_RE)), d)
+    return F.when(F.substring(text, 1, 64).rlike(MAY_BE_NUMBER) & s.rlike(NUMBER_RE) & (finite | s.rlike(_INF_RE)), d)
 
 
 def _let(value: Column, body) -> Column:

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from factsheet import thresholds as T
-from factsheet.functions.scalar import col_, is_long, parse_datetime, parse_number, strip, strip_fold, text_key
-from factsheet.session import once
+from factsheet.functions.scalar import WS_CLASS, col_, is_long, parse_datetime, parse_number, strip, strip_fold, text_key
+from factsheet.session import once, store
 from factsheet.operators.columns import (
     BOOLEAN, DATETIME, NUMERIC_STORAGE, STRING, ColumnSpec, effective_key, key_is_null, key_number, key_struct,
 )
@@ -40,14 +40,19 @@ FREQ_SCHEMA = "ordinal int, kl bigint, kd double, ks string, head string, trimme
 #: What the facts need of a long text besides its key: its first characters, what is left without the white
 #: space around it if that is short (only then it can be a date), and its number.
 LONG = ("head", "trimmed", "lx")
+LONG_TYPE = "struct<head:string,trimmed:string,lx:double>"
 
 
-def _long_parts(spec: ColumnSpec) -> dict[str, Column]:
+def _long_parts(spec: ColumnSpec) -> Column:
+    """A struct of ``LONG``, null where the value is no long text."""
+    if spec.storage != STRING:
+        return F.lit(None).cast(LONG_TYPE)
     text = spec.ref.cast("string")
-    long = F.when(is_long(text), text) if spec.storage == STRING else F.lit(None).cast("string")
-    inner = strip(long) if spec.storage == STRING else long
-    return {"head": F.substring(long, 1, T.SAMPLE_VALUE_MAX_CHARS), "trimmed": F.when(~is_long(inner), inner),
-            "lx": parse_number(long) if spec.storage == STRING else F.lit(None).cast("double")}
+    # only white space at an end can make a text shorter
+    padded = F.concat(F.substring(text, 1, 1), F.substring(text, -1, 1)).rlike(f"[{WS_CLASS}]")
+    inner = F.when(padded, strip(text))
+    return F.when(is_long(text), F.struct(F.substring(text, 1, T.SAMPLE_VALUE_MAX_CHARS).alias("head"),
+                                          F.when(~is_long(inner), inner).alias("trimmed"), parse_number(text).alias("lx")))
 
 
 def raw_frequencies(df: DataFrame, specs: list[ColumnSpec]) -> DataFrame:
@@ -60,9 +65,13 @@ def raw_frequencies(df: DataFrame, specs: list[ColumnSpec]) -> DataFrame:
     """
     if not specs:
         return df.sparkSession.createDataFrame([], FREQ_SCHEMA)
-    structs = [key_struct(s.ordinal, effective_key(s, False), _long_parts(s)) for s in specs]
-    return (df.select(F.inline(F.array(*structs)))
-            .groupBy("ordinal", "kl", "kd", "ks", *LONG).agg(F.count(F.lit(1)).alias("n")))
+    # one field for the parts of a long text, none in a table without texts: less to hold for each counted value
+    texts = any(s.storage == STRING for s in specs)
+    structs = [key_struct(s.ordinal, effective_key(s, False), {"long": _long_parts(s)} if texts else None) for s in specs]
+    counted = (df.select(F.inline(F.array(*structs)))
+               .groupBy("ordinal", "kl", "kd", "ks", *(["long"] if texts else [])).agg(F.count(F.lit(1)).alias("n")))
+    long = F.col("long") if texts else F.lit(None).cast(LONG_TYPE)
+    return counted.select("ordinal", "kl", "kd", "ks", *(long[x].alias(x) for x in LONG), "n")
 
 
 @once
@@ -163,20 +172,28 @@ def frequency_summary(freq: DataFrame) -> DataFrame:
 def duplicate_row_count(df: DataFrame) -> DataFrame:
     """Rows minus distinct rows (nulls compare equal), as a one-row DataFrame.
 
-    A single aggregate: rows are grouped whole (partial aggregation first, so
-    heavily repeated rows collapse map-side) and the group sizes summed.
+    Equal rows have equal hashes, so a row whose 64-bit hash is alone has no equal: only the
+    hashes are shuffled for all rows. Rows that share a hash are then grouped whole (partial
+    aggregation first, so heavily repeated rows collapse map-side) and the group sizes summed.
     Map-typed columns are not groupable and are compared by their JSON text; long
     texts are compared by their digest.
     """
-    cols = []
+    cols, texts = [], set()
     for i, f in enumerate(df.schema.fields):
         c = col_(f.name)
         if _has_map(f.dataType):
             c = F.to_json(c)
         if _has_map(f.dataType) or isinstance(f.dataType, ST.StringType):
-            c = text_key(c)
+            texts.add(f"c{i}")
         cols.append(c.alias(f"c{i}"))
-    grouped = df.select(*cols).groupBy(*[f"c{i}" for i in range(len(cols))]).agg(F.count(F.lit(1)).alias("n"))
+    rows, names = df.select(*cols), [f"c{i}" for i in range(len(cols))]
+    if names:
+        # a null leaves the hash as it is, so which values are null is hashed too
+        hashed = rows.withColumn("h", F.xxhash64(*names, *[F.col(x).isNull() for x in names]))
+        shared = store(hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "shared-hashes")
+        rows = hashed.join(shared, "h", "left_semi")
+    grouped = rows.select(*[(text_key(F.col(x)) if x in texts else F.col(x)).alias(x) for x in names]).groupBy(*names).agg(
+        F.count(F.lit(1)).alias("n"))
     return grouped.agg((F.coalesce(F.sum("n"), F.lit(0)) - F.count(F.lit(1))).cast("bigint")
                        .alias("duplicate_row_count"))
 

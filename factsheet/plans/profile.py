@@ -31,7 +31,7 @@ from factsheet.operators.columns import (
     NUMERIC_STORAGE, STRING, column_specs, effective_key, key_number, key_text, normalised, raw_key,
 )
 from factsheet.operators.ranking import exact_medians
-from factsheet.session import Scratch, keep, local_rows, scratch_scope
+from factsheet.session import Scratch, keep, local_rows, scratch_scope, small_splits
 from factsheet.operators.stats import (
     duplicate_row_count, effective_frequencies, facts_from_frequencies, frequency_summary, raw_frequencies,
 )
@@ -152,7 +152,8 @@ def column_facts(df: DataFrame, target: str | None = None, th: T.Thresholds = T.
     specs = column_specs(df)
     ndf = normalised(df, specs)
     freq_all = keep(raw_frequencies(ndf, specs))
-    n_rows, facts = facts_from_frequencies(freq_all, specs)
+    with small_splits(spark):  # the first pass over the counts makes them
+        n_rows, facts = facts_from_frequencies(freq_all, specs)
     rows = [_spec_row(s, n_rows, facts[s.ordinal], s.name == target) for s in specs]
     stage_df = local_rows(spark, rows, STATS_SCHEMA).withColumn("stage", R.ladder_stage(th))
     stage = {r["ordinal"]: r["stage"] for r in stage_df.select("ordinal", "stage").collect()}

@@ -167,6 +167,27 @@ def keep(df: DataFrame) -> DataFrame:
     return df
 
 
+#: Input read at once where a task's memory grows with its split.
+SPLIT_BYTES = 16 << 20
+
+
+@contextmanager
+def small_splits(spark: SparkSession):
+    """Files scanned by jobs run inside are read in splits of ``SPLIT_BYTES`` at most, so that
+    what a task gathers from its split is bounded, whatever the size of the input."""
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    digits = before.rstrip("bB")
+    if digits.isdigit() and int(digits) <= SPLIT_BYTES:  # smaller already
+        yield
+        return
+    spark.conf.set(key, str(SPLIT_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def local_rows(spark: SparkSession, rows: list[dict], schema: T.StructType) -> DataFrame:
     """A few driver-made rows as a local relation: expressions over it are folded without a job."""
     return spark.createDataFrame(pa.Table.from_pylist(rows, schema=to_arrow_schema(schema)), schema)
