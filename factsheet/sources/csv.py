@@ -20,7 +20,7 @@ from pyspark.sql import types as ST
 
 from factsheet import thresholds as T
 from factsheet.errors import ProfileRefused
-from factsheet.functions.scalar import NUMBER_RE, col_, strip
+from factsheet.functions.scalar import NUMBER_RE, WS_CLASS, col_, strip
 from factsheet.session import local_rows, store
 
 OVERFLOW = "_overflow"
@@ -28,6 +28,9 @@ INT_RE = r"^[+-]?[0-9]+$"
 PANDAS_BOOL_TOKENS = ("True", "TRUE", "true", "False", "FALSE", "false")
 
 
+# Whole and decimal numbers without sign or space, and what neither a number nor a truth value can hold.
+PLAIN_INT, PLAIN_REAL = r"^[0-9]{1,18}$", r"^[0-9]{1,18}\.[0-9]{1,18}$"
+NO_NUMBER = f"[^0-9.+\\-eEiInNfFtTyYrRuUaAlLsS{WS_CLASS}]|[0-9][+-]"
 BLANK_LINE = r"^[ \t]*\r?$"
 
 
@@ -260,13 +263,15 @@ INT64, UINT64, HUGE, NEGATIVE, REAL, BOOL, TEXT, GAP = (1 << k for k in range(8)
 def value_kinds(v: Column) -> Column:
     """A2: the kinds of one text as a CSV reader sees it. Joined by ``bit_or``, they are a lattice:
     partial results merge in any order, and a column's type is a function of the union."""
+    # most values tell their kind as they are written; only the others are stripped and tried
+    plain = (F.when(v.rlike(PLAIN_INT), INT64).when(v.rlike(PLAIN_REAL), REAL).when(v.rlike(NO_NUMBER), TEXT))
     s = strip(v)
     whole = s.rlike(INT_RE)
     size = F.when(s.try_cast("bigint").isNotNull(), INT64).when(
         s.try_cast("decimal(38,0)").between(F.lit("9223372036854775808").cast("decimal(38,0)"),
                                             F.lit("18446744073709551615").cast("decimal(38,0)")), UINT64).otherwise(HUGE)
     negative = F.when(F.startswith(s, F.lit("-")), NEGATIVE).otherwise(0)
-    return F.when(v.isNull(), GAP).when(whole, size.bitwiseOR(negative)).when(s.rlike(NUMBER_RE), REAL).when(
+    return F.when(v.isNull(), GAP).when(plain.isNotNull(), plain).when(whole, size.bitwiseOR(negative)).when(s.rlike(NUMBER_RE), REAL).when(
         v.isin(*PANDAS_BOOL_TOKENS), BOOL).otherwise(TEXT)
 
 
@@ -335,6 +340,8 @@ def load_csv(spark: SparkSession, path: str, max_bytes: int | None = None, max_c
     if max_bytes is not None and input_bytes(spark, path) > max_bytes:
         raise ProfileRefused("FILE_TOO_LARGE", "The input is larger than the size limit.")
     types = [kinds[i]["native_type"] for i in range(len(names))]
-    return df.select(*[
+    typed = df.select(*[
         ((F.lower(col_(n)) == "true") if t == "bool" else strip(col_(n)).cast(CASTS[t]) if t in CASTS else col_(n)).alias(n)
         for n, t in zip(names, types)])
+    # parsed and cast once; who reads it picks its columns
+    return store(typed.toDF(*(f"c{i}" for i in range(len(names)))), "csv-typed").toDF(*names)
