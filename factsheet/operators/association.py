@@ -90,6 +90,29 @@ def eta_from_groups(g: DataFrame) -> DataFrame:
     return s.select("ordinal", F.when(ok, F.sqrt(ratio)).alias("association"))
 
 
+#: Features whose statistics one aggregate holds: its generated code stays small.
+SIDE_BY_SIDE = 8
+
+
+def class_stats(df: DataFrame, features: dict[int, Column], target_key: tuple) -> DataFrame:
+    """``(ordinal, gn, gmean, gvar, gmin, gmax)`` of numeric features for every class of the target.
+
+    Features are aggregated side by side, a row per class; no row per feature and input row is made.
+    """
+    out: list[DataFrame] = []
+    for i in range(0, len(features), SIDE_BY_SIDE):
+        some = dict([*features.items()][i:i + SIDE_BY_SIDE])
+        rows = df.select(*(k.alias(x) for x, k in zip(("tl", "td", "ts"), _key3(target_key))),
+                         *(c.alias(f"x{o}") for o, c in some.items()))
+        rows = rows.where(F.col("tl").isNotNull() | F.col("td").isNotNull() | F.col("ts").isNotNull())
+        g = rows.groupBy("tl", "td", "ts").agg(*(
+            f(f"x{o}").alias(f"{k}{o}") for o in some for k, f in (
+                ("gn", F.count), ("gmean", F.avg), ("gvar", F.var_pop), ("gmin", F.min), ("gmax", F.max))))
+        out.append(g.select(F.inline(F.array(*(F.struct(F.lit(o).alias("ordinal"), *(
+            F.col(f"{k}{o}").alias(k) for k in ("gn", "gmean", "gvar", "gmin", "gmax"))) for o in some)))))
+    return reduce(DataFrame.unionByName, out).where("gn > 0")
+
+
 def purity_from_counts(c: DataFrame) -> DataFrame:
     """``c(ordinal, fl, fd, fs, tl, td, ts, n)`` -> ``(ordinal, association)``."""
     none = F.lit(None).cast("long")
@@ -148,24 +171,15 @@ def associations(df: DataFrame, routes: dict[int, str], feature_num: dict[int, C
     spr = [o for o, r in routes.items() if r == "spearman"]
 
     level = {"fl": "bigint", "fd": "double", "fs": "string"}
-    if classification and (eta_num or pur):
-        features = {o: {"x": feature_num[o]} for o in eta_num}
-        features.update({o: dict(zip(level, feature_key[o])) for o in pur})
-        # one generate, one shuffle for both statistics
-        long = _exploded(df, features, {"x": "double", **level}, dict(zip(("tl", "td", "ts"), _key3(target_key))))
-        g = long.groupBy("ordinal", "fl", "fd", "fs", "tl", "td", "ts").agg(
-            F.count(F.lit(1)).alias("n"), F.avg("x").alias("gmean"), F.var_pop("x").alias("gvar"),
-            F.min("x").alias("gmin"), F.max("x").alias("gmax"))
-        if eta_num and pur:
-            g = keep(g)
-        if eta_num:
-            ge = g.where(F.col("ordinal").isin(eta_num)).select(
-                "ordinal", F.col("tl").alias("gl"), F.col("td").alias("gd"), F.col("ts").alias("gs"),
-                F.col("n").alias("gn"), "gmean", "gvar", "gmin", "gmax")
-            parts.append(eta_from_groups(ge).withColumn("association_method", F.lit("eta")))
-        if pur:
-            gp = g.where(F.col("ordinal").isin(pur)).select("ordinal", "fl", "fd", "fs", "tl", "td", "ts", "n")
-            parts.append(purity_from_counts(gp).withColumn("association_method", F.lit("purity")))
+    if classification and eta_num:
+        g = class_stats(df, {o: feature_num[o] for o in eta_num}, target_key)
+        parts.append(eta_from_groups(g).withColumn("association_method", F.lit("eta")))
+
+    if classification and pur:
+        long = _exploded(df, {o: dict(zip(level, feature_key[o])) for o in pur}, level,
+                         dict(zip(("tl", "td", "ts"), _key3(target_key))))
+        gp = long.groupBy("ordinal", "fl", "fd", "fs", "tl", "td", "ts").agg(F.count(F.lit(1)).alias("n"))
+        parts.append(purity_from_counts(keep(gp)).withColumn("association_method", F.lit("purity")))
 
     if not classification and eta_cat:
         long = _exploded(df, {o: dict(zip(("gl", "gd", "gs"), feature_key[o])) for o in eta_cat},
